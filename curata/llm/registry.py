@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curata.llm import simhash
+from curata.llm import pii, quality, simhash
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op8_quality": quality.op8_quality,
+    "op9_pii": pii.op9_pii,
     "pipeline": corpus_pipeline.run,
 }
 _SQL: dict[str, str | None] = {
+    "op8_quality": quality.ORACLE_SQL,
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }
 
