@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curata.llm import pii, quality, simhash
+from curata.llm import hilbert, pii, quality, simhash, urls
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op5_hilbert": hilbert.op5_hilbert,
+    "op7_urls": urls.op7_urls,
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "pipeline": corpus_pipeline.run,
 }
 _SQL: dict[str, str | None] = {
+    "op7_urls": urls.ORACLE_SQL,
     "op8_quality": quality.ORACLE_SQL,
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }
