@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curata.llm import hilbert, pii, quality, simhash, urls
+from curata.llm import hilbert, licenses, packing, pii, quality, simhash, urls
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_packing": packing.op4_packing,
     "op5_hilbert": hilbert.op5_hilbert,
+    "op6_licenses": licenses.op6_licenses,
     "op7_urls": urls.op7_urls,
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
