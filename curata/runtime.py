@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,19 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, lim
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def share(spark: SparkSession, value):
+    """Broadcast ``value``, whose size the caller has bounded; the function that comes back gives it in a task.
+
+    It travels pickled by value, so executors need no installed copy of its class.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
