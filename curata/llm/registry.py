@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curata.llm import hilbert, licenses, packing, pii, quality, simhash, urls
+from curata.llm import decontaminate, hilbert, licenses, packing, pii, quality, simhash, urls
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ _QUERIES = {
     "op7_urls": urls.op7_urls,
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
+    "op10_decontamination": decontaminate.op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
 _SQL: dict[str, str | None] = {
