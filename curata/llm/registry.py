@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curata.llm import decontaminate, hilbert, licenses, packing, pii, quality, simhash, toxicity, urls
+from curata.llm import decontaminate, hilbert, licenses, maxent, packing, pii, quality, simhash, toxicity, urls
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_maxent": maxent.op2_maxent,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_hilbert": hilbert.op5_hilbert,
