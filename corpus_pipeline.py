@@ -7,6 +7,8 @@ again, so a lost executor never costs more than the stage that runs.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from curata.llm import decontaminate, packing, pii, quality, simhash
 from curata.runtime import materialize
 
@@ -27,8 +29,12 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 
 def personal_data(spark, docs, sf_dir):
-    """Replace personal data by its kind."""
-    return pii.redact(docs)
+    """Replace personal data by its kind; ``n_chars`` follows where a text changes."""
+    counted = pii.redact(docs.withColumn("curata_before", F.length("text")))
+    if "n_chars" in docs.columns:
+        shift = F.coalesce(F.length("text") - F.col("curata_before"), F.lit(0))
+        counted = counted.withColumn("n_chars", (F.col("n_chars") + shift).cast(docs.schema["n_chars"].dataType))
+    return counted.select(*docs.columns)
 
 
 def pack(spark, docs, sf_dir):
