@@ -26,8 +26,21 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+    import pkgutil
+
+    from curata import plans
+
+    for m in sorted(x.name for x in pkgutil.iter_modules(plans.__path__) if x.name.startswith("q_")):
+        importlib.import_module(f"curata.plans.{m}")
