@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,49 +25,97 @@ from curata.runtime import arrow_rows, materialize
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a worker keeps; beyond it starts anew.
-CACHE = 200_000
+#: Words and pieces of words whose ids a worker keeps at hand, twice as many at most.
+WORDS, PIECES = 250_000, 300_000
+
+
+class Cache:
+    """A map that keeps what was used lately: when the young half is full it becomes the old half."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
 
 
 class WordEncoder:
-    """Ids of a tokenizer that never joins across white space, word by word with a cache."""
+    """Ids of a tokenizer that never joins across white space, as little-endian 32-bit bytes.
+
+    Words are looked up, then the pieces into which the tokenizer's own pattern splits a lower-cased word; only pieces
+    not seen lately go through the tokenizer's merges. Texts with characters beyond Latin-1, whose normal form may change or whose lower case
+    may depend on their neighbours, are encoded word by word without that.
+    """
+
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    ODD = regex.compile("[^\x00-\x1b\x20-\xff]|<\\|")  # also separators that only Python takes for white space, and special tokens
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        # str.split also splits at the separators U+001C to U+001F, which the tokenizer does not take for white space
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.merge = self.tokenizer.model.tokenize
+        self.words, self.pieces = Cache(WORDS), Cache(PIECES)
+        # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in kept]
+        self.alphabet = {b: 256 + n for n, b in enumerate(others)}
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        out = []
+        for piece in self.PIECES.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                letters = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(letters)])
+                self.pieces.put(piece, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        if self.ODD.search(text):
+            return self._raw(text)
         words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
+        out = list(map(self.words.young.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    w = words[i]
+                    ids = self.words.get(w)
+                    if ids is None:
+                        ids = self._word(w)
+                        self.words.put(w, ids)
+                    out[i] = ids
+        return b"".join(out)
 
 
 def _pieces(path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, ranks = WordEncoder(path), TaskContext.get().partitionId(), Counter()
+        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*encoder.encode(text or ""), end_id], dtype="<u4")
-                for start in range(0, len(ids), length):
-                    piece = ids[start : start + length]
-                    rows.append((i, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), ranks[len(piece)]))
-                    ranks[len(piece)] += 1
+                ids = memoryview(encoder.encode(text or "") + end)
+                total = len(ids) // 4
+                for start in range(0, total, length):
+                    piece = ids[4 * start : 4 * (start + length)]
+                    size = len(piece) // 4
+                    rows.append((i, start, size, zlib.crc32(piece), total, ranks[size]))
+                    ranks[size] += 1
             columns = np.array(rows, dtype=np.int64).reshape(-1, 6).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(columns[0])), *map(pa.array, columns[1:]), pa.array(np.full(len(rows), part))],
