@@ -46,7 +46,7 @@ def squeezed(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
     bare = F.regexp_replace(F.lower(text), r"""[!-/:-@\[-`{-~]""", "")
-    return squeezed(F.regexp_replace(bare, r"\b(?:a|an|the)\b", " "))
+    return squeezed(F.regexp_replace(bare, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " "))
 
 
 def after_last(text: Column, mark: str) -> Column:
