@@ -210,17 +210,17 @@ def fingerprint_links(prints: DataFrame, budget: int = BUDGET, blocks: int = BLO
     return tasks.mapInArrow(_join_tries(budget, 200_000), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, cap: int = CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, cap: int = CAP, rid: str | None = None) -> DataFrame:
     """``rid, doc_id, fp, component_id, keeper`` for each row of a table with ``doc_id`` and ``text``.
 
     ``component_id`` is the least ``doc_id`` that is reachable over links of ``budget`` bits at most, itself included,
     and ``keeper`` the ``rid`` of the first row with it. A text without words has fingerprint zero and links like any
     other. A null text counts as empty; a null ``doc_id`` is never least, and a component of nulls only has a null id.
-    Rows with the same ``doc_id`` stay rows of their own; an empty table gives an empty result. ``rid`` is taken from
-    the table if it is there.
+    Rows with the same ``doc_id`` stay rows of their own; an empty table gives an empty result. ``rid`` names a
+    column of distinct row numbers; without it the rows are numbered here. Other columns do no harm, whatever their names.
     """
-    if "rid" not in docs.columns:
-        docs = docs.withColumn("rid", F.monotonically_increasing_id())
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
+    docs = docs.select(number.alias("rid"), "doc_id", "text")
     marked = materialize(fingerprints(docs), "prints")
     # nulls last, then the first row
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
@@ -245,7 +245,7 @@ def drop_near_duplicates(docs: DataFrame, budget: int = BUDGET, blocks: int = BL
     """
     mark = "curata_rid"
     held = materialize(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(held.select(F.col(mark).alias("rid"), "doc_id", "text"), budget, blocks, cap)
+    found = near_duplicates(held, budget, blocks, cap, mark)
     keep = found.where("rid = keeper").select(F.col("rid").alias(mark))
     return held.join(keep.hint("merge"), mark, "left_semi").drop(mark)
 

@@ -60,3 +60,72 @@ def quality(text: str | None) -> tuple:
         n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered),
         n < 50 or 100 * len(covered) > 50 * n,
     )
+
+
+def fingerprint(text: str | None) -> int:
+    """Majority bits of the hashes of the 4-word shingles."""
+    import xxhash
+
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    counts = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
+
+
+def components(prints: list[int], budget: int = 4) -> list[int]:
+    """Index of the first member of each item's component; every two are compared."""
+    root = list(range(len(prints)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, x in enumerate(prints):
+        for j in range(i):
+            if (x ^ prints[j]).bit_count() <= budget:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def licenses(text: str | None) -> tuple:
+    """n_words, n_base, first_word, last_word, base_labels."""
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    places, labels = [], set()
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def unigram(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    """n_tokens, n_known, train_tokens, base score, held out of documents with distinct ids."""
+    import zlib
+    from math import log10
+
+    def tokens(text):
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return [*WORD.findall(lower), None]
+
+    out_of = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
+    count = Counter(t for i, text in docs if not out_of[i] for t in tokens(text))
+    n, v = sum(count.values()), len(count)
+    out = {}
+    for i, text in docs:
+        ts = tokens(text)
+        score = sum(log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)
+        out[i] = (len(ts), sum(count[t] > 0 for t in ts), n, score, out_of[i])
+    return out
