@@ -213,8 +213,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # `rows` bounds the broadcast; repeated ids in docs count once
+    # `rows` bounds the broadcast; a repeated id in docs counts once, with its least text
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    train = train.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     train = materialize(train.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))), "toxic-train")
     lexicon = learn_lexicon(train.where("half = 0"))
     get = share(spark, lexicon)
@@ -224,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             x = np.array([get().features(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("toxic")], ["a", "b", "c", "d", "toxic"])
 
-    fit = train.where("half = 1").limit(2 * rows).select("text", "toxic")
+    fit = train.where("half = 1").select("text", "toxic")
     table = fit.mapInArrow(features, "a double, b double, c double, d double, toxic int").toPandas().to_numpy(dtype=float)  # bounded
     table = table[np.lexsort(table.T)]
     return Model(lexicon, fit_logistic(table[:, :4], table[:, 4]))
