@@ -324,3 +324,10 @@ def test_operators_with_clashing_columns(spark, odd):
     assert licenses.license_scan(odd).count() == n
     assert quality.judged(odd).count() == n
     assert pii.with_pii(odd, out="found").count() == n
+
+
+def test_head_words(spark):
+    counts = spark.createDataFrame([(f"w{i}", 0, 1 + i % 7 + 1000 * (i == 3)) for i in range(70)], "w string, slot int, c long")
+    assert {r.w for r in maxent.head_words(counts, 5).collect()} == {"w3"}
+    assert {r.c for r in maxent.head_words(counts, 25).collect()} == {7, 6, 1004}
+    assert maxent.head_words(counts, 70).count() == 70
