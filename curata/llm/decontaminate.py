@@ -3,7 +3,7 @@
 Every passage of every text is a query. A passage's score for an item is the BM25 score divided by that of the item's
 own text, so it is the share of the item that the passage holds, weighted by rarity. All items at or above the threshold
 are retrieved, none is left out. Before WAND runs, one vectorised pass bounds the score of each passage and item: the
-exact weights of rare terms that are there plus all common terms of the item. WAND sees only the passages that could reach
+exact weights of the item's rarest terms that are there plus all its other terms, which stay below the threshold. WAND sees only the passages that could reach
 the threshold for some item. What it retrieves is kept if the passage holds enough of the item's question and answer, in
 order.
 """
@@ -30,8 +30,12 @@ OVERLAP = 0.6
 BLOCK = 32
 #: Items whose index is broadcast at once; more are taken in blocks, each against all documents.
 ITEMS = 50_000
-#: Terms in more items than this count as common in the vectorised bound.
+#: Terms in more items than this count as common in the vectorised bound, but for items that have too few others.
 COMMON = 8
+#: Pairs of a passage and an item that are bounded at once.
+PAIRS = 1 << 22
+#: A last sentence of so many words at most is part of the question.
+FEW = 3
 
 _BLANK = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TABLE = bytes.maketrans(_BLANK + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * len(_BLANK) + b"abcdefghijklmnopqrstuvwxyz")
@@ -42,10 +46,13 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
-    """An item's last line is its answer if it has several lines, else its last sentence if it has several, else none."""
-    for mark in (b"\n", b". "):
+    """An item's last line is its answer if it has several lines, else its last sentence if it has several, else none.
+
+    A last sentence of ``FEW`` words at most is no answer of its own but the end of the question.
+    """
+    for mark, least in ((b"\n", 1), (b". ", FEW + 1)):
         head, cut, tail = text.strip().rpartition(mark)
-        if cut and words_of(head) and words_of(tail):
+        if cut and words_of(head) and len(words_of(tail)) >= least:
             return words_of(head), words_of(tail)
     return words_of(text), []
 
@@ -72,40 +79,65 @@ class ItemIndex:
         self.lists = [([k for k, _ in p], [x for _, x in p]) for p in postings.values()]
         self.top = [max(x) for _, x in self.lists]
         self.block_top = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for _, x in self.lists]
-        # for the vectorised bound: flat lists of the rare terms, and what common terms add to each item at most
-        rare = [t for t, (k, _) in enumerate(self.lists) if len(k) <= COMMON]
-        sizes = np.zeros(len(self.lists) + 1, dtype=np.int64)
-        sizes[rare] = [len(self.lists[t][0]) for t in rare]
-        self.rare_size = sizes
-        self.rare_from = np.r_[0, np.cumsum(sizes)[:-1]]
-        self.rare_item = np.array([k for t in rare for k in self.lists[t][0]], dtype=np.int64)
-        self.rare_share = np.array([x for t in rare for x in self.lists[t][1]])
-        self.common = np.ones(len(items))
-        np.subtract.at(self.common, self.rare_item, self.rare_share)
+        self.bounds: dict[float, tuple] = {}
+
+    def bound_lists(self, threshold: float) -> tuple:
+        """Flat lists for the vectorised bound: sizes and starts by term, items, shares, and what is left of each item.
+
+        A term is taken for all its items if it is rare, and for single items besides: for each its rarest terms, until
+        the others add up to less than ``threshold``. So a passage at the threshold holds a taken term of the item.
+        Items with the same words bound the same passages, so one of them stands for all.
+        """
+        if threshold not in self.bounds:
+            alike = {tuple(sorted(ws)): k for k, ws in reversed(list(enumerate(self.words)))}
+            terms: dict[int, list[tuple[int, int, float]]] = {k: [] for k in alike.values()}
+            for t, (ks, xs) in enumerate(self.lists):
+                for k, x in zip(ks, xs, strict=True):
+                    if k in terms:
+                        terms[k].append((len(ks), t, x))
+            left = np.zeros(len(self.ids))
+            taken = []
+            for k, mine in terms.items():
+                rest = sum(x for _, _, x in mine)
+                for df, t, x in sorted(mine):
+                    if df > COMMON and rest < threshold - 1e-6:
+                        break
+                    taken.append((t, k, x))
+                    rest -= x
+                left[k] = max(rest, 0.0)
+            taken.sort()
+            size = np.bincount(np.array([t for t, _, _ in taken], dtype=np.int64), minlength=len(self.lists) + 1)
+            item = np.array([k for _, k, _ in taken], dtype=np.int64)
+            self.bounds[threshold] = size, np.r_[0, np.cumsum(size)[:-1]], item, np.array([x for _, _, x in taken]), left
+        return self.bounds[threshold]
 
     def candidates(self, ids: np.ndarray, segment: np.ndarray, last: np.ndarray, threshold: float) -> np.ndarray:
         """Passages that may reach the threshold. ``segment`` numbers runs of words; a passage is a segment and the next.
 
         ``last`` tells of each segment whether its text ends there.
         """
-        size = self.rare_size[ids]
-        hit = np.flatnonzero(size)
-        size = size[hit]
-        total = int(size.sum())
-        if not total:
-            return np.zeros(0, dtype=np.int64)
-        at = np.repeat(self.rare_from[ids[hit]] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(total)
-        item, share, seg = self.rare_item[at], self.rare_share[at], np.repeat(segment[hit], size)
-        n = len(self.ids)
-        key, place = np.unique(seg * n + item, return_inverse=True)
-        own = np.bincount(place, share)
-        seg, item = np.divmod(key, n)
-        follows = np.flatnonzero((seg > 0) & ~last[np.maximum(seg - 1, 0)])  # segments that end an earlier passage
-        both = np.r_[key, key[follows] - n]
-        both, place = np.unique(both, return_inverse=True)
-        bound = np.bincount(place, np.r_[own, own[follows]])
-        passage, item = np.divmod(both, n)
-        return np.unique(passage[bound + self.common[item] >= threshold - 1e-9])
+        sizes, starts, items, shares, left = self.bound_lists(threshold)
+        hit = np.flatnonzero(sizes[ids])
+        kinds, n = len(sizes), len(self.ids)
+        key = np.unique(segment[hit] * kinds + ids[hit])
+        seg = key // kinds
+        follows = (seg > 0) & ~last[np.maximum(seg - 1, 0)]  # segments that end an earlier passage
+        passage, term = np.divmod(np.unique(np.r_[key, key[follows] - kinds]), kinds)  # each term once in a passage
+        ends = np.cumsum(sizes[term])
+        out, lo = [], 0
+        while lo < len(term):  # whole passages, of so many pairs at once
+            hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right"))
+            if hi < len(term):
+                first = int(np.searchsorted(passage, passage[hi]))
+                hi = first if first > lo else int(np.searchsorted(passage, passage[hi], side="right"))
+            t = term[lo:hi]
+            size = sizes[t]
+            at = np.repeat(starts[t] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+            both, place = np.unique(np.repeat(passage[lo:hi], size) * n + items[at], return_inverse=True)
+            mine, item = np.divmod(both, n)
+            out.append(np.unique(mine[np.bincount(place, shares[at]) + left[item] >= threshold - 1e-9]))
+            lo = hi
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score at least ``threshold`` for distinct terms: document-at-a-time with block maxima."""

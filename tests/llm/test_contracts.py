@@ -306,6 +306,59 @@ def test_decontamination_in_blocks(spark, data):
     assert {tuple(r)[:2] for r in decontaminate.contaminated(docs, items, limit=15).collect()} == whole
 
 
+def test_decontamination_without_rare_terms(spark):
+    """Items whose terms are all common: repeated ones, and one of words that many others hold."""
+    same = "seven wizards mix a potion of jade and quartz near the old mill"
+    many = [f"one plus two makes{a} and{b} four" for a in range(4) for b in range(10)]
+    text = f"so it was said that {same} and then nothing more"
+    docs = spark.createDataFrame([(1, text), (2, "nothing of the kind"), (3, f"x {many[7]} y")], "doc_id long, text string")
+    items = spark.createDataFrame([*((k, same) for k in range(20)), *((100 + k, t) for k, t in enumerate(many))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert {i for d, i in got if d == 1} == set(range(20))
+    assert (3, 107) in got and not {i for d, i in got if d == 2}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_decontamination_bound_loses_no_passage():
+    """Candidates against the scores of every passage, with terms from rare to in all items."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}".encode() for i in range(30)]
+    draw = lambda n: [vocabulary[i] for i in np.minimum(rng.geometric(0.12, n) - 1, 29)]
+    items = [(k, b" ".join(draw(8))) for k in range(60)]
+    df: dict = {}
+    for _, t in items:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    index = decontaminate.ItemIndex(items, df, len(items), 8.0)
+    texts = [draw(int(rng.integers(0, 60))) for _ in range(80)]
+    get, none, stride = index.term.get, len(index.lists), index.longest
+    ids, segment, last, want, base = [], [], [], set(), 0
+    for words in texts:
+        for lo in range(0, len(words), stride):
+            have = {get(w, none) for w in words[lo : lo + 2 * stride]}
+            score = np.zeros(len(items))
+            for t in have - {none}:
+                score[index.lists[t][0]] += index.lists[t][1]
+            want |= {base + lo // stride} if score.max() >= 0.8 else set()
+        n = -(-len(words) // stride)
+        ids += [get(w, none) for w in words]
+        segment += [base + i // stride for i in range(len(words))]
+        last += [i == n - 1 for i in range(n)]
+        base += n
+    arrays = np.array(ids), np.array(segment), np.array([*last, False])
+    got = index.candidates(*arrays, 0.8).tolist()
+    assert want and want <= set(got)
+    decontaminate.PAIRS, held = 1, decontaminate.PAIRS
+    assert index.candidates(*arrays, 0.8).tolist() == got
+    decontaminate.PAIRS = held
+
+
+def test_short_last_sentence_is_question():
+    assert decontaminate.question_and_answer(b"Name the old mill of jade. Show work.")[1] == []
+    assert decontaminate.question_and_answer(b"Name the old mill.\nJade")[1] == [b"jade"]
+    assert decontaminate.question_and_answer(b"Name the mill. It is the old one")[1] == [b"it", b"is", b"the", b"old", b"one"]
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     for name, schema in (("documents", nothing.schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
