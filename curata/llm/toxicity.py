@@ -29,6 +29,8 @@ LEAST_ODDS = 2.5
 STEMS = (4, 5, 6)
 #: Letters of a term from which one edit is allowed.
 FUZZY_FROM = 5
+#: Weight of a misspelled hit as a share of the term's, for each edit.
+EDITED = 0.7
 #: Bytes of context on each side of a hit.
 WINDOW = 48
 CUT = 0.3
@@ -125,7 +127,7 @@ class Lexicon:
                 total += 1
                 quoted += context < 1
                 fuzzy += misspelled
-                abuse += 0.0 if misspelled else weight * context
+                abuse += weight * context * (EDITED if misspelled else 1.0)
         return [np.log1p(abuse), np.log1p(quoted), np.log1p(fuzzy), np.log1p(100 * total / max(1, len(words)))]
 
 
@@ -158,7 +160,8 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (n - toxic + 1))
     counts = train.select("text", "toxic").mapInArrow(_term_counts, "term string, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counts.where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    known = materialize(counts.where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds), "toxic-terms")
+    found = known.where((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS))
     rows = found.orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()  # bounded
     score = {r.term: (r.toxic, r.odds) for r in rows}
     words = {t for t in score if not t.endswith("*")}
@@ -174,6 +177,14 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     for r in rows:
         if r.term in words and not any(r.term[:n] in stems for n in STEMS if n < len(r.term)) and len(chosen) < TERMS:
             chosen[r.term] = r.odds
+    # the words of a stem's family, rarer ones too, weigh what the stem does and make its misspellings known
+    family = F.lit(False)
+    for n in sorted(set(map(len, stems))):
+        family |= (F.length("term") > n) & F.substring("term", 1, n).isin(sorted(x for x in stems if len(x) == n))
+    words = known.where(family & ~F.endswith("term", F.lit("*")))
+    words = words.orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()  # bounded
+    for r in words:
+        chosen[r.term] = next(chosen[f"{r.term[:n]}*"] for n in STEMS if r.term[:n] in stems)
     return Lexicon(chosen)
 
 

@@ -106,6 +106,34 @@ def test_toxicity_finds_misspellings():
     assert plain[0] > quoted[0] and quoted[1] > plain[1]
 
 
+def test_misspelled_hits_weigh():
+    """A misspelled hit counts for less than the term and more than a quoted misspelling, which counts for something."""
+    lexicon = toxicity.Lexicon({"horrible": 3.0, "vile": 2.5})
+    plain, edited, quoted, none = (lexicon.features(t)[0] for t in (b"they are horrible", b"they are horible", b'"horible" he said', b"they are nice"))
+    assert plain > edited > quoted > none == 0
+
+
+def test_misspelled_texts_are_scored(spark):
+    """Misspelled and quoted copies of toxic texts, with a lexicon of a stem's family and a model of many texts."""
+    rng = np.random.default_rng(11)
+    vocabulary = [a + b + c for a in ("ka", "lo", "mi", "tu") for b in ("re", "sa", "vo", "ni") for c in ("da", "pe", "zu", "fo")]
+    family = ["grumbler", "grumbling", "grumbled", "grumbles", "grumbly"]
+    filler = lambda: " ".join(rng.choice(vocabulary, 40))
+    toxic = lambda: f"{filler()} {' '.join(rng.choice(family, 3))} {filler()}"
+    texts = [(i, toxic() if i % 3 == 0 else f'{filler()} he said "{family[i % 5]}" {filler()}' if i % 30 == 1 else filler(), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert model.lexicon.stems
+    edited = {w: f"x{w[1:]}" for w in family}  # within the stem
+    edited |= {w: f"{w[:2]}x{w[3:]}" for w in family[:2]}
+    assert all(model.lexicon.look_up(x.encode()) is not None and model.lexicon.look_up(x.encode())[1] for x in edited.values())
+    for i, text, y in texts[:60]:
+        for a, b in edited.items():
+            text = text.replace(a, b)
+        assert (model.score(text.encode()) >= toxicity.CUT) == y, (i, text)
+
+
 def test_trie_is_levenshtein():
     def distance(a, b):
         row = list(range(len(b) + 1))
