@@ -8,6 +8,7 @@ looks for the whole notice and tells its span and number of edits.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -79,34 +80,36 @@ class NoticeIndex:
     def fuzzy(self, padded: bytes) -> list[tuple[int, int, str, int, float]]:
         """(first word, word after the last, label, edits, score) of the notices; the best where one label overlaps."""
         text = padded.decode("latin-1")  # a character for each byte
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int, int]] = set()
         for end, (size, owners) in self.automaton.iter(text):
             for k, offset in owners:
                 flat, _, edits, _ = self.notices[k]
                 lo = max(0, end - size + 1 - offset - edits)
                 hi = min(len(text), lo + len(flat) + 2 * edits + 1)
-                mine = windows.setdefault(k, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], hi)
-                else:
-                    mine.append([lo, hi])
-        found = []
-        for k, spans in windows.items():
-            flat, label, _, pattern = self.notices[k]
-            for lo, hi in spans:
-                for m in pattern.finditer(text, lo, hi):
-                    edits = sum(m.fuzzy_counts)
-                    whole = text[m.start() : m.end()]
-                    start = m.start() + len(whole) - len(whole.lstrip())
-                    stop = m.end() - (len(whole) - len(whole.rstrip()))
-                    first = text.count(" ", 0, start + (text[start] != " ")) - 1
-                    found.append((first, text.count(" ", 0, stop), label, edits, 1 - edits / len(flat)))
-        found.sort(key=lambda x: (-x[4], -(x[1] - x[0]), x[0], x[2]))
-        kept: list[tuple[int, int, str, int, float]] = []
-        for x in found:
-            if not any(x[0] < y[1] and y[0] < x[1] for y in kept):
-                kept.append(x)
-        return sorted(kept)
+                windows.add((k, lo, hi))
+        matches = set()
+        for k, lo, hi in windows:  # each hit has its own: in a longer one a better copy would hide those before it
+            flat, _, most, pattern = self.notices[k]
+            spans = [(lo, hi)]
+            while spans:
+                lo, hi = spans.pop()
+                m = pattern.search(text, lo, hi) if hi - lo >= len(flat) - most else None
+                if m and m.end() > m.start():
+                    matches.add((k, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    spans += [(lo, m.start()), (m.end(), hi)]
+        found = set()
+        for k, start, stop, edits in matches:
+            flat, label, _, _ = self.notices[k]
+            whole = text[start:stop]
+            start, stop = start + len(whole) - len(whole.lstrip()), stop - (len(whole) - len(whole.rstrip()))
+            first = text.count(" ", 0, start + (text[start] != " ")) - 1
+            found.add((first, text.count(" ", 0, stop), label, edits, 1 - edits / len(flat)))
+        kept: list[tuple[int, int, str, int, float]] = []  # in order, none overlaps another
+        for x in sorted(found, key=lambda x: (-x[4], -(x[1] - x[0]), x[0], x[2])):
+            at = bisect_left(kept, x)
+            if (at == 0 or kept[at - 1][1] <= x[0]) and (at == len(kept) or x[1] <= kept[at][0]):
+                kept.insert(at, x)
+        return kept
 
 
 def scan(text: bytes, index: NoticeIndex) -> tuple:

@@ -226,6 +226,16 @@ def test_licenses_with_edits():
     assert licenses.scan(b"nothing of the kind stands here", index)[5] == ""
 
 
+def test_licenses_before_a_better_copy():
+    """An edited notice beside a better one, and lists of both."""
+    index = licenses.NoticeIndex()
+    edited, exact = "released undex the mit license", "released under the mit license"
+    spans = lambda text: [(x["first"], x["end"], x["edits"]) for x in licenses.scan(text.encode(), index)[7]]
+    assert spans(f"{edited} and {exact}") == [(0, 5, 1), (6, 11, 0)]
+    assert spans(f"{exact} {edited} {edited} {exact}") == [(0, 5, 0), (5, 10, 1), (10, 15, 1), (15, 20, 0)]
+    assert spans("\n".join([edited, exact] * 50)) == [(5 * k, 5 * k + 5, 1 - k % 2) for k in range(100)]
+
+
 def test_urls(spark, data):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{data}/pages.parquet'")
