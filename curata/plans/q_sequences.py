@@ -206,9 +206,11 @@ def worker_shares(spark, sf_dir):
 
 # repetition
 
-@query("ngram_repetition", r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents), g AS (SELECT doc_id, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM w)), r AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT doc_id, count(*) AS grams, max(n) AS most FROM r GROUP BY doc_id")
+@query("ngram_repetition", r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents), g AS (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM w)), r AS (SELECT doc_id, g, count(*) AS n, sum(p - 1)::BIGINT AS places, min(p - 1) AS first FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT doc_id, count(*) AS grams, max(n) AS most, sum(places)::BIGINT AS places, min(g) AS least_gram FROM r GROUP BY doc_id")
 def ngram_repetition(spark, sf_dir):
-    return R.repeated_grams(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("grams"), F.max("times").alias("most"))
+    rows = R.repeated_grams(table(spark, sf_dir, "documents"), "doc_id", "text")
+    places = F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("grams"), F.max("times").alias("most"), places.alias("places"), F.min("gram").alias("least_gram"))
 
 
 BLOCKS = r"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents),
@@ -224,7 +226,7 @@ def block_repetition(spark, sf_dir):
     return R.repeated_blocks(table(spark, sf_dir, "documents"), "doc_id", R.sentences(F.col("text")), 5)
 
 
-@query("consecutive_repetition", BLOCKS + "SELECT doc_id, block, total, run, first FROM t WHERE run > 1 AND length(block) >= 10")
+@query("consecutive_repetition", BLOCKS + ", c AS (SELECT doc_id, block, arg_min(n, p) AS run, min(p)::INT AS first FROM r WHERE n > 1 GROUP BY ALL) SELECT doc_id, block, total, c.run, c.first FROM c JOIN t USING (doc_id, block) WHERE length(block) >= 10")
 def consecutive_repetition(spark, sf_dir):
     return R.consecutive_blocks(table(spark, sf_dir, "documents"), "doc_id", R.sentences(F.col("text")), 10)
 
