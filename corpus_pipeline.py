@@ -10,35 +10,56 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.llm import decontaminate, packing, pii, quality, simhash
-from curata.runtime import materialize
+from curata.runtime import discard, free_name, materialize
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Drop documents that fail the rules or whose host does."""
+    """Drop documents that fail the rules or whose host does.
+
+    A null text fails for its few words; a null source is a host of its own; repeated rows are judged each and stay
+    together; an empty table stays empty; other columns keep their values, whatever their names.
+    """
     return quality.keep_good(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keep one document of each group of near copies, the one with the least id."""
+    """Keep one document of each group of near copies (five-word shingles, similarity 0.8), the one with the least id.
+
+    Of equal ids the first row stays; a null id only where the whole group has none; null texts and texts without words
+    are copies of each other; an empty table stays empty; other columns keep their values, whatever their names.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    """Drop documents that hold an item of the benchmark."""
+    """Drop documents that hold an item of the benchmark.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; an empty table or benchmark drops
+    nothing; other columns keep their values, whatever their names.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark, docs, sf_dir):
-    """Replace personal data by its kind; ``n_chars`` follows where a text changes."""
-    counted = pii.redact(docs.withColumn("curata_before", F.length("text")))
+    """Replace personal data by its kind; ``n_chars`` follows where a text changes.
+
+    All rows stay, repeated ones too; a null text stays null and a null ``n_chars`` too; an empty table stays empty; other
+    columns keep their values, whatever their names.
+    """
+    before = free_name(docs, "curata_before")
+    counted = pii.redact(docs.withColumn(before, F.length("text")))
     if "n_chars" in docs.columns:
-        shift = F.coalesce(F.length("text") - F.col("curata_before"), F.lit(0))
+        shift = F.coalesce(F.length("text") - F.col(before), F.lit(0))
         counted = counted.withColumn("n_chars", (F.col("n_chars") + shift).cast(docs.schema["n_chars"].dataType))
     return counted.select(*docs.columns)
 
 
 def pack(spark, docs, sf_dir):
-    """Pack the tokens of all documents into sequences."""
+    """Pack the tokens of all documents into sequences.
+
+    A null or empty text is the end id alone; repeated rows are packed each; an empty table gives no pieces; other columns
+    are not read.
+    """
     return packing.packed(docs)
 
 
@@ -57,5 +78,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)  # only tables of our own
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
