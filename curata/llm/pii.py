@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.native import let
+from curata.runtime import free_name
 
 #: Kinds in their order. The look-behinds only save retries inside a run of characters; they change no match.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -157,7 +158,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every confirmed span of ``text`` replaced by its kind; null texts stay null, all rows stay."""
-    mark = "curata_pii"
+    mark = free_name(docs, "curata_pii")
     out = with_pii(docs, "text", mark)
     clean = F.when(F.size(mark) > 0, redacted(F.col("text"), F.col(mark))).otherwise(F.col("text"))
     return out.withColumn("text", clean).select(*docs.columns)

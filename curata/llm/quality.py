@@ -74,16 +74,16 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame, host: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, host`` and the statistics and rule results of each document, without its text."""
+def measured(docs: DataFrame, host: str = "source", carry: Column | None = None) -> DataFrame:
+    """The carried column (by default ``doc_id``), ``host``, the statistics and the rule results of each document."""
     stats = statistics(F.col("text"))
     out = docs.select(
-        F.col(id_col).alias("doc_id"),
+        (F.col("doc_id") if carry is None else carry).alias("carried"),
         F.coalesce(F.concat(F.lit("h:"), F.col(host).cast("string")), F.lit("none")).alias("host"),
         *(c.alias(k) for k, c in stats.items()),
     )
     out = out.select(
-        "doc_id", "host", F.col("word_stats.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "carried", "host", F.col("word_stats.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         F.col("word_stats.r").cast("long").alias("n_repeat_words"), "n_lines",
     )
     return out.withColumns({"base_failed": base_failed(), "failed": base_failed() | soft_failed()})
@@ -113,37 +113,31 @@ def host_rates(stats: DataFrame) -> DataFrame:
     return joined.select("host", "docs", "failures", F.coalesce(F.round(shrunk, 9), F.col("mean")).alias("host_rate"))
 
 
-def host_verdicts(docs: DataFrame, host: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The statistics of each document, and ``host, host_rate, host_ok`` of each host, both as written tables."""
-    stats = materialize(measured(docs, host), "quality")
+def host_verdicts(stats: DataFrame) -> DataFrame:
+    """``host, host_rate, host_ok`` of each host as a written table."""
     rates = host_rates(stats).select("host", "host_rate", (F.col("host_rate") <= HOST_RATE).alias("host_ok"))
-    return stats, materialize(rates, "host-verdicts")
+    return materialize(rates, "host-verdicts")
 
 
 def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row for each document: its statistics, ``base_failed``, ``host_rate`` and ``kept``.
 
     A null text is empty and fails for its few words; a null host is a host of its own; repeated rows count and return
-    as often as they are there; an empty table gives an empty result.
+    as often as they are there; an empty table gives an empty result; other columns of ``docs`` do no harm.
     """
-    stats, verdicts = host_verdicts(docs, host)
-    return join_checked(stats, verdicts, ["host"], "left").withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
+    stats = materialize(measured(docs, host).withColumnRenamed("carried", "doc_id"), "quality")
+    return join_checked(stats, host_verdicts(stats), ["host"], "left").withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with all columns as they are."""
-    _, verdicts = host_verdicts(docs, host)
-    bad = verdicts.where(~F.col("host_ok")).select(F.col("host").alias("curata_host"))
-    stats = statistics(F.col("text"))
-    marked = docs.withColumns(
-        {
-            "curata_words": stats["word_stats"],
-            "curata_host": F.coalesce(F.concat(F.lit("h:"), F.col(host).cast("string")), F.lit("none")),
-        }
-    )
-    n, r = F.col("curata_words.n"), F.col("curata_words.r")
-    good = marked.where((n >= LEAST_WORDS) & (100 * r <= round(100 * REPEAT_SHARE) * n))
-    return join_checked(good, bad, ["curata_host"], "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that pass, with all columns as they are, whatever their names.
+
+    Null texts and hosts, repeated rows and empty tables are as in :func:`judged`. Each row is written once, packed into
+    one column beside its verdicts, so the costly statistics are computed once and no column can clash.
+    """
+    rows = materialize(measured(docs, host, F.struct("*")).select("carried", "host", "base_failed", "failed"), "quality-rows")
+    bad = host_verdicts(rows).where(~F.col("host_ok")).select("host")
+    return join_checked(rows.where(~F.col("base_failed")), bad, ["host"], "left_anti").select("carried.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
