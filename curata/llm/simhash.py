@@ -1,17 +1,21 @@
 """Near-duplicate documents by SimHash fingerprints and a self-join of their binary trie.
 
 A fingerprint is the bitwise majority of the hashes of all word shingles. Two fingerprints link if at most ``budget``
-bits differ. The bits are cut into ``blocks`` runs; of two linked fingerprints at least ``blocks - budget`` runs are
-equal, so each fingerprint is dealt out under every choice of that many runs. Within one such key the fingerprints form
-a binary trie, and pairs of its nodes are traversed together: differing bits add up on the way down, and a pair of nodes
-is dropped as soon as they exceed the budget.
+bits differ. Fingerprints are dealt out under keys of some of their bits and meet under every key that is equal. Within
+one key they form a binary trie, and pairs of its nodes are traversed together: differing bits add up on the way down,
+and a pair of nodes is dropped as soon as they exceed the budget.
+
+:func:`near_duplicates` takes 64 bits and every choice of ``blocks - budget`` of ``blocks`` runs of bits as keys: of two
+linked fingerprints at least that many runs are equal, so none is lost. :func:`similar_documents` takes four times as
+many bits, whose differences tell the similarity of two sets of shingles, and as many keys of random bits as leave
+a stated share of links at the least similarity unfound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.components import connected_components
-from curata.runtime import arrow_rows, discard, materialize, shuffle_width
+from curata.runtime import arrow_rows, discard, free_name, join_checked, materialize, shuffle_width
 
 SHINGLE = 4
 BUDGET = 4
@@ -29,53 +33,127 @@ BLOCKS = 6
 CAP = 4096
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 20
+#: Near-duplicate texts: words of a shingle, least similarity of the sets of shingles, 64-bit words of a fingerprint.
+WIDTH, SIMILARITY, WORDS = 5, 0.8, 4
+#: Share of links at the least similarity that no key brings together.
+MISSED = 0.01
+#: Fingerprints that share a key by chance, about; more documents make the keys longer.
+BY_CHANCE = 64
+#: Losing rows that are broadcast at most; more are joined by sort-merge.
+LOSERS = 1_000_000
+
+
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of all word shingles, repeats included; of the whole text if it has fewer words, none without words."""
+    words = text.lower().split()  # bytes: A-Z only, and white space of one byte only
+    hash64, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1) if words else 0
+    return np.array([hash64(b" ".join(words[i : i + width]), 42) for i in range(n)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as one number; 0 without hashes."""
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
+    for at in range(0, n, 255):  # sums that fit a byte
+        bits = np.unpackbits(hashes[at : at + 255].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a text; 0 if it has no word."""
-    words = text.lower().split()  # bytes: A-Z only, and white space of one byte only
-    if not words:
-        return 0
-    hash64, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    hashes = np.array([hash64(b" ".join(words[i : i + width]), 42) for i in range(n)], dtype=">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(shingle_hashes(text, width))
+
+
+def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Other hashes of the same shingles for a further 64 bits (the finaliser of splitmix64 on a shifted hash)."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        prints = np.array([fingerprint(t or b"") for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(prints)], ["rid", "doc_id", "fp"])
+def wide_fingerprint(text: bytes, width: int = WIDTH, words: int = WORDS) -> list[int]:
+    """A fingerprint of ``64 * words`` bits of the set of shingles; zeros if the text has no word."""
+    hashes = np.unique(shingle_hashes(text, width))
+    return [majority(mixed(hashes, k + 1)) for k in range(words)]
+
+
+def _prints(words: int, width: int):
+    def of(text: bytes) -> list[int]:
+        return [fingerprint(text, width)] if words == 1 else wide_fingerprint(text, width, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            prints = np.array([of(t or b"") for t in texts], dtype=np.uint64).reshape(-1, words).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(c)) for c in prints.T]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *columns], ["rid", "doc_id", *_names(words)])
+
+    return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``rid, doc_id, fp`` of a table with ``rid``, ``doc_id`` and ``text``; a null text counts as empty."""
+def _names(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
+
+
+def fingerprints(docs: DataFrame, words: int = 1, width: int = SHINGLE) -> DataFrame:
+    """``rid, doc_id, f0, ...`` of a table with ``rid``, ``doc_id`` and ``text``; a null text counts as empty."""
     arrow_rows(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    return docs.select("rid", "doc_id", "text").mapInArrow(
-        _fingerprints, f"rid {kinds['rid']}, doc_id {kinds['doc_id']}, fp long"
-    )
+    prints = ", ".join(f"{c} long" for c in _names(words))
+    return docs.select("rid", "doc_id", "text").mapInArrow(_prints(words, width), f"rid {kinds['rid']}, doc_id {kinds['doc_id']}, {prints}")
 
 
-def _keys(fp: Column, budget: int, blocks: int) -> list[Column]:
-    """One key for each choice of ``blocks - budget`` runs of bits: the choice's number above those bits."""
+def run_keys(budget: int = BUDGET, blocks: int = BLOCKS) -> list[Column]:
+    """One key for each choice of ``blocks - budget`` runs of bits of ``f0``: no pair within the budget is lost."""
+    if not budget < blocks <= 16:
+        raise ValueError("blocks must be above budget, and 16 at most")
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for number, chosen in enumerate(combinations(range(blocks), blocks - budget)):
         mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
+        keys.append(F.struct(F.lit(number).alias("choice"), F.col("f0").bitwiseAND(F.lit(_signed(mask))).alias("bits")))
+    return keys
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two sets of equal size and this Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def similarity_budget(similarity: float = SIMILARITY, words: int = WORDS) -> int:
+    """Differing bits that are allowed: what is expected at the similarity and one standard deviation."""
+    n, p = 64 * words, differing_share(similarity)
+    return int(n * p + sqrt(n * p * (1 - p)))
+
+
+def random_keys(count: int, similarity: float = SIMILARITY, words: int = WORDS, missed: float = MISSED) -> list[Column]:
+    """Keys of random bits for ``count`` fingerprints, as many as leave a share of ``missed`` at the similarity unfound."""
+    bits = max(12, (max(count, 1) // BY_CHANCE).bit_length())
+    number = ceil(log(missed) / log(1 - (1 - differing_share(similarity)) ** bits))
+    rng = np.random.default_rng(64)
+    keys = []
+    for k in range(number):
+        chosen = [int(b) for b in rng.choice(64 * words, bits, replace=False)]
+        masks = [sum(1 << b % 64 for b in chosen if b // 64 == w) for w in range(words)]
+        parts = [F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(_names(words), masks, strict=True) if m]
+        keys.append(F.struct(F.lit(k).alias("choice"), F.xxhash64(*parts).alias("bits")))
     return keys
 
 
 def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.ndarray) -> None:
     """Join each group's binary trie with itself and merge the labels of all pairs within the budget.
 
-    ``group`` and ``prints`` are sorted by (group, print). A node is a run ``[lo, hi)`` of that order and a label is the
-    least position that a position is linked to. Node pairs whose leaves all have one label already are dropped.
+    ``group`` and the rows of ``prints``, the most significant word first, are sorted by (group, print). A node is a run
+    ``[lo, hi)`` of that order and a label is the least position that a position is linked to. Node pairs whose leaves all
+    have one label already are dropped.
     """
-    n = len(prints)
+    n, words = prints.shape
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[starts[1:], n]
     many = ends - starts > 1
@@ -84,10 +162,11 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.nd
 
     def ones_before(bit: int) -> np.ndarray:
         if bit not in ones:
-            ones[bit] = np.r_[0, np.cumsum((prints >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
+            column = prints[:, words - 1 - bit // 64]
+            ones[bit] = np.r_[0, np.cumsum((column >> np.uint64(bit % 64)) & np.uint64(1), dtype=np.int64)]
         return ones[bit]
 
-    stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int8))]
+    stack = [(64 * words - 1, lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int16))]
     while stack:
         bit, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > FRONTIER:
@@ -99,7 +178,7 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.nd
         leaf = ~same & (ahi - alo == 1) & (bhi - blo == 1)
         a, b = alo[leaf], blo[leaf]
         if len(a):
-            near = np.bitwise_count(prints[a] ^ prints[b]) <= budget
+            near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= budget
             _merge(labels, a[near], b[near])
         rest = ~same & ~leaf
         alo, ahi, blo, bhi, err = (x[rest] for x in (alo, ahi, blo, bhi, err))
@@ -146,68 +225,85 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def _join_tries(budget: int, limit: int):
+def _join_tries(words: int, budget: int, limit: int):
+    names = _names(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(group: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        def links(group: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
             labels = np.arange(len(prints))
             trie_pairs(group, prints, budget, labels)
             moved = np.flatnonzero(labels != np.arange(len(prints)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(prints[moved].view(np.int64)), pa.array(prints[labels[moved]].view(np.int64))], ["u", "v"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], ["u", "v"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows, last, number = 0, None, 0
         for batch in batches:
             key = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "bits", "i", "j")]
-            prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            prints = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names], axis=1)
             if not len(prints):
                 continue
             first = np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)]
             first[0] = last is None or tuple(k[0] for k in key) != last
             group = number + np.cumsum(first)
             number, last = int(group[-1]), tuple(k[-1] for k in key)
-            held.append((group, prints))
+            held.append((group, nodes, prints))
             rows += len(prints)
             if rows >= limit:  # all groups but the last are complete
-                group, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+                group, nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.searchsorted(group, group[-1]))
                 if cut:
-                    yield links(group[:cut], prints[:cut])
-                held, rows = [(group[cut:], prints[cut:])], len(group) - cut
+                    yield links(group[:cut], nodes[:cut], prints[:cut])
+                held, rows = [(group[cut:], nodes[cut:], prints[cut:])], len(group) - cut
         if rows:
-            group, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield links(group, prints)
+            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def fingerprint_links(prints: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, cap: int = CAP) -> DataFrame:
-    """Links ``u, v`` that connect all of ``prints(fp)`` with at most ``budget`` differing bits; ``fp`` is distinct.
+def fingerprint_links(prints: DataFrame, keys: list[Column], budget: int = BUDGET, cap: int = CAP) -> DataFrame:
+    """Links ``u, v`` between the ``node`` numbers of ``prints(node, f0, ...)``, which are distinct.
 
-    Within a key each fingerprint is linked to one of its component there, not to every partner: no link between
-    components is lost and a key of m near copies gives m rows. A key of more than ``cap`` fingerprints is cut into
-    parts by hash, and each two parts meet in a task of their own, so no task holds more than two of them.
+    Fingerprints that share a key and differ in ``budget`` bits at most end up connected. Within a key each is linked to
+    one of its component there, not to every partner: no link between components is lost and a key of m near copies gives
+    m rows. A key of more than ``cap`` fingerprints is cut into parts by hash, and each two parts meet in a task of their
+    own, so no task holds more than two of them.
     """
-    if not budget < blocks <= 16:
-        raise ValueError("blocks must be above budget, and 16 at most")
-    spark = prints.sparkSession
-    dealt = prints.select("fp", F.explode(F.array(*_keys(F.col("fp"), budget, blocks))).alias("k")).select(
-        "fp", "k.choice", "k.bits"
-    )
+    spark, names = prints.sparkSession, [c for c in prints.columns if c != "node"]
+    dealt = prints.select("node", *names, F.explode(F.array(*keys)).alias("k")).select("node", *names, "k.choice", "k.bits")
     sizes = dealt.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
     met = dealt.join(sizes.hint("merge"), ["choice", "bits"])
-    parts = F.ceil(F.col("n") / F.lit(cap)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    met = met.select("fp", "choice", "bits", parts.alias("parts")).withColumn("own", own)
+    met = met.withColumn("parts", F.ceil(F.col("n") / F.lit(cap)).cast("int")).drop("n")
+    met = met.withColumn("own", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     met = met.withColumn("other", F.explode(other)).select(
-        "fp", "choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        "node", *names, "choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
     # unsigned order of the prints: flip the sign bit for the sort
-    order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))
-    tasks = met.repartition(shuffle_width(spark), "choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j", order)
-    return tasks.mapInArrow(_join_tries(budget, 200_000), "u long, v long").distinct()
+    order = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in names]
+    tasks = met.repartition(shuffle_width(spark), "choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j", *order)
+    return tasks.mapInArrow(_join_tries(len(names), budget, 200_000), "u long, v long").distinct()
+
+
+def _with_components(marked: DataFrame, keys, budget: int, cap: int) -> DataFrame:
+    """``rid, doc_id, f0, ..., component_id, keeper`` of a written table ``rid, doc_id, f0, ...``; ``keys`` takes a count."""
+    names = [c for c in marked.columns if c not in ("rid", "doc_id")]
+    # nulls last, then the first row
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
+    prints = marked.groupBy(*names).agg(F.min(first).alias("first"))
+    prints = materialize(prints.withColumn("node", F.col("first.rid")), "distinct-prints")
+    links = fingerprint_links(prints.select("node", *names), keys(prints.count()), budget, cap)
+    rooted = prints.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    ids = rooted.join(least, "root").select(*names, F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keeper"))
+    ids = materialize(ids, "components")
+    discard(prints)
+    return marked.join(ids.hint("merge"), names).select("rid", "doc_id", *names, "component_id", "keeper")
+
+
+def _numbered(docs: DataFrame, rid: str | None) -> DataFrame:
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
+    return docs.select(number.alias("rid"), "doc_id", "text")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, cap: int = CAP, rid: str | None = None) -> DataFrame:
@@ -219,35 +315,35 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS,
     Rows with the same ``doc_id`` stay rows of their own; an empty table gives an empty result. ``rid`` names a
     column of distinct row numbers; without it the rows are numbered here. Other columns do no harm, whatever their names.
     """
-    number = F.col(rid) if rid else F.monotonically_increasing_id()
-    docs = docs.select(number.alias("rid"), "doc_id", "text")
-    marked = materialize(fingerprints(docs), "prints")
-    # nulls last, then the first row
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
-    prints = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "distinct-prints")
-    roots = connected_components(fingerprint_links(prints.select("fp"), budget, blocks, cap))
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    ids = rooted.join(least, "root").select(
-        "fp", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keeper")
-    )
-    ids = materialize(ids, "components")
-    discard(prints)
-    return marked.join(ids.hint("merge"), "fp").select("rid", "doc_id", "fp", "component_id", "keeper")
+    marked = materialize(fingerprints(_numbered(docs, rid)), "prints")
+    return _with_components(marked, lambda n: run_keys(budget, blocks), budget, cap).withColumnRenamed("f0", "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS, cap: int = CAP) -> DataFrame:
-    """The rows of ``docs`` that are the keeper of their component, with all their columns.
+def similar_documents(
+    docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, words: int = WORDS, cap: int = CAP, rid: str | None = None, missed: float = MISSED
+) -> DataFrame:
+    """``rid, doc_id, component_id, keeper`` by the similarity of the sets of word shingles, as fingerprints tell it.
 
-    Clashing column names in ``docs`` do no harm: the rows are numbered under a name of their own.
+    Two texts link if their wide fingerprints differ in :func:`similarity_budget` bits at most. Texts with equal sets of
+    shingles, exact copies among them, always link. Nulls, repeats and empty tables are as in :func:`near_duplicates`.
     """
-    mark = "curata_rid"
+    marked = materialize(fingerprints(_numbered(docs, rid), words, width), "wide-prints")
+    found = _with_components(marked, lambda n: random_keys(n, similarity, words, missed), similarity_budget(similarity, words), cap)
+    return found.select("rid", "doc_id", "component_id", "keeper")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that are the keeper of their component in :func:`similar_documents`, with all their columns.
+
+    Of equal ids the first row stays; null texts are copies of each other and of texts without words; an empty table
+    stays empty. No column name can clash: the rows are numbered under a free name. Only the numbers of rows that go are
+    joined back, by broadcast while they are few.
+    """
+    mark = free_name(docs, "curata_rid")
     held = materialize(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(held, budget, blocks, cap, mark)
-    keep = found.where("rid = keeper").select(F.col("rid").alias(mark))
-    return held.join(keep.hint("merge"), mark, "left_semi").drop(mark)
+    found = similar_documents(held, similarity, width, rid=mark)
+    losers = materialize(found.where("rid <> keeper").select(F.col("rid").alias(mark)), "losers")
+    return join_checked(held, losers, [mark], "left_anti", LOSERS).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
@@ -256,7 +352,3 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
-
-def choices(budget: int = BUDGET, blocks: int = BLOCKS) -> int:
-    """How many rows a fingerprint is dealt out as."""
-    return comb(blocks, blocks - budget)

@@ -2,9 +2,11 @@
 
 import numpy as np
 from llm import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from curata.llm import decontaminate
+from curata.llm import decontaminate, simhash
+from curata.runtime import materialize
 
 
 def test_stages(spark, data, odd, tmp_path):
@@ -21,8 +23,10 @@ def test_stages(spark, data, odd, tmp_path):
             assert set(after) <= fine and len(after) > 0.9 * len(fine)
         elif name == "near_dedup":
             ids = sorted(before)
-            first = brute.components([brute.fingerprint(before[i].text) for i in ids])
-            assert set(after) == {ids[k] for k in first}
+            first = brute.components([brute.wide(before[i].text) for i in ids], simhash.similarity_budget())
+            keepers = {ids[k] for k in first}
+            assert keepers <= set(after) and len(set(after) - keepers) <= 0.1 * (len(ids) - len(keepers))
+            assert len({r.text for r in after.values()}) == len(after)
         elif name == "benchmark_decontamination":
             items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
             for r in after.values():
@@ -42,6 +46,23 @@ def test_stages(spark, data, odd, tmp_path):
     assert np.all([r.offset + r.length <= 2048 for r in rows])
 
 
+def test_stages_keep_clashing_columns(spark, odd, data):
+    """Columns named like those inside the stages come out with the values that they went in with."""
+    names = ["curata_rid", "curata_RID_", "curata_host", "curata_pii", "curata_before", "carried", "node", "keeper", "base_failed", "failed", "word_stats", "root"]
+    good = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: F.concat(F.lit("w"), F.col("doc_id") * 100 + i)), " ")
+    fine = odd.limit(10).withColumns({"doc_id": F.monotonically_increasing_id() + 100, "source": F.lit("fine")}).withColumn("text", good)
+    docs = odd.unionByName(fine).withColumn("key", F.monotonically_increasing_id()).select("*", *(F.concat(F.lit(n), F.col("key")).alias(n) for n in names))
+    docs = materialize(docs, "clashes")
+    other = [c for c in docs.columns if c not in ("text", "n_chars")]
+    before = {r.key: r for r in docs.select(*other).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.select(*other).collect()
+        assert rows and all(r == before[r.key] for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() >= len(before)
+
+
 def test_stages_take_odd_rows(spark, odd, nothing, data):
     for docs in (odd, nothing):
         for _, stage in corpus_pipeline.STAGES[:-1]:
