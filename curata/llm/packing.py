@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.runtime import arrow_rows, materialize
+from curata.runtime import arrow_rows, join_checked, materialize
 
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -222,7 +222,8 @@ def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
     counts = materialize(counts, "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
     table = slot_table(shortest_pack_first(histogram, length))
-    ranked = pieces.join(counts.select("length", "part", "before"), ["length", "part"])
+    # a row for each length and input partition: broadcast only while counted as few
+    ranked = join_checked(pieces, counts.select("length", "part", "before"), ["length", "part"], "inner")
     ranked = ranked.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("local_rank")).alias("rank")
     )
