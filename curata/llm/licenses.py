@@ -2,7 +2,7 @@
 
 Each notice is cut into one piece more than it may have edits, so an edited copy still holds some piece unchanged. One
 Aho-Corasick automaton finds all pieces in one pass; around each hit the ``regex`` library's bounded-error matching
-looks for the whole notice and tells its span and number of edits.
+looks for the whole notice and tells its span and number of edits. A match begins and ends at the edges of words.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -57,7 +58,7 @@ class NoticeIndex:
         for k, (text, label) in enumerate(notices):
             flat = text.encode().decode("latin-1")
             edits = max(1, len(flat) // chars_per_edit)
-            pattern = regex.compile(rf"(?b)(?:{regex.escape(flat)}){{e<={edits}}}")
+            pattern = regex.compile(rf"(?b)(?<= )(?:{regex.escape(flat)}){{e<={edits}}}(?= )")
             self.notices.append((flat, label, edits, pattern))
             bounds = [len(flat) * i // (edits + 1) for i in range(edits + 2)]
             for a, b in zip(bounds, bounds[1:], strict=False):
@@ -67,25 +68,30 @@ class NoticeIndex:
             self.automaton.add_word(piece, (len(piece), owners))
         self.automaton.make_automaton()
 
-    def base(self, padded: bytes) -> list[tuple[int, str]]:
-        """(first word, label) of all exact places of the phrases in words that are joined and framed by blanks."""
-        out = []
+    def base(self, padded: bytes, blanks: np.ndarray) -> list[tuple[int, str]]:
+        """(first word, label) of all exact places of the phrases in words that are joined and framed by blanks.
+
+        ``blanks`` are the places of the blanks; word k follows the k-th of them.
+        """
+        places, labels = [], []
         for phrase, label in self.phrases:
             at = padded.find(phrase)
             while at >= 0:
-                out.append((padded.count(b" ", 0, at), label))
+                places.append(at)
+                labels.append(label)
                 at = padded.find(phrase, at + 1)
-        return out
+        return list(zip(np.searchsorted(blanks, places).tolist(), labels, strict=True))
 
-    def fuzzy(self, padded: bytes) -> list[tuple[int, int, str, int, float]]:
-        """(first word, word after the last, label, edits, score) of the notices; the best where one label overlaps."""
+    def fuzzy(self, padded: bytes, blanks: np.ndarray) -> list[tuple[int, int, str, int, float]]:
+        """(first word, word after the last, label, edits, score) of the notices, from word edge to word edge; of those
+        that overlap the best."""
         text = padded.decode("latin-1")  # a character for each byte
         windows: set[tuple[int, int, int]] = set()
         for end, (size, owners) in self.automaton.iter(text):
             for k, offset in owners:
                 flat, _, edits, _ = self.notices[k]
                 lo = max(0, end - size + 1 - offset - edits)
-                hi = min(len(text), lo + len(flat) + 2 * edits + 1)
+                hi = min(len(text), lo + len(flat) + 2 * edits + 2)
                 windows.add((k, lo, hi))
         matches = set()
         for k, lo, hi in windows:  # each hit has its own: in a longer one a better copy would hide those before it
@@ -93,17 +99,17 @@ class NoticeIndex:
             spans = [(lo, hi)]
             while spans:
                 lo, hi = spans.pop()
-                m = pattern.search(text, lo, hi) if hi - lo >= len(flat) - most else None
+                m = pattern.search(text, lo, hi) if hi - lo > len(flat) - most else None
                 if m and m.end() > m.start():
                     matches.add((k, m.start(), m.end(), sum(m.fuzzy_counts)))
                     spans += [(lo, m.start()), (m.end(), hi)]
+        order = sorted(matches)
+        firsts = np.searchsorted(blanks, [start - 1 for _, start, _, _ in order]).tolist()
+        stops = np.searchsorted(blanks, [stop for _, _, stop, _ in order]).tolist()
         found = set()
-        for k, start, stop, edits in matches:
+        for (k, _, _, edits), first, stop in zip(order, firsts, stops, strict=True):
             flat, label, _, _ = self.notices[k]
-            whole = text[start:stop]
-            start, stop = start + len(whole) - len(whole.lstrip()), stop - (len(whole) - len(whole.rstrip()))
-            first = text.count(" ", 0, start + (text[start] != " ")) - 1
-            found.add((first, text.count(" ", 0, stop), label, edits, 1 - edits / len(flat)))
+            found.add((first, stop, label, edits, 1 - edits / len(flat)))
         kept: list[tuple[int, int, str, int, float]] = []  # in order, none overlaps another
         for x in sorted(found, key=lambda x: (-x[4], -(x[1] - x[0]), x[0], x[2])):
             at = bisect_left(kept, x)
@@ -116,8 +122,9 @@ def scan(text: bytes, index: NoticeIndex) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of a text."""
     words = words_of(text)
     padded = b" " + b" ".join(words) + b" "
-    base = index.base(padded)
-    fuzzy = index.fuzzy(padded)
+    blanks = np.flatnonzero(np.frombuffer(padded, dtype=np.uint8) == 32)
+    base = index.base(padded, blanks)
+    fuzzy = index.fuzzy(padded, blanks)
     base_labels = sorted({x for _, x in base})
     labels = sorted({*base_labels, *(x[2] for x in fuzzy)})
     score = 1.0 if base else max((x[4] for x in fuzzy), default=0.0)
