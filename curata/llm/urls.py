@@ -6,8 +6,7 @@ probes and all workers of a machine share them. A digest that is found counts on
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from curata.runtime import checkpoint_root
+
 #: (verdict, host and path)
 RULES = [
     ("allow", "com/"),
@@ -42,6 +43,10 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:end].encode().translate(_UPPER).decode(), path[:cut]
 
 
+def digest(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw)
+
+
 class DigestArray:
     """Strings with a small code each, as a sorted digest array in memory-mapped files of a folder."""
 
@@ -53,9 +58,9 @@ class DigestArray:
         )
 
     @classmethod
-    def write(cls, folder: str, prefix: str, entries: list[tuple[str, int]]) -> list[str]:
-        """Write the files; of equal strings the last wins."""
-        keys = sorted((xxhash.xxh64_intdigest(s.encode()), s, c) for s, c in dict(entries).items())
+    def files(cls, entries: list[tuple[str, int]]) -> dict[str, bytes]:
+        """The files' contents by name; of equal strings the last wins."""
+        keys = sorted((digest(s.encode()), s, c) for s, c in dict(entries).items())
         raw = [s.encode() for _, s, _ in keys]
         arrays = (
             np.array([d for d, _, _ in keys], dtype=np.uint64),
@@ -63,10 +68,11 @@ class DigestArray:
             np.cumsum([0, *map(len, raw)], dtype=np.int64),
             np.frombuffer(b"".join(raw) or b"\0", dtype=np.uint8),
         )
-        paths = [os.path.join(folder, f"{prefix}-{n}.npy") for n in cls.NAMES]
-        for path, a in zip(paths, arrays, strict=True):
-            np.save(path, a)
-        return paths
+        out = {}
+        for name, a in zip(cls.NAMES, arrays, strict=True):
+            np.save(held := io.BytesIO(), a)
+            out[name] = held.getvalue()
+        return out
 
     def probe(self, texts: list[str]) -> np.ndarray:
         """The code of each text, -1 where it is not there."""
@@ -74,7 +80,7 @@ class DigestArray:
         if not len(self.digests) or not texts:
             return out
         raw = [t.encode() for t in texts]
-        wanted = np.array([xxhash.xxh64_intdigest(r) for r in raw], dtype=np.uint64)
+        wanted = np.array([digest(r) for r in raw], dtype=np.uint64)
         at = np.searchsorted(self.digests, wanted)
         found = np.flatnonzero((at < len(self.digests)) & (self.digests[np.minimum(at, len(self.digests) - 1)] == wanted))
         for i in found:
@@ -88,9 +94,14 @@ class DigestArray:
 
 
 def share_digests(spark: SparkSession, entries: list[tuple[str, int]]) -> str:
-    """Write a digest array and let Spark carry its files to every executor; the name to open it by."""
-    prefix = f"urls-{uuid.uuid4().hex}"
-    for path in DigestArray.write(tempfile.mkdtemp(prefix="curata-urls-"), prefix, entries):
+    """Write a digest array into the shared folder and let Spark carry it to every executor; the name to open it by."""
+    prefix, jvm = f"urls-{uuid.uuid4().hex}", spark._jvm
+    for name, data in DigestArray.files(entries).items():
+        path = f"{checkpoint_root(spark)}/{prefix}-{name}.npy"
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(data))
+        out.close()
         spark.sparkContext.addFile(path)
     return prefix
 
