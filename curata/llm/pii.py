@@ -83,35 +83,52 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, add, zero: str = "0") -> Column:
+    """Running sums (or maxima) of an ``array<int>``, itself included: within blocks of 64 values, then over the blocks.
+
+    Every step of a fold copies what it has so far, so one fold over many values would be quadratic.
+    """
+    none = F.expr("cast(array() as array<int>)")
+    grow = lambda a, x: F.array_append(a, add(F.coalesce(F.try_element_at(a, F.lit(-1)), F.expr(zero)), x))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.expr("0") + ((F.size(v) - 1) / 64).cast("int")), lambda k: F.slice(v, k * 64 + 1, 64))
+        inside = F.transform(blocks, lambda b: F.aggregate(b, none, grow))
+
+        def whole(p: Column) -> Column:
+            ends = F.aggregate(F.transform(p, lambda b: F.try_element_at(b, F.lit(-1))), none, grow)
+            shifted = lambda e: F.transform(p, lambda b, k: F.transform(b, lambda x: F.when(k == 0, x).otherwise(add(F.get(e, k - 1), x))))
+            return F.flatten(let(ends, shifted))
+
+        return F.when(F.size(v) > 0, let(inside, whole)).otherwise(none)
+
+    return let(values, of)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """``array<struct<start, kind_no, end, kind, score>>``: confirmed, leftmost, non-overlapping, in code points.
 
-    The text is split at the pattern, so the lengths of gaps and matches add up to the places.
+    The text is split at the pattern, so the lengths of gaps and matches add up to the places. The context of a match is
+    the gap before it and the match before that, ``CONTEXT_CHARS`` characters at most.
     """
     none = F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>)")
     matches, gaps = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0), F.split(text, PATTERNS[kind], -1)
 
     def placed(g: Column) -> Column:
-        """``array<struct<at, gaps, values>>`` folded: at is where the text read so far ends."""
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-
-        def step(a: Column, m: Column) -> Column:
-            begin = a["at"] + F.length(F.get(g, F.size(a["starts"])))
-            return F.struct((begin + F.length(m)).alias("at"), F.array_append(a["starts"], begin).alias("starts"))
-
         def build(ms: Column) -> Column:
-            starts = F.aggregate(ms, start, step, lambda a: a["starts"])
+            sizes = F.transform(ms, lambda m, i: F.length(F.get(g, i)) + F.length(m))
+            ends = running(sizes, lambda a, x: a + x)
             found = F.filter(
-                F.arrays_zip(starts.alias("start"), ms.alias("value")), lambda x: _confirmed(kind, x["value"])
+                F.zip_with(F.transform(ms, lambda m, i: F.struct(m.alias("value"), i.alias("i"))), ends, lambda x, e: F.struct(x["value"].alias("value"), x["i"].alias("i"), e.alias("end"))),
+                lambda x: _confirmed(kind, x["value"]),
             )
 
             def span(x: Column) -> Column:
-                before = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-                gain = F.when(before.rlike(CONTEXT[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+                near = F.concat(F.coalesce(F.get(ms, x["i"] - 1), F.lit("")), F.get(g, x["i"]))
+                gain = F.when(F.right(near, F.lit(CONTEXT_CHARS)).rlike(CONTEXT[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
                 return F.struct(
-                    x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"),
-                    (x["start"] + F.length(x["value"])).alias("end"), F.lit(kind).alias("kind"),
-                    (F.lit(PRIOR[kind]) + gain).alias("score"),
+                    (x["end"] - F.length(x["value"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), x["end"].alias("end"),
+                    F.lit(kind).alias("kind"), (F.lit(PRIOR[kind]) + gain).alias("score"),
                 )
 
             return F.transform(found, span)
@@ -136,22 +153,36 @@ def with_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     return docs.withColumn(out, pii_spans(F.col(text)))
 
 
+#: Characters of the chunks that a text is cut into before its parts are taken: a part costs the way from its chunk's start.
+CHUNK = 16_384
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
+    """The text with each span, or run of overlapping spans, replaced by the first one's kind in brackets."""
+    chunks = F.transform(F.sequence(F.lit(0), F.expr("0") + (F.length(text) / CHUNK).cast("int")), lambda k: F.substring(text, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def part(c: Column, a: Column, b: Column) -> Column:
+        first, last = (a / CHUNK).cast("int"), (b / CHUNK).cast("int")
+        piece = lambda k, at, n: F.substring(F.coalesce(F.get(c, k), F.lit("")), at + 1, n)
+        far = F.concat(
+            piece(first, a % CHUNK, F.lit(CHUNK)), F.array_join(F.slice(c, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), piece(last, F.lit(0), b % CHUNK)
+        )
+        return F.when(first == last, piece(first, a % CHUNK, b - a)).otherwise(far)
 
     def build(s: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            gap = F.substring(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-            mark = F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))
-            fresh = x["start"] >= a["at"]
-            return F.struct(
-                F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], mark)).otherwise(a["out"]).alias("out")
-            )
+        reach = running(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+
+        def with_reach(r: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(r, i - 1)))
+
+            def marked(c: Column) -> Column:
+                before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(r, i - 1))
+                run = lambda i: F.concat(part(c, before(i), F.get(s, i)["start"]), F.lit("["), F.upper(F.get(s, i)["kind"]), F.lit("]"))
+                return F.concat(F.array_join(F.transform(heads, run), ""), part(c, F.array_max(r), F.length(text)))
+
+            return let(chunks, marked)
 
-        tail = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-        return F.aggregate(s, start, step, tail)
+        return F.when(F.size(s) > 0, let(reach, with_reach)).otherwise(text)
 
     return let(spans, build)
 
