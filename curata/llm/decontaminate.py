@@ -3,9 +3,12 @@
 Every passage of every text is a query. A passage's score for an item is the BM25 score divided by that of the item's
 own text, so it is the share of the item that the passage holds, weighted by rarity. All items at or above the threshold
 are retrieved, none is left out. Before WAND runs, one vectorised pass bounds the score of each passage and item: the
-exact weights of the item's rarest terms that are there plus all its other terms, which stay below the threshold. WAND sees only the passages that could reach
-the threshold for some item. What it retrieves is kept if the passage holds enough of the item's question and answer, in
-order.
+exact weights of the item's rarest terms that are there plus all its other terms, which stay below the threshold. WAND
+sees only the passages that could reach the threshold for some item. What it retrieves is kept if the passage holds
+enough of the item's question and of its answer, each in order.
+
+Items are grouped by length, and a group's passages are twice as long as its longest item, half overlapping: a copy of an
+item lies within one passage, and a long item does not make the passages of short ones long.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ BLOCK = 32
 ITEMS = 50_000
 #: Terms in more items than this count as common in the vectorised bound, but for items that have too few others.
 COMMON = 8
+#: Words of the shortest items' group at most; every further group takes items up to so many times longer.
+SHORT, LONGER = 64, 4
 #: Pairs of a passage and an item that are bounded at once.
 PAIRS = 1 << 22
 #: A last sentence of so many words at most is part of the question.
@@ -64,7 +69,11 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         self.words = [q + a for q, a in self.parts]
-        self.longest = max(map(len, self.words), default=1)
+        group = lambda n: next(g for g in range(64) if n <= SHORT * LONGER**g)
+        self.group = [group(len(w)) for w in self.words]
+        #: Words from one passage of a group to the next; a passage has twice as many.
+        self.strides = {g: max(len(w) for w, x in zip(self.words, self.group, strict=True) if x == g) for g in sorted(set(self.group))}
+        self.masks = [tuple(_masks(part) for part in parts) for parts in self.parts]
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for k, words in enumerate(self.words):
             tf: dict[bytes, int] = {}
@@ -79,17 +88,17 @@ class ItemIndex:
         self.lists = [([k for k, _ in p], [x for _, x in p]) for p in postings.values()]
         self.top = [max(x) for _, x in self.lists]
         self.block_top = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for _, x in self.lists]
-        self.bounds: dict[float, tuple] = {}
+        self.bounds: dict[tuple[float, int], tuple] = {}
 
-    def bound_lists(self, threshold: float) -> tuple:
-        """Flat lists for the vectorised bound: sizes and starts by term, items, shares, and what is left of each item.
+    def bound_lists(self, threshold: float, group: int) -> tuple:
+        """Flat lists for a group's bound: sizes and starts by term, items, shares, and what is left of each item.
 
         A term is taken for all its items if it is rare, and for single items besides: for each its rarest terms, until
         the others add up to less than ``threshold``. So a passage at the threshold holds a taken term of the item.
         Items with the same words bound the same passages, so one of them stands for all.
         """
-        if threshold not in self.bounds:
-            alike = {tuple(sorted(ws)): k for k, ws in reversed(list(enumerate(self.words)))}
+        if (threshold, group) not in self.bounds:
+            alike = {tuple(sorted(ws)): k for k, ws in reversed(list(enumerate(self.words))) if self.group[k] == group}
             terms: dict[int, list[tuple[int, int, float]]] = {k: [] for k in alike.values()}
             for t, (ks, xs) in enumerate(self.lists):
                 for k, x in zip(ks, xs, strict=True):
@@ -108,15 +117,16 @@ class ItemIndex:
             taken.sort()
             size = np.bincount(np.array([t for t, _, _ in taken], dtype=np.int64), minlength=len(self.lists) + 1)
             item = np.array([k for _, k, _ in taken], dtype=np.int64)
-            self.bounds[threshold] = size, np.r_[0, np.cumsum(size)[:-1]], item, np.array([x for _, _, x in taken]), left
-        return self.bounds[threshold]
+            self.bounds[threshold, group] = size, np.r_[0, np.cumsum(size)[:-1]], item, np.array([x for _, _, x in taken]), left
+        return self.bounds[threshold, group]
 
-    def candidates(self, ids: np.ndarray, segment: np.ndarray, last: np.ndarray, threshold: float) -> np.ndarray:
-        """Passages that may reach the threshold. ``segment`` numbers runs of words; a passage is a segment and the next.
+    def candidates(self, ids: np.ndarray, segment: np.ndarray, last: np.ndarray, threshold: float, group: int = 0) -> np.ndarray:
+        """Passages that may reach the threshold for an item of the group. ``segment`` numbers runs of words; a passage is
+        a segment and the next.
 
         ``last`` tells of each segment whether its text ends there.
         """
-        sizes, starts, items, shares, left = self.bound_lists(threshold)
+        sizes, starts, items, shares, left = self.bound_lists(threshold, group)
         hit = np.flatnonzero(sizes[ids])
         kinds, n = len(sizes), len(self.ids)
         key = np.unique(segment[hit] * kinds + ids[hit])
@@ -191,60 +201,59 @@ class ItemIndex:
         return found
 
     def overlap(self, item: int, passage: list[bytes]) -> tuple[float, float]:
-        """Shares of the words of question and answer in the longest common subsequence with the passage."""
-        question, answer = self.parts[item]
-        mine = {w: k for k, w in enumerate(dict.fromkeys(question + answer))}
-        ours = [mine[w] for w in passage if w in mine]
-        matched = _common(  # positions of the item's words that are matched
-            np.array([mine[w] for w in question + answer]), np.array(ours, dtype=np.int64)
-        )
-        q = sum(m < len(question) for m in matched)
-        a = len(matched) - q
-        return q / max(1, len(question)), (a / len(answer) if answer else 1.0)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a)):
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], (table[i, :-1] + 1) * (b == a[i])))
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(i)
-        elif table[i - 1, j] >= table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+        """Shares of the question's and of the answer's words in their longest common subsequences with the passage."""
+        (question, answer), (q, a) = self.parts[item], self.masks[item]
+        return _common(q, len(question), passage) / max(1, len(question)), _common(a, len(answer), passage) / len(answer) if answer else 1.0
+
+
+def _masks(words: list[bytes]) -> dict[bytes, int]:
+    """The places of each word as the bits of a number."""
+    out: dict[bytes, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
     return out
 
 
+def _common(masks: dict[bytes, int], size: int, passage: list[bytes]) -> int:
+    """Length of the longest common subsequence: a bit for each word of the one text, a step for each of the other."""
+    full = (1 << size) - 1
+    row = full
+    for w in passage:
+        hit = masks.get(w)
+        if hit:
+            taken = row & hit
+            row = (row + taken | row - taken) & full
+    return size - row.bit_count()
+
+
 def find_items(texts: list[bytes], index: ItemIndex, threshold: float, overlap: float) -> list[dict[int, tuple]]:
     """For each text its items: ``item -> (score, question overlap, answer overlap, first word of the passage)``."""
     found: list[dict[int, tuple]] = [{} for _ in texts]
     if not index.ids:
         return found
-    get, none, stride = index.term.get, len(index.lists), max(1, index.longest)
+    get, none = index.term.get, len(index.lists)
     words = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     ids = np.fromiter((get(w, none) for ws in words for w in ws), dtype=np.int64, count=int(lengths.sum()))
-    segments = -(-lengths // stride)
-    base = np.r_[0, np.cumsum(segments)]
     starts = np.r_[0, np.cumsum(lengths)]
     within = np.arange(len(ids)) - np.repeat(starts[:-1], lengths)
-    segment = np.repeat(base[:-1], lengths) + within // stride
-    last = np.zeros(base[-1] + 1, dtype=bool)
-    last[base[1:][segments > 0] - 1] = True
-    for p in index.candidates(ids, segment, last, threshold):
-        d = int(np.searchsorted(base, p, side="right")) - 1
-        lo = int(p - base[d]) * stride
-        passage = words[d][lo : lo + 2 * stride]
-        terms = sorted({get(w, none) for w in passage} - {none})
-        for item, score in index.wand(terms, threshold):
-            q, a = index.overlap(item, passage)
-            if q >= overlap and a >= overlap and (item not in found[d] or score > found[d][item][0]):
-                found[d][item] = (score, q, a, lo)
+    for group, stride in index.strides.items():
+        segments = -(-lengths // stride)
+        base = np.r_[0, np.cumsum(segments)]
+        segment = np.repeat(base[:-1], lengths) + within // stride
+        last = np.zeros(base[-1] + 1, dtype=bool)
+        last[base[1:][segments > 0] - 1] = True
+        for p in index.candidates(ids, segment, last, threshold, group):
+            d = int(np.searchsorted(base, p, side="right")) - 1
+            lo = int(p - base[d]) * stride
+            passage = words[d][lo : lo + 2 * stride]
+            terms = sorted({get(w, none) for w in passage} - {none})
+            for item, score in index.wand(terms, threshold):
+                if index.group[item] != group:
+                    continue
+                q, a = index.overlap(item, passage)
+                if q >= overlap and a >= overlap and (item not in found[d] or score > found[d][item][0]):
+                    found[d][item] = (score, q, a, lo)
     return found
 
 
@@ -322,7 +331,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, limit: int = ITEMS) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are."""
+    """The rows of ``docs`` that hold no item, all columns as they are, whatever their names.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together; with an empty ``benchmark``, or one of
+    items without words, all rows stay; an empty table stays empty.
+    """
     for column in _hit_columns(docs, benchmark, threshold, overlap, limit):
         docs = docs.where(F.size(column) == 0)
     return docs
