@@ -1,8 +1,9 @@
 """Toxicity scores from a learned lexicon, misspellings of its terms and the context of each hit.
 
 A lexicon of words and word stems is learned from one half of a bounded sample of labelled texts. Its terms form a trie;
-a Levenshtein automaton for a word is run over the trie, state by state, so all terms within the edit budget are found in
-one walk. Each hit is weighed by a window of its context: marks of quotation or reported speech make it count less. A
+a Levenshtein automaton for a word is intersected with it, so all terms within the edit budget are found in one walk. The
+automaton's states and steps do not depend on the word but for where its letters agree, so they are compiled once and
+shared by all words. Each hit is weighed by a window of its context: marks of quotation or reported speech make it count less. A
 logistic model over these counts is fitted on the other half of the sample.
 """
 
@@ -20,8 +21,6 @@ from curata.runtime import arrow_rows, materialize, share
 
 #: Labelled rows that the lexicon and the classifier are fitted on, at most; chosen by a hash of the id.
 TRAIN_ROWS = 20_000
-#: Terms of the lexicon at most.
-TERMS = 2_000
 #: A term is in at least this share of the toxic texts, and in so many of them.
 LEAST_SHARE, LEAST_TEXTS = 0.02, 4
 #: Least log-odds of a term.
@@ -45,40 +44,84 @@ _QUOTED = re.compile(
 )
 
 
+class LevenshteinAutomaton:
+    """States and steps for any word. A state is a set of (letters read beyond a base, edits so far), a step reads a letter.
+
+    Whether the letter equals each of the next ``2 * edits + 1`` letters of the word, as bits, is all that a step needs
+    to know of the word; steps are kept as they are met.
+    """
+
+    def __init__(self, edits: int):
+        self.edits, self.window = edits, 2 * edits + 1
+        self.start: tuple = ((0, 0),)
+        self.steps: dict[tuple[tuple, int], tuple[tuple, int]] = {}
+
+    def step(self, state: tuple, equal: int) -> tuple[tuple, int]:
+        """The next state and how far its base moves on; an empty state accepts nothing more."""
+        key = (state, equal)
+        if key not in self.steps:
+            least: dict[int, int] = {}
+
+            def reach(offset: int, edits: int) -> None:
+                if edits <= self.edits and edits < least.get(offset, self.edits + 1):
+                    least[offset] = edits
+
+            for offset, edits in state:
+                reach(offset, edits + 1)  # a letter too many
+                reach(offset + 1, edits + 1)  # another letter
+                for skipped in range(self.edits - edits + 1):  # letters left out, then the right one
+                    if equal >> offset + skipped & 1:
+                        reach(offset + skipped + 1, edits + skipped)
+            kept = {o: e for o, e in least.items() if not any(x < e and abs(p - o) <= e - x for p, x in least.items())}
+            base = min(kept, default=0)
+            self.steps[key] = tuple(sorted((o - base, e) for o, e in kept.items())), base
+        return self.steps[key]
+
+
 class TermTrie:
-    """Terms in a trie; ``near`` walks it with the Levenshtein automaton of a word."""
+    """Terms in a trie; ``near`` intersects it with the Levenshtein automaton of a word."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], edits: int = 1):
+        self.automaton = LevenshteinAutomaton(edits)
         self.root: dict = {}
         for t in terms:
             node = self.root
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-        self.heads = {t[:2] for t in terms}
-        self.tails = {t[-2:] for t in terms}
-
-    def near(self, word: str, edits: int = 1) -> str | None:
-        """The term with the fewest edits, up to ``edits``; of several the first by alphabet.
-
-        The automaton's state is a row of edit distances; a branch of the trie ends when no entry is within the budget.
-        """
+        #: Runs of a term's letters of which ``edits`` edits leave one as it is, at the word's start, end or within.
+        self.heads = {t[: len(t) // 2] for t in terms}
+        self.tails = {t[len(t) // 2 :] for t in terms}
+        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+
+    def may_have(self, word: str) -> bool:
+        """False only if no term is within one edit: an edit leaves one half of the term at its end of the word."""
+        if self.automaton.edits > 1:
+            return True
+        return any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
+
+    def near(self, word: str) -> tuple[str, int] | None:
+        """The term with the fewest edits within the budget, and the edits; of several the first by alphabet."""
+        step, window, size = self.automaton.step, self.automaton.window, len(word)
         best: tuple[int, str] | None = None
-        width = len(word)
-        stack = [(self.root, tuple(range(width + 1)))]
+        stack = [(self.root, self.automaton.start, 0)]
         while stack:
-            node, row = stack.pop()
+            node, state, base = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[width] <= edits and (best is None or (row[width], child) < best):
-                        best = (row[width], child)
+                    edits = min(e + size - base - o for o, e in state)
+                    if edits <= self.automaton.edits and (best is None or (edits, child) < best):
+                        best = (edits, child)
                     continue
-                nxt = [row[0] + 1]
-                for j in range(width):
-                    nxt.append(min(nxt[j] + 1, row[j + 1] + 1, row[j] + (word[j] != c)))
-                if min(nxt) <= edits:
-                    stack.append((child, tuple(nxt)))
-        return best[1] if best else None
+                equal, at = 0, word.find(c, base, base + window)
+                while at >= 0:
+                    equal |= 1 << at - base
+                    at = word.find(c, at + 1, base + window)
+                after, moved = step(state, equal)
+                after = tuple(x for x in after if base + moved + x[0] <= size) if base + moved + window > size else after
+                if after:
+                    stack.append((child, after, base + moved))
+        return (best[1], best[0]) if best else None
 
 
 class Lexicon:
@@ -99,11 +142,10 @@ class Lexicon:
         for n in self.lengths:
             if len(word) > n and word[:n] in self.stems:
                 return self.stems[word[:n]], False
-        # an edit leaves the first or the last two letters of a term of four or more as they are
-        if len(word) >= FUZZY_FROM - 1 and (word[:2] in self.trie.heads or word[-2:] in self.trie.tails):
-            term = self.trie.near(word)
-            if term is not None:
-                return self.words[term], True
+        if len(word) >= FUZZY_FROM - 1 and self.trie.may_have(word):
+            found = self.trie.near(word)
+            if found is not None:
+                return self.words[found[0]], True
         return None
 
     def features(self, text: bytes) -> list[float]:
@@ -162,7 +204,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     known = materialize(counts.where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds), "toxic-terms")
     found = known.where((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS))
-    rows = found.orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()  # bounded
+    rows = sorted(found.collect(), key=lambda r: (-r.toxic, r.term))  # each in a stated share of the toxic texts of a bounded sample
     score = {r.term: (r.toxic, r.odds) for r in rows}
     words = {t for t in score if not t.endswith("*")}
     chosen: dict[str, float] = {}
@@ -175,15 +217,14 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
             chosen[stem] = score[stem][1]
     stems = {s[:-1] for s in chosen}
     for r in rows:
-        if r.term in words and not any(r.term[:n] in stems for n in STEMS if n < len(r.term)) and len(chosen) < TERMS:
+        if r.term in words and not any(r.term[:n] in stems for n in STEMS if n < len(r.term)):
             chosen[r.term] = r.odds
     # the words of a stem's family, rarer ones too, weigh what the stem does and make its misspellings known
     family = F.lit(False)
     for n in sorted(set(map(len, stems))):
         family |= (F.length("term") > n) & F.substring("term", 1, n).isin(sorted(x for x in stems if len(x) == n))
     words = known.where(family & ~F.endswith("term", F.lit("*")))
-    words = words.orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()  # bounded
-    for r in words:
+    for r in words.collect():  # words of a bounded sample
         chosen[r.term] = next(chosen[f"{r.term[:n]}*"] for n in STEMS if r.term[:n] in stems)
     return Lexicon(chosen)
 
