@@ -27,6 +27,8 @@ def pii(text: str | None) -> list[tuple[int, int, str, int]]:
     """(start, kind number, kind, end) of the base kinds."""
     out = []
     for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        if kind == "email" and "@" not in (text or ""):  # the pattern is quadratic in long runs
+            continue
         for m in pattern.finditer(text or ""):
             digits = re.sub("[^0-9]", "", m[0])
             ok = {

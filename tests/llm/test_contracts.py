@@ -146,11 +146,13 @@ def test_trie_is_levenshtein():
 
     rng = np.random.default_rng(3)
     terms = sorted({"".join(rng.choice(list("abc"), rng.integers(4, 8))) for _ in range(40)})
-    trie = toxicity.TermTrie(terms)
+    trie, wide = toxicity.TermTrie(terms), toxicity.TermTrie(terms, 2)
     for _ in range(300):
         word = "".join(rng.choice(list("abc"), rng.integers(3, 9)))
         near = min(((distance(t, word), t) for t in terms))
-        assert trie.near(word) == (near[1] if near[0] <= 1 else None)
+        assert trie.near(word) == ((near[1], near[0]) if near[0] <= 1 else None)
+        assert near[0] > 1 or trie.may_have(word)
+        assert wide.near(word) == ((near[1], near[0]) if near[0] <= 2 else None)
 
 
 @folders
@@ -206,8 +208,29 @@ def test_curve_is_hilbert():
 
 
 def test_written_shards(spark, odd, tmp_path):
-    hilbert.write_shards(odd, f"{tmp_path}/out")
-    assert sorted(map(repr, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(repr, odd.collect()))
+    hilbert.write_shards(odd, f"{tmp_path}/out", folder="run")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(repr, out.drop("run").collect())) == sorted(map(repr, odd.collect()))
+    assert {(r.doc_id, r.run) for r in out.collect()} == {(r.doc_id, r.shard) for r in hilbert.sharded(odd).collect()}
+    with pytest.raises(ValueError, match="is a column"):
+        hilbert.write_shards(odd, f"{tmp_path}/other")
+
+
+def test_written_shards_are_pruned(spark, data, tmp_path):
+    """A filter on any one dimension skips well over half of the files by their least and greatest values."""
+    import pyarrow.parquet as pq
+
+    docs = docs_of(spark, data)
+    hilbert.write_shards(docs, f"{tmp_path}/out", 64)
+    ranges = []
+    for file in (tmp_path / "out").glob("shard=*/*.parquet"):
+        table = pq.read_table(file, columns=["lang", "source", "n_chars"])
+        ranges.append({c: (min(v), max(v)) for c in table.column_names if (v := table[c].to_pylist())})
+    assert len(ranges) >= 64
+    for column, low, high in (("lang", "es", "es"), ("source", "src3", "src3"), ("n_chars", 700, 900)):
+        assert docs.where(docs[column].between(low, high)).count()
+        skipped = sum(r[column][1] < low or r[column][0] > high for r in ranges) / len(ranges)
+        assert skipped > 0.6, (column, skipped)
 
 
 @folders
@@ -259,9 +282,32 @@ def test_urls_cases(spark):
     assert urls.judge_urls(pages.limit(0)).collect() == []
 
 
+def opened(folder, entries):
+    for name, data in urls.DigestArray.files(entries).items():
+        (folder / f"t-{name}.npy").write_bytes(data)
+    return urls.DigestArray(f"{folder}/t")
+
+
+def test_digest_array_of_many(tmp_path, monkeypatch):
+    """A long list, and digests that many strings share."""
+    entries = [(f"host{i}.example.org/p{i % 7}/", i % 2) for i in range(100_000)]
+    array = opened(tmp_path, entries)
+    wanted = [e[0] for e in entries[::97]] + [f"none{i}" for i in range(1000)]
+    assert array.probe(wanted).tolist() == [c for _, c in entries[::97]] + [-1] * 1000
+    monkeypatch.setattr(urls, "digest", lambda raw: len(raw) % 3)
+    array = opened(tmp_path, entries[:300])
+    assert array.probe([e[0] for e in entries[:400]]).tolist() == [c for _, c in entries[:300]] + [-1] * 100
+
+
+def test_long_url_lists(spark):
+    rules = [("block" if i % 2 else "allow", f"h{i}.example.com/{'a/' * (i % 3)}") for i in range(20_000)]
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.example.com/a/a/x") for i in range(0, 25_000, 50)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules, []).collect()}
+    assert got == {i: (rules[i][1], rules[i][0]) if i < 20_000 else (None, "allow") for i in range(0, 25_000, 50)}
+
+
 def test_digest_array_confirms_strings(tmp_path):
-    urls.DigestArray.write(str(tmp_path), "t", [("a", 1), ("b", 0), ("b", 1)])
-    array = urls.DigestArray(f"{tmp_path}/t")
+    array = opened(tmp_path, [("a", 1), ("b", 0), ("b", 1)])
     assert array.probe(["a", "b", "c", ""]).tolist() == [1, 1, -1, -1]
     strings = np.array(array.strings)
     strings[int(array.offsets[0])] ^= 1  # a digest that fits while its string does not
@@ -311,31 +357,100 @@ def test_pii_context_and_redaction(spark):
     assert pii.with_pii(docs).where("doc_id = 1").first().pii[0].score == pytest.approx(0.9)
 
 
+def scores_from_scratch(texts):
+    """Shares of each item's own BM25 score by term, from the item texts alone."""
+    words = [w for t in texts if (w := decontaminate.words_of((t or "").encode()))]
+    n, mean = len(words), sum(map(len, words)) / max(1, len(words))
+    out = []
+    for ws in words:
+        raw = {}
+        for w in set(ws):
+            df, tf = sum(w in other for other in words), ws.count(w)
+            raw[w] = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        out.append({w: x / sum(raw.values()) for w, x in raw.items()})
+    return words, out
+
+
+def common(a, b):
+    """Length of the longest common subsequence, by the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        nxt = [0]
+        for j, y in enumerate(b):
+            nxt.append(row[j] + 1 if x == y else max(row[j + 1], nxt[j]))
+        row = nxt
+    return row[-1]
+
+
+def found_from_scratch(docs, items):
+    """Every passage against every item."""
+    items = [(i, t) for i, t in items if decontaminate.words_of((t or "").encode())]
+    words, weight = scores_from_scratch([t for _, t in items])
+    group = [0 if len(w) <= 64 else 1 if len(w) <= 256 else 2 for w in words]
+    stride = {g: max(len(w) for w, x in zip(words, group, strict=True) if x == g) for g in set(group)}
+    found = set()
+    for d, text in docs:
+        ours = decontaminate.words_of((text or "").encode())
+        for (item, t), mine, g in zip(items, weight, group, strict=True):
+            question, answer = decontaminate.question_and_answer(t.encode())
+            for lo in range(0, len(ours), stride[g]):
+                passage = ours[lo : lo + 2 * stride[g]]
+                have = mine.keys() & set(passage)
+                if sum(mine[w] for w in have) >= decontaminate.THRESHOLD - 1e-9:
+                    q = common(question, passage) / max(1, len(question))
+                    a = common(answer, passage) / len(answer) if answer else 1
+                    if q >= decontaminate.OVERLAP and a >= decontaminate.OVERLAP:
+                        found.add((d, item))
+    return found
+
+
+def test_pii_of_many_matches(spark):
+    """Places and redaction of texts with thousands of matches, beyond a block of sums and a chunk of text."""
+    texts = ["é, a@b.co +1 (202) 555-0100x" * 3000, "a@b.co" + " ü" * 40_000 + "c@d.org 10.0.0.1", "a@b.co" * 200, "x" * 16_384 + "a@b.co" + "y" * 16_378]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.with_pii(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, t in enumerate(texts):
+        want = brute.pii(t)
+        assert [(s.start, s.kind_no, s.kind, s.end) for s in rows[i].pii if s.kind != "iban"] == want
+        at, out = 0, []
+        for s in rows[i].pii:
+            if s.start >= at:
+                out += [t[at : s.start], f"[{s.kind.upper()}]"]
+            at = max(at, s.end)
+        assert clean[i] == "".join(out) + t[at:]
+
+
 @folders
 def test_decontamination(spark, both, which):
     """Against the scores of every passage and item, without index or bounds."""
     docs = docs_of(spark, both[which]).select("doc_id", "text").collect()
-    items = spark.read.parquet(f"{both[which]}/benchmark.parquet")
-    index = next(decontaminate.item_indexes(items))
-    weight = [{} for _ in index.ids]
-    for w, t in index.term.items():
-        for k, x in zip(*index.lists[t], strict=True):
-            weight[k][w] = x
-    want = set()
-    stride = index.longest
-    for d in docs:
-        words = decontaminate.words_of((d.text or "").encode())
-        for lo in range(0, len(words), stride):
-            passage = words[lo : lo + 2 * stride]
-            have = set(passage)
-            for k, item in enumerate(index.ids):
-                if sum(x for w, x in weight[k].items() if w in have) >= decontaminate.THRESHOLD - 1e-9:
-                    q, a = index.overlap(k, passage)
-                    if q >= decontaminate.OVERLAP and a >= decontaminate.OVERLAP:
-                        want.add((d.doc_id, item))
+    items = spark.read.parquet(f"{both[which]}/benchmark.parquet").collect()
     got = decontaminate.op10_decontamination(spark, both[which]).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want
-    assert want
+    want = found_from_scratch(docs, [tuple(r) for r in items])
+    assert {(r.doc_id, r.item_id) for r in got} == want and want
+
+
+def test_decontamination_by_length(spark):
+    """Short and long items at once, many copies of one, items that share all words, a passage without the rare word."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 400, n))
+    long, longest = draw(200), draw(5_000)
+    short = "seven wizards mix a potion of jade and quartz near the old mill"
+    shared = [" ".join(rng.permutation("alpha beta gamma delta epsilon zeta eta theta".split())) for _ in range(12)]
+    items = [(1, long), (2, longest), *((10 + k, short) for k in range(50)), *((100 + k, t) for k, t in enumerate(shared)), (200, "plain words and a xylophone")]
+    texts = [(1, f"{draw(90)} {long} {draw(70)}"), (2, f"{draw(10)} {longest}"), (3, f"{draw(30)} {short} {draw(5)}"), (4, shared[3]), (5, "plain words and a horn"), (6, draw(300)), (7, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert found == found_from_scratch(texts, items)
+    assert {(1, 1), (2, 2), (4, 103)} <= found and {i for d, i in found if d == 3} >= set(range(10, 60))
+
+
+def test_very_long_items(spark):
+    text = " ".join(f"w{i * 7919 % 10_007}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, f"so {text} it is"), (2, "w1 w2 w3")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, text), (2, "a short question of eight words is here")], "item_id long, text string")
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(docs, items).collect()] == [(1, 1)]
 
 
 def test_decontamination_in_blocks(spark, data):
@@ -369,7 +484,7 @@ def test_decontamination_bound_loses_no_passage():
             df[w] = df.get(w, 0) + 1
     index = decontaminate.ItemIndex(items, df, len(items), 8.0)
     texts = [draw(int(rng.integers(0, 60))) for _ in range(80)]
-    get, none, stride = index.term.get, len(index.lists), index.longest
+    get, none, stride = index.term.get, len(index.lists), index.strides[0]
     ids, segment, last, want, base = [], [], [], set(), 0
     for words in texts:
         for lo in range(0, len(words), stride):
