@@ -68,21 +68,40 @@ def test_maxent_sums_to_one(spark):
     v = model.vocabulary
     head = list(v.index)
     own = [w for i, w in enumerate(head) if i < maxent.OWN]
-    history = np.array([[v.slot[v.index[b"a"]]], [maxent._BOS]])
-    z = maxent.logits(v.class_bias, model.weights[0], maxent.class_features(history))
+    history = np.array([[v.code[v.index[b"a"]]], [maxent._BEFORE], [maxent._BEFORE]])
+    z = maxent.logits(v.class_bias, model.weights[0], maxent.class_features(history, v.row_bits))
     kinds = maxent.softmax(z)[0].astype(float)
     total = 0.0
     for w in own:
         k, s = divmod(int(v.slot[v.index[w]]), maxent.SLOTS)
-        inside = maxent.softmax(maxent.logits(v.slot_bias[[k]], model.weights[1], maxent.slot_features(history, np.array([k]))))[0]
+        inside = maxent.softmax(maxent.logits(v.slot_bias[[k]], model.weights[1], maxent.slot_features(history, np.array([k]), v.row_bits)))[0]
         total += kinds[k] * inside[s]
     rest = 0.0
     for k in range(maxent.CLASSES):
-        inside = maxent.softmax(maxent.logits(v.slot_bias[[k]], model.weights[1], maxent.slot_features(history, np.array([k]))))[0]
+        inside = maxent.softmax(maxent.logits(v.slot_bias[[k]], model.weights[1], maxent.slot_features(history, np.array([k]), v.row_bits)))[0]
         rest += kinds[k] * sum(inside[s] for s in range(maxent.SLOTS) if k * maxent.SLOTS + s not in {int(v.slot[v.index[w]]) for w in own})
     assert abs(total + rest - 1) < 1e-4
 
 
+def test_maxent_tells_words_apart(spark):
+    """Histories of rare words with like endings, and a word two tokens after a skipped one, are learned."""
+    rng = np.random.default_rng(4)
+    noise = [f"n{i}ing" for i in range(600)]
+    pairs = [(f"h{i}ing", "left" if i % 2 else "right") for i in range(40)]
+    text = lambda: " ".join(f"{a} {rng.choice(noise)} {b}" for a, b in (pairs[int(i)] for i in rng.integers(0, 40, 60)))
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string").repartition(1)
+    counts = maxent.token_counts(docs.select("text")).cache()
+    model = maxent.train_model(docs.select("text"), counts)
+    score = lambda t: sum(float(x[0]) for x in model.parts([t.encode()])[2:4])
+    better = sum(score(f"{a} {noise[0]} {b}") > score(f"{a} {noise[0]} {'right' if b == 'left' else 'left'}") for a, b in pairs)
+    assert better >= 36, better
+
+
+def test_softmax_of_low_logits():
+    z = np.full((2, 32), -500, dtype=np.float32)
+    assert np.allclose(maxent.softmax(z.copy()), 1 / 32) and np.allclose(maxent.log_probability(z, np.array([0, 5])), -np.log(32))
+
+
 @folders
 def test_toxicity(spark, both, which):
     got = toxicity.op3_toxicity(spark, both[which]).collect()
