@@ -53,8 +53,20 @@ def token_f1(prediction: Column, label: Column) -> Column:
 
     def of(p: Column) -> Column:
         def with_label(g: Column) -> Column:
-            times = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-            same = F.aggregate(F.array_distinct(p), F.lit(0), lambda a, w: a + F.least(times(p, w), times(g, w)))
+            tagged = lambda a, side: F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+            start = F.struct(F.lit("").alias("w"), *(F.lit(0).alias(n) for n in ("p", "g", "same")))
+
+            def step(s: Column, x: Column) -> Column:
+                """Equal words lie side by side: what both sides have of a word counts when the next word comes."""
+                new, side = s["w"] != x["w"], lambda k: F.when(x["side"] == k, 1).otherwise(0)
+                left = lambda n: F.when(new, F.lit(0)).otherwise(s[n])
+                return F.struct(
+                    x["w"].alias("w"), (left("p") + side(0)).alias("p"), (left("g") + side(1)).alias("g"),
+                    (s["same"] + F.when(new, F.least(s["p"], s["g"])).otherwise(0)).alias("same"),
+                )
+
+            both = F.sort_array(F.concat(tagged(p, 0), tagged(g, 1)))
+            same = F.aggregate(both, start, step, lambda s: s["same"] + F.least(s["p"], s["g"]))
 
             def rates(s: Column) -> Column:
                 precision, recall = s / F.size(p), s / F.size(g)

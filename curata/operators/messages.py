@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from curata.functions.native import let
 from curata.functions.text import after_last
+from curata.runtime import materialize
 
 
 def message(role: str | Column, content: Column) -> Column:
@@ -88,6 +89,24 @@ def converted(df: DataFrame, convert: Callable[[DataFrame], DataFrame] = to_mess
     return out.where(~has_empty_message(F.col("messages"))) if empty else out
 
 
+def qa_rows(df: DataFrame, question: str, answer: str, dataset: str) -> DataFrame:
+    """Verifiable rows ``messages, ground_truth, dataset`` of questions and answers; lists of answers become JSON."""
+    listed = dict(df.dtypes)[answer].startswith("array")
+    truth = F.to_json(F.col(answer)) if listed else F.col(answer).cast("string")
+    return df.withColumns({"messages": F.array(message("user", F.col(question))), "ground_truth": truth, "dataset": F.lit(dataset)})
+
+
+def with_endings(trajectory: Column, chosen: Column, rejected: Column) -> tuple[Column, Column]:
+    """Whole message lists of a shared trajectory and two last answers."""
+    return tuple(F.concat(trajectory, F.array(message("assistant", x))) for x in (chosen, rejected))
+
+
+def accepted_tests(passed: Column, tests: Column, share: float = 0.8) -> Column:
+    """The tests that passed, if at least ``share`` of all did, else null. ``passed`` is ``array<int>`` beside ``tests``."""
+    good = F.filter(F.transform(tests, lambda t, i: F.when(F.get(passed, i) == 1, t)), lambda t: t.isNotNull())
+    return F.when((F.size(tests) > 0) & (F.size(good) >= share * F.size(tests)), good)
+
+
 def transcript_messages(text: Column) -> Column:
     r"""Messages of a transcript marked by ``\n\nHuman: `` and ``\n\nAssistant: ``, in turn."""
     parts = F.split(text, "\n\n(?:Human|Assistant): ?")
@@ -140,29 +159,45 @@ def render(messages: Column, template: str, eos: str = "</s>", generate: bool =
 
     ``space``, ``line`` and ``chat`` put a blank, a line break or an empty line between contents, the last with the
     capitalised role; ``assistant`` keeps answers only; ``tags_eos`` and ``tags`` write ``<|role|>`` lines, with the end
-    token after every message or after answers only.
+    token after every message or after answers only. ``thinker`` is ``tags`` whose generation prompt opens the thinking,
+    ``thinker_answer`` leaves out what stands before the end of the thinking. ``turns`` writes ``<|im_start|>`` lines and
+    ends them with ``<|im_end|>``, the last answer with the end token.
     """
     end = lambda last: F.when(last & F.lit(not generate), F.lit(eos)).otherwise(F.lit(""))
-    prompt = F.lit("<|assistant|>\n" if generate else "")
+    opening = {"thinker": "<|assistant|>\n<think>", "thinker_answer": "<|assistant|>\n<think>", "turns": "<|im_start|>assistant\n"}
+    prompt = F.lit(opening.get(template, "<|assistant|>\n") if generate else "")
     if template in ("space", "line", "chat"):
         gap = {"space": " ", "line": "\n", "chat": "\n\n"}[template]
         body = lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["content"]) if template == "chat" else m["content"]
         return _tagged(messages, lambda m, first, last: F.concat(F.when(first, F.lit("")).otherwise(F.lit(gap)), body(m), end(last)))
     if template == "assistant":
         return F.array_join(F.transform(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: m["content"]), "")
+    if template == "turns":
+        return F.concat(_tagged(messages, lambda m, first, last: _turn(m, last, eos)), prompt)
     known = lambda m: m["role"].isin("system", "user", "assistant")
-    head = lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"])
+    head = lambda m, content: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), content)
     if template == "tags_eos":
-        return F.concat(_tagged(messages, lambda m, f, l: F.when(known(m), F.concat(head(m), F.lit(eos + "\n"))).otherwise(F.lit(""))), prompt)
-    if template == "tags":
+        return F.concat(_tagged(messages, lambda m, f, l: F.when(known(m), F.concat(head(m, m["content"]), F.lit(eos + "\n"))).otherwise(F.lit(""))), prompt)
+    if template in ("tags", "thinker", "thinker_answer"):
         def body(m: Column, first: Column, last: Column) -> Column:
             tail = F.when(m["role"] != "assistant", F.lit("\n")).when(last, F.lit(eos)).otherwise(F.lit(eos + "\n"))
-            return F.when(known(m), F.concat(head(m), tail)).otherwise(F.lit(""))
+            said = F.when(m["role"] == "assistant", after_last(m["content"], "</think>")).otherwise(m["content"]) if template == "thinker_answer" else m["content"]
+            return F.when(known(m), F.concat(head(m, said), tail)).otherwise(F.lit(""))
 
         return F.concat(_tagged(messages, body), prompt)
     raise ValueError(f"unknown template {template}")
 
 
+def _turn(m: Column, last: Column, eos: str) -> Column:
+    """One message between turn marks; the end token takes the place of the last mark of an answer."""
+    open_, close = (lambda role: F.lit(f"<|im_start|>{role}\n")), F.lit("<|im_end|>\n")
+    return (
+        F.when(m["role"].isin("system", "user", "environment"), F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], close))
+        .when(m["role"] == "assistant", F.concat(open_("assistant"), F.coalesce(m["content"], F.lit("")), F.when(last, F.lit(eos)).otherwise(close)))
+        .otherwise(F.lit(""))
+    )
+
+
 #: Special tokens and what takes their place.
 SPECIAL_TOKENS = {"<think>": "\n", "</think>": "", "<answer>": "\n\n", "</answer>": ""}
 
@@ -266,27 +301,27 @@ def with_reference(completions: DataFrame, references: DataFrame, key: str, inde
     return rows.unionByName(first)
 
 
-def tree_paths(nodes: DataFrame, top: int, depth: int = 32) -> DataFrame:
+def tree_paths(nodes: DataFrame, top: int) -> DataFrame:
     """Paths from roots to leaves of ``id, parent_id, text, quality, deleted``: ``leaf_id, path, texts``.
 
-    Deleted nodes end their branch; of the replies to a message the ``top`` best count. One join for each level, until
-    no path grows or ``depth`` is reached.
+    Deleted nodes end their branch; of the replies to a message the ``top`` best count. One join for each level until no
+    path grows; every level is a written table, so none is computed twice. Nodes in a cycle hang on no root and are absent.
     """
     rank = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc_nulls_last("quality"), "id"))
     live = nodes.where(~F.coalesce("deleted", F.lit(False)))
     kept = live.where("parent_id is null").select("id", "parent_id", "text").unionByName(
         live.where("parent_id is not null").withColumn("r", rank).where(F.col("r") <= top).select("id", "parent_id", "text")
     )
-    level = kept.where("parent_id is null").select("id", F.array("id").alias("path"), F.array("text").alias("texts"))
-    paths = level
-    for _ in range(depth):
-        child = kept.select(F.col("id").alias("child"), F.col("parent_id").alias("id"), "text")
+    kept = materialize(kept, "tree-nodes")
+    child = kept.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"), "text")
+    level = materialize(kept.where("parent_id is null").select("id", F.array("id").alias("path"), F.array("text").alias("texts")), "tree-level")
+    ends = None
+    while not level.isEmpty():
+        done = level.join(child.select("id").distinct(), "id", "left_anti")
+        ends = done if ends is None else ends.unionByName(done)
         level = level.join(child, "id").select(F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path"), F.array_append("texts", F.col("text")).alias("texts"))
-        if level.isEmpty():
-            break
-        paths = paths.unionByName(level)
-    inner = kept.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-    return paths.join(inner, "id", "left_anti").withColumnRenamed("id", "leaf_id")
+        level = materialize(level, "tree-level")
+    return (level if ends is None else ends).withColumnRenamed("id", "leaf_id")
 
 
 # tools
@@ -310,6 +345,18 @@ def pruned_to_fit(tools: Column, used: Column, size: Callable[[Column], Column],
     return F.aggregate(F.reverse(tools), start, step, lambda a: a["kept"])
 
 
+def referenced_but_undefined(tools: Column, used: Column) -> Column:
+    """Names that are used and have no definition."""
+    return F.array_except(used, F.transform(tools, lambda t: t["name"]))
+
+
+def tool_differences(rows: DataFrame, names: DataFrame, key: str, tools: str) -> DataFrame:
+    """``tool, side``: tools of rows without a definition (``rows``), and definitions that no row uses (``names``)."""
+    used = rows.select(F.explode(tools).alias("tool")).distinct()
+    defined = names.select(F.col("name").alias("tool")).distinct()
+    return used.join(defined, "tool", "left_anti").withColumn("side", F.lit("rows")).unionByName(defined.join(used, "tool", "left_anti").withColumn("side", F.lit("names")))
+
+
 def unknown_tools(rows: DataFrame, names: DataFrame, key: str, tools: str) -> DataFrame:
     """``key, tool`` of tools that no definition has."""
     return rows.select(key, F.explode(tools).alias("tool")).join(names.select(F.col("name").alias("tool")), "tool", "left_anti")

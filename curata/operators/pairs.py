@@ -105,3 +105,35 @@ def matched_depletion(df: DataFrame, arm: str, group: str, value: str, tolerance
     sums = df.groupBy(group, arm).agg(F.sum(value).alias("s")).groupBy(group).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("arms"))
     error = F.when(F.col("hi") == 0, F.lit(0.0)).otherwise((F.col("hi") - F.col("lo")) / F.col("hi"))
     return sums.select(group, "arms", F.round(error, 6).alias("error"), (error <= tolerance).alias("matched"))
+
+
+def grouped_completions(df: DataFrame, key: str, index: str, columns: list[str], sample: int = 4, seed: str = "42") -> DataFrame:
+    """``key`` with the lists of its rows' columns in order of ``index``, and ``sampled``: indices of ``sample`` rows.
+
+    The sample is taken by a hash of the index. A key's rows are the completions of one prompt, few by their nature.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(index).cast("string")))
+    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), *columns, h.alias("h")))).alias("r"))
+    picked = F.slice(F.transform(F.array_sort(F.transform("r", lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i")))), lambda x: x["i"]), 1, sample)
+    return rows.select(key, *(F.col(f"r.{c}").alias(c) for c in columns), F.sort_array(picked).alias("sampled"))
+
+
+def annotated_scores(df: DataFrame, key: str, model: str, score: str, reference: str) -> DataFrame:
+    """``key, scores, reference_score``: scores by model as a map, and that of the reference model."""
+    rows = df.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(model, score)))).alias("scores"))
+    return rows.withColumn("reference_score", F.try_element_at("scores", F.lit(reference)))
+
+
+def of_models(df: DataFrame, model: str, include: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """Rows of the models of one list, without those of another; null models stay only without an include list."""
+    if include is not None:
+        df = df.where(F.col(model).isin(include))
+    return df.where(~F.coalesce(F.col(model).isin(ignore), F.lit(False))) if ignore else df
+
+
+def is_valid_response(text: Column, refusals: list[str]) -> Column:
+    """Whether a response has text and none of the given phrases, without regard to case."""
+    ok = F.coalesce(F.trim(text), F.lit("")) != ""
+    for r in refusals:
+        ok = ok & ~F.coalesce(F.contains(F.lower(text), F.lit(r.lower())), F.lit(False))
+    return ok

@@ -5,10 +5,9 @@ The tokenizer is an expression (by default words hashed to ids), so masking and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.native import let, words
@@ -130,9 +129,9 @@ def first_true(flags: Column) -> Column:
 
 
 def cumulative_lengths(df: DataFrame, group: str, order: str, length: str) -> DataFrame:
-    """Start and end offsets of the rows of each group."""
-    total = F.sum(length).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("stop", total).withColumn("start", total - F.col(length))
+    """Start and end offsets of the rows of each group along an integer order."""
+    placed = running_total(df, order, length, group=[group])
+    return placed.withColumnRenamed("begin", "start").withColumn("stop", F.col("start") + F.col(length))
 
 
 def budget_prefix(df: DataFrame, group: str, order: str, length: str, budget: int) -> DataFrame:
@@ -143,68 +142,10 @@ def budget_prefix(df: DataFrame, group: str, order: str, length: str, budget: in
 
 # packing
 
-def pack_next_fit(df: DataFrame, group: str, order: str, length: str, size: int) -> DataFrame:
-    """Packs of whole sequences in order: a pack closes when the next one would not fit; a longer one is a pack alone.
-
-    A group is one stream and is folded by one task, batch by batch, so only the running pack is held.
-    """
-    fields = df.select(group, order, length).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", pack long"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, pack = None, 0, -1
-        for batch in batches:
-            packs = []
-            for key, n in zip(batch[group], batch[length], strict=True):
-                if pack < 0 or key != now:
-                    now, used, pack = key, 0, 0
-                elif used and used + n > size:
-                    used, pack = 0, pack + 1
-                used += n
-                packs.append(pack)
-            yield batch.assign(pack=packs)
-
-    rows = df.select(group, order, length).repartition(group).sortWithinPartitions(group, order)
-    return rows.mapInPandas(fold, schema)
-
-
-def pack_best_fit(df: DataFrame, group: str, order: str, length: str, size: int) -> DataFrame:
-    """Best-fit decreasing within each group: longest first, into the open pack with the least room, of equal ones the
-    pack used last; packs are numbered by their first member. Longer documents than ``size`` raise.
-
-    Groups are the unit of work, so choose a key (source, shard) whose groups fit a task.
-    """
-    fields = df.select(group, order, length).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", pack long"
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([length, order], ascending=[False, True], kind="stable")
-        if len(frame) and frame[length].max() > size:
-            raise ValueError("a document is longer than a pack")
-        room: list[list[int]] = [[] for _ in range(size + 1)]
-        members: list[list[int]] = []
-        for k, n in enumerate(frame[length]):
-            left = next((r for r in range(int(n), size + 1) if room[r]), None)
-            if left is None:
-                members.append([])
-                mine, left = len(members) - 1, size
-            else:
-                mine = room[left].pop()
-            members[mine].append(k)
-            room[left - int(n)].append(mine)
-        orders = frame[order].to_numpy()
-        firsts = sorted(range(len(members)), key=lambda p: min(orders[k] for k in members[p]))
-        number = {p: i for i, p in enumerate(firsts)}
-        owner = {k: number[p] for p, ks in enumerate(members) for k in ks}
-        return frame.assign(pack=[owner[k] for k in range(len(frame))])
-
-    return df.select(group, order, length).groupBy(group).applyInPandas(pack, schema)
-
-
-def pack_accounting(packed: DataFrame, group: str, order: str, length: str, size: int) -> DataFrame:
+def pack_accounting(packed: DataFrame, group: list[str], order: str, length: str, size: int) -> DataFrame:
     """Tokens, padding, targets (the first token of a document is none), squares and a digest of each pack."""
     ids = F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x.cast("string")), ",")
-    return packed.groupBy(group, "pack").agg(
+    return packed.groupBy(*group, "pack").agg(
         F.count("*").alias("docs"), F.sum(length).alias("tokens"), (size - F.sum(length)).alias("padding"), F.sum(F.col(length) - 1).alias("targets"),
         F.sum(F.col(length) * F.col(length)).alias("squares"), F.sha2(ids, 256).alias("uid"),
     )
@@ -214,34 +155,6 @@ def priority(seed: int, uid: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), uid.cast("string")), 256)
 
 
-def select_packs(packs: DataFrame, uid: str, tokens: str, count: int, target: int, tolerance: int, seed: int = 42, rounds: int = 64) -> DataFrame:
-    """``count`` packs by priority, then single swaps with packs that were left out until the tokens are near ``target``.
-
-    Each swap is the best one over distinct sizes on either side: sizes are few, and the driver sees one candidate.
-    """
-    ranked = packs.select(uid, F.col(tokens).alias("t"), priority(seed, F.col(uid)).alias("p"))
-    chosen = ranked.orderBy("p").limit(count).cache()
-    rest = ranked.join(chosen.select(uid), uid, "left_anti").cache()
-    swaps: list[tuple] = []
-    total = chosen.agg(F.sum("t")).first()[0] or 0
-    drop, add = set(), set()
-    ins = {r.t: (r.p, r.u) for r in rest.groupBy("t").agg(F.min(F.struct("p", F.col(uid).alias("u"))).alias("m")).select("t", "m.p", "m.u").collect()}
-    outs = {r.t: (r.p, r.u) for r in chosen.groupBy("t").agg(F.max(F.struct("p", F.col(uid).alias("u"))).alias("m")).select("t", "m.p", "m.u").collect()}
-    for _ in range(rounds):
-        if abs(total - target) <= tolerance or not ins or not outs:
-            break
-        change, o, i = min((abs(total - a + b - target), a, b) for a in outs for b in ins)
-        if change >= abs(total - target):
-            break
-        drop.add(outs.pop(o)[1])
-        add.add(ins.pop(i)[1])
-        total += i - o
-        swaps.append((o, i))
-    kept = chosen.where(~F.col(uid).isin(*drop)) if drop else chosen
-    extra = rest.where(F.col(uid).isin(*add)) if add else rest.limit(0)
-    return kept.unionByName(extra).select(uid, F.col("t").alias(tokens))
-
-
 def schedule(packs: DataFrame, uid: str, group_size: int, seed: int = 42) -> DataFrame:
     """Packs in priority order in groups; the last group is filled up with padding rows without a uid."""
     from curata.operators.mixing import ranked_by_hash

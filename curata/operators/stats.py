@@ -31,9 +31,35 @@ def over_counts(df: DataFrame, value: str, limits: list[int]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, points: list[int]) -> DataFrame:
-    """Exact percentiles, a row for each point."""
-    array = df.agg(F.percentile(F.col(value), F.array(*(F.lit(p / 100) for p in points))).alias("p"))
-    return array.select(F.posexplode("p").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, points)), F.col("i") + 1).alias("point"), F.round("value", 4).alias("value"))
+    """Exact percentiles with linear interpolation, a row for each point.
+
+    Equal values are one row with their count; ranks come from running sums over ranges of the values, and only the two
+    values around each point are looked up. ``value`` is an integer column; nulls do not count.
+    """
+    from curata.sources.tables import running_total
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    placed = running_total(counts, "v", "n", F.expr("v div 4096"))
+    n = df.agg(F.count(value)).first()[0]
+    at = [(p, (n - 1) * p / 100) for p in points]
+    wanted = F.array(*(F.struct(F.lit(p).alias("point"), F.lit(k).alias("k"), F.lit(float(x)).alias("x")) for p, x in at for k in sorted({int(x), min(int(x) + 1, max(n - 1, 0))})))
+    rows = placed.select("v", "begin", "n", F.explode(wanted).alias("w")).where("w.k >= begin and w.k < begin + n")  # a few for each point
+    share = F.when(F.col("w.k") == F.floor("w.x"), 1 - (F.col("w.x") - F.floor("w.x"))).otherwise(F.col("w.x") - F.floor("w.x"))
+    return rows.groupBy(F.col("w.point").alias("point")).agg(F.round(F.sum(F.col("v") * share), 4).alias("value"))
+
+
+def merged_metrics(df: DataFrame, name: str, order: str, number: str, array: str, text: str) -> DataFrame:
+    """``name, mean, joined, last`` of metric records: numbers averaged, arrays joined in order, of anything else the last."""
+    row = F.struct(order, array, text)
+    out = df.groupBy(name).agg(F.round(F.avg(number), 6).alias("mean"), F.sort_array(F.collect_list(row)).alias("r"))
+    last = F.try_element_at(F.filter("r", lambda x: x[text].isNotNull()), F.lit(-1))[text]
+    return out.select(name, "mean", F.flatten(F.filter(F.transform("r", lambda x: x[array]), lambda a: a.isNotNull())).alias("joined"), last.alias("last"))
+
+
+def benchmark_averages(df: DataFrame, metrics: list[str], weight: str) -> DataFrame:
+    """Plain and weighted means of metrics over the runs of a benchmark, a row for each metric."""
+    rows = df.select(weight, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics))).alias("r")).select(weight, "r.*")
+    return rows.groupBy("metric").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.sum(F.col("x") * F.col(weight)) / F.sum(weight), 4).alias("weighted"), F.count("x").alias("runs"))
 
 
 def histogram(df: DataFrame, value: str, width: int, category: str | None = None, top: int = 5) -> DataFrame:

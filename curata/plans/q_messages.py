@@ -166,12 +166,13 @@ def length_filter(spark, sf_dir):
     return X.within_length(table(spark, sf_dir, "documents"), F.size(words(F.col("text"))), 256).select("doc_id")
 
 
-@query("pair_filter", CONV + """, p AS (SELECT conv_id, m, m[1:-2] AS r FROM c)
-SELECT conv_id FROM p WHERE len(list_filter(m, lambda x: trim(x.content) = '')) = 0 AND m[-1].role = 'assistant' AND r[-1].role = 'assistant'""")
+@query("pair_filter", CONV + """, p AS (SELECT conv_id, m, CASE WHEN conv_id % 3 = 0 THEN m[1:-2] ELSE list_append(m[1:-2], {'role': 'assistant', 'content': 'No.'}) END AS r FROM c)
+SELECT conv_id, len(r) AS turns FROM p WHERE len(list_filter(m, lambda x: trim(x.content) = '')) = 0 AND m[-1].role = 'assistant' AND r[-1].role = 'assistant'""")
 def pair_filter(spark, sf_dir):
     m = F.col("messages")
-    rejected = F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0)))
-    return _messages(spark, sf_dir).where(X.ends_with_answer(m, rejected)).select("conv_id")
+    head = F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0)))
+    rejected = F.when(F.col("conv_id") % 3 == 0, head).otherwise(F.array_append(head, M.message("assistant", F.lit("No."))))
+    return _messages(spark, sf_dir).where(X.ends_with_answer(m, rejected)).select("conv_id", F.size(rejected).cast("long").alias("turns"))
 
 
 @query("pass_rate_band", "SELECT user_id, count(*) AS total, sum((value > 50)::INT)::BIGINT AS correct, round(avg((value > 50)::INT), 6) AS pass_rate FROM events GROUP BY user_id HAVING avg((value > 50)::INT) BETWEEN 0.25 AND 0.75")
@@ -244,7 +245,7 @@ def conversation_chunks(spark, sf_dir):
 
 
 NODES = """WITH RECURSIVE n AS (SELECT e.event_id AS id, CASE WHEN e.event_id >= 40 THEN (e.event_id - 40) // 3 END AS parent_id,
-  coalesce(value, 0) AS quality, event_id % 11 = 5 AS deleted FROM events e WHERE event_id < 2000),
+  coalesce(value, 0) AS quality, event_id % 11 = 5 AS deleted FROM events e),
 k AS (SELECT id, parent_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY quality DESC, id) AS r FROM n WHERE NOT deleted) WHERE parent_id IS NULL OR r <= 2),
 p AS (SELECT id, [id] AS path FROM k WHERE parent_id IS NULL UNION ALL SELECT k.id, list_append(p.path, k.id) FROM p JOIN k ON k.parent_id = p.id)
 SELECT id AS leaf_id, len(path) AS depth, array_to_string(path, '>') AS path FROM p WHERE id NOT IN (SELECT parent_id FROM k WHERE parent_id IS NOT NULL)"""
@@ -252,7 +253,7 @@ SELECT id AS leaf_id, len(path) AS depth, array_to_string(path, '>') AS path FRO
 
 @query("tree_paths", NODES)
 def tree_paths(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    e = table(spark, sf_dir, "events")
     nodes = e.select(F.col("event_id").alias("id"), F.expr("case when event_id >= 40 then (event_id - 40) div 3 end").alias("parent_id"), F.lit("").alias("text"), F.coalesce("value", F.lit(0)).alias("quality"), (F.col("event_id") % 11 == 5).alias("deleted"))
     return M.tree_paths(nodes, 2).select("leaf_id", F.size("path").cast("long").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -276,9 +277,9 @@ def few_shot_prompt(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", M.few_shot(F.lit("Name it."), shot, F.col("r_regionkey").cast("string")).alias("prompt"))
 
 
-@query("hash_mark_answer", "SELECT doc_id, trim(string_split(substr(text, 1, 20) || '#### ' || n_chars, '####')[2]) AS truth FROM documents")
+@query("hash_mark_answer", "SELECT doc_id, trim(string_split(text || '#### ' || n_chars, '####')[2]) AS truth FROM documents")
 def hash_mark_answer(spark, sf_dir):
-    text = F.concat(F.substring("text", 1, 20), F.lit("#### "), F.col("n_chars").cast("string"))
+    text = F.concat("text", F.lit("#### "), F.col("n_chars").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", M.answer_after(text, "####").alias("truth"))
 
 

@@ -173,10 +173,10 @@ def rejection_sampling(spark, sf_dir):
     return P.rejection_sampled(_offers(spark, sf_dir), ["k"], "i", "q")
 
 
-@query("majority_vote", """WITH v AS (SELECT user_id AS k, event_id AS v, event_type AS c FROM events WHERE event_id % 40 < 3), n AS (SELECT k, c, count(*) AS n, min(md5(k || ':' || v)) AS h FROM v GROUP BY k, c), m AS (SELECT *, max(n) OVER (PARTITION BY k) AS most FROM n)
+@query("majority_vote", """WITH v AS (SELECT user_id AS k, event_id AS v, event_type AS c FROM events), n AS (SELECT k, c, count(*) AS n, min(md5(k || ':' || v)) AS h FROM v GROUP BY k, c), m AS (SELECT *, max(n) OVER (PARTITION BY k) AS most FROM n)
 SELECT k, c AS choice, n AS votes FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, CASE WHEN most = 1 THEN h END, c) AS r FROM m) WHERE r = 1""")
 def majority_vote(spark, sf_dir):
-    votes = table(spark, sf_dir, "events").where("event_id % 40 < 3").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), F.col("event_type").alias("c"))
+    votes = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), F.col("event_type").alias("c"))
     return P.majority_vote(votes, "k", "v", "c")
 
 

@@ -11,16 +11,15 @@ from curata.functions.text import normalize_answer
 from curata.plans.catalogue import query
 from curata.sources.tables import table
 
-# Predictions and labels are made of the documents' beginnings, so that some agree and some do not.
-BASE = """WITH b AS (SELECT doc_id, substr(text, 1, 120) AS s, substr(text, 1, 120) || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' The ' ELSE ' more' END AS g, n_chars FROM documents WHERE length(text) > 0),
+# Predictions and labels are made of the documents' whole texts, so that some agree and some do not.
+_G = "text || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' The ' ELSE ' more' END"
+BASE = f"""WITH b AS (SELECT doc_id, text AS s, {_G} AS g, n_chars FROM documents WHERE length(text) > 0),
 """
-_S = "substr(text, 1, 120)"
-_G = "substr(text, 1, 120) || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' The ' ELSE ' more' END"
 
 
 def _base(spark, sf_dir, *columns: str):
     docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    return docs.select("doc_id", F.expr(_S).alias("s"), F.expr(_G).alias("g"), "n_chars").selectExpr("doc_id", *columns)
+    return docs.select("doc_id", F.col("text").alias("s"), F.expr(_G).alias("g"), "n_chars").selectExpr("doc_id", *columns)
 
 
 def norm(x: str) -> str:
@@ -64,7 +63,9 @@ def puzzle_match(spark, sf_dir):
 
 def f1_sql(pred: str, gold: str) -> str:
     return f"""t AS (SELECT doc_id, list_filter(string_split({norm(pred)}, ' '), lambda w: w <> '') AS p, list_filter(string_split({norm(gold)}, ' '), lambda w: w <> '') AS g FROM b),
-u AS (SELECT doc_id, len(p) AS np, len(g) AS ng, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS same FROM t)
+pw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(p) AS w FROM t) GROUP BY ALL), gw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(g) AS w FROM t) GROUP BY ALL),
+m AS (SELECT doc_id, sum(least(pw.n, gw.n)) AS same FROM pw JOIN gw USING (doc_id, w) GROUP BY doc_id),
+u AS (SELECT doc_id, len(p) AS np, len(g) AS ng, coalesce(same, 0) AS same FROM t LEFT JOIN m USING (doc_id))
 """
 
 
@@ -92,15 +93,15 @@ def max_len_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(V.length_closeness(n, w, 8192.0), 6).alias("close"), F.round(V.up_to_length(n, w, 8192.0), 6).alias("up_to"))
 
 
-@query("code_pass_rate", "WITH r AS (SELECT user_id, avg((value > 40)::INT) AS rate FROM events WHERE event_id % 9 = 0 GROUP BY user_id) SELECT user_id, round(CASE WHEN rate >= 0.5 THEN rate ELSE 0.0 END, 6) AS score FROM r")
+@query("code_pass_rate", "WITH r AS (SELECT user_id, avg((value > 40)::INT) AS rate FROM events GROUP BY user_id) SELECT user_id, round(CASE WHEN rate >= 0.5 THEN rate ELSE 0.0 END, 6) AS score FROM r")
 def code_pass_rate(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 9 = 0").groupBy("user_id").agg(F.collect_list((F.col("value") > 40).cast("int")).alias("r"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list((F.col("value") > 40).cast("int")).alias("r"))
     return e.select("user_id", F.round(V.code_pass_rate(F.col("r"), threshold=0.5), 6).alias("score"))
 
 
-@query("rubric_weighted", "SELECT user_id, round(coalesce(sum(s / 2 * w) / nullif(sum(abs(w)), 0), 0), 6) AS score FROM (SELECT user_id, (event_id % 3)::DOUBLE AS s, (event_id % 4 - 1)::DOUBLE AS w FROM events WHERE event_id % 5 = 0) GROUP BY user_id")
+@query("rubric_weighted", "SELECT user_id, round(coalesce(sum(s / 2 * w) / nullif(sum(abs(w)), 0), 0), 6) AS score FROM (SELECT user_id, (event_id % 3)::DOUBLE AS s, (event_id % 4 - 1)::DOUBLE AS w FROM events) GROUP BY user_id")
 def rubric_weighted(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") % 3).alias("s"), (F.col("event_id") % 4 - 1).alias("w"))).alias("x"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") % 3).alias("s"), (F.col("event_id") % 4 - 1).alias("w"))).alias("x"))
     return e.select("user_id", F.round(V.rubric(F.col("x.s"), F.col("x.w")), 6).alias("score"))
 
 
@@ -128,16 +129,16 @@ def soft_format(spark, sf_dir):
 _JUDGE = "CASE event_id % 6 WHEN 0 THEN 'Rating: ' || event_id % 5 || '/5' WHEN 1 THEN event_id % 90 || '.5% sure' WHEN 2 THEN 'score .' || event_id % 10 WHEN 3 THEN 'Yes, correct' WHEN 4 THEN 'bad' ELSE '{\"REASONING\": \"r\", \"SCORE\": ' || event_id % 11 || '}' END"
 
 
-@query("judge_score_parse", f"""WITH j AS (SELECT event_id, {_JUDGE} AS t FROM events WHERE event_id % 6 <> 5)
+@query("judge_score_parse", f"""WITH j AS (SELECT event_id, {_JUDGE} AS t FROM events)
 SELECT event_id, round(coalesce(try_cast(regexp_extract(t, '([0-9]+)/([0-9]+)', 1) AS DOUBLE) / nullif(try_cast(regexp_extract(t, '([0-9]+)/([0-9]+)', 2) AS DOUBLE), 0), try_cast(regexp_extract(t, '([0-9]+\\.?[0-9]*|\\.[0-9]+)%', 1) AS DOUBLE) / 100, try_cast(regexp_extract(t, '([0-9]+\\.?[0-9]*|\\.[0-9]+)', 1) AS DOUBLE), regexp_matches(lower(t), 'yes|correct|good|true|pass')::INT), 6) AS score FROM j""")
 def judge_score_parse(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 6 <> 5").selectExpr("event_id", f"{_JUDGE} as t")
+    e = table(spark, sf_dir, "events").selectExpr("event_id", f"{_JUDGE} as t")
     return e.select("event_id", F.round(V.judge_score(F.col("t")), 6).alias("score"))
 
 
-@query("judge_json_score", f"SELECT event_id, (event_id % 11) / 10.0 AS score FROM events WHERE event_id % 6 = 5")
+@query("judge_json_score", f"SELECT event_id, CASE WHEN event_id % 6 = 5 THEN (event_id % 11) / 10.0 ELSE 0.0 END AS score FROM events")
 def judge_json_score(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 6 = 5").selectExpr("event_id", f"{_JUDGE} as t")
+    e = table(spark, sf_dir, "events").selectExpr("event_id", f"{_JUDGE} as t")
     return e.select("event_id", V.json_judge_score(F.concat(F.lit("```json\n"), "t", F.lit("\n```")), 10.0).alias("score"))
 
 

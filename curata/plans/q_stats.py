@@ -83,9 +83,9 @@ def tool_metrics(spark, sf_dir):
     return S.tool_metrics(table(spark, sf_dir, "events"), "event_type", "user_id", F.col("value") > 80, F.col("value"))
 
 
-@query("solve_rate_stats", "SELECT count(*) AS groups, count(*) FILTER (hi = 0) AS zero, count(*) FILTER (lo = 1) AS solved, count(*) FILTER (sd > 0) AS nonzero_std, round(100.0 * avg((lo = 1)::INT), 4) AS percent_solved FROM (SELECT user_id, min(r) AS lo, max(r) AS hi, stddev_pop(r) AS sd FROM (SELECT user_id, (value > 30)::INT AS r FROM events WHERE event_id % 17 = 0) GROUP BY user_id)")
+@query("solve_rate_stats", "SELECT count(*) AS groups, count(*) FILTER (hi = 0) AS zero, count(*) FILTER (lo = 1) AS solved, count(*) FILTER (sd > 0) AS nonzero_std, round(100.0 * avg((lo = 1)::INT), 4) AS percent_solved FROM (SELECT user_id, min(r) AS lo, max(r) AS hi, stddev_pop(r) AS sd FROM (SELECT user_id, (value > 99)::INT AS r FROM events) GROUP BY user_id)")
 def solve_rate_stats(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 17 = 0").select("user_id", (F.col("value") > 30).cast("int").alias("r"))
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("value") > 99).cast("int").alias("r"))
     return S.solve_rates(e, "user_id", "r", 1)
 
 

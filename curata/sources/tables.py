@@ -13,11 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan(spark: SparkSession, path: str | list[str], split: str = "train", schema: str | None = None, revision: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], split: str = "train", schema: str | None = None, revision: str | None = None, order: str | None = None) -> DataFrame:
     """Scan by file extension: JSON lines (plain or compressed), Parquet, CSV and TSV, or a folder of Parquet files.
 
-    Only the split ``train`` exists for files; ``train[:n]`` takes the first n rows in file order. A ``revision`` is a
-    subfolder of the path, and comes back as a column.
+    Only the split ``train`` exists for files; ``train[:n]`` takes the first n rows along ``order``, or in the order of files
+    and rows within them. A ``revision`` is a subfolder of the path, and comes back as a column.
     """
     name, _, cut = split.partition("[")
     if name != "train":
@@ -36,7 +36,8 @@ def scan(spark: SparkSession, path: str | list[str], split: str = "train", schem
     if revision is not None:
         out = out.withColumn("revision", F.lit(revision))
     if cut:
-        out = out.limit(int(cut.strip(":]")))
+        key = [F.col(order)] if order else [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        out = out.orderBy(*key).limit(int(cut.strip(":]")))
     return out
 
 
@@ -63,6 +64,17 @@ def write_by_key(df: DataFrame, path: str, key: str, rows: int = 250, fmt: str =
     df.write.option("maxRecordsPerFile", rows).partitionBy(key).format(fmt).save(path)
 
 
+def write_single(df: DataFrame, path: str) -> None:
+    """One JSON lines file at ``path`` itself, for tables that are small by their nature."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    df.coalesce(1).write.json(path + ".part")
+    folder, target = jvm.org.apache.hadoop.fs.Path(path + ".part"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, target)
+    fs.delete(folder, True)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Tab-separated report with a header; reports are small by their nature."""
     df.coalesce(1).write.option("header", True).option("sep", "\t").csv(path)
@@ -84,19 +96,19 @@ def chunk_boundaries(docs: DataFrame, order: str, size: str, chunk: int) -> Data
     )
 
 
-def running_total(df: DataFrame, order: str, size: str, bucket: Column | None = None) -> DataFrame:
-    """``begin``: the sum of ``size`` over all rows before in ``order``, without one task for the whole table.
+def running_total(df: DataFrame, order: str, size: str, bucket: Column | None = None, group: list[str] | None = None) -> DataFrame:
+    """``begin``: the sum of ``size`` over all rows before in ``order`` (of the group), without one task for the whole.
 
     Rows are bucketed by the order column (an integer) so that buckets are in order too; the buckets' totals are one row
-    each, and only those are summed over a single window.
+    each, and only those are summed over a single window for each group.
     """
-    key = bucket if bucket is not None else F.expr(f"{order} div 4096")
-    df = df.withColumn("bucket", key)
-    totals = df.groupBy("bucket").agg(F.sum(size).alias("t"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(totals, "bucket").withColumn("begin", F.col("base") + F.coalesce(F.sum(size).over(own), F.lit(0))).drop("bucket", "base")
+    keys = list(group or [])
+    df = df.withColumn("bucket", bucket if bucket is not None else F.expr(f"{order} div 4096"))
+    totals = df.groupBy(*keys, "bucket").agg(F.sum(size).alias("t"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy(*keys, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(totals, [*keys, "bucket"]).withColumn("begin", F.col("base") + F.coalesce(F.sum(size).over(own), F.lit(0))).drop("bucket", "base")
 
 
 def part_manifest(df: DataFrame, part: Column, key: str, content: str) -> DataFrame:

@@ -238,12 +238,84 @@ def test_gae_matches_loop(spark):
     assert value(spark, sequences.gae(F.expr("cast(array() as array<double>)"), F.expr("cast(array() as array<double>)"), 0.9, 0.8)) == []
 
 
-def test_best_fit(spark):
-    df = spark.createDataFrame([(1, i, n) for i, n in enumerate([6, 5, 4, 3, 2])], "g int, i int, n int")
-    packs = {r.i: r.pack for r in sequences.pack_best_fit(df, "g", "i", "n", 10).collect()}
-    assert packs == {0: 0, 2: 0, 1: 1, 3: 1, 4: 1}
-    with pytest.raises(Exception, match="longer than a pack"):
-        sequences.pack_best_fit(df, "g", "i", "n", 5).collect()
+def plain_best_fit(lengths, size):
+    """Room left in each pack, one document at a time."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            room.append(max(size, n) - n)
+    return sorted(room)
+
+
+def test_best_fit_patterns():
+    import random
+
+    from curata.operators import packing
+
+    rng = random.Random(3)
+    for _ in range(200):
+        size = rng.randint(5, 60)
+        lengths = [rng.randint(1, size + 5) for _ in range(rng.randint(1, 80))]
+        patterns = packing.best_fit_patterns({n: lengths.count(n) for n in set(lengths)}, size)
+        room = sorted(max(size, max(n for n, _ in p)) - sum(n * t for n, t in p) for p, k in patterns for _ in range(k))
+        assert room == plain_best_fit(lengths, size)
+
+
+def test_best_fit_places(spark):
+    import random
+
+    from curata.operators import packing
+
+    rng = random.Random(5)
+    rows = [("a" if rng.random() < 0.7 else "b", i, rng.choice([0, 3, 5, 8, 13, 30])) for i in range(300)]
+    out = packing.best_fit(spark.createDataFrame(rows, "g string, i long, n long"), "g", "i", "n", 20).collect()
+    assert sorted((r.g, r.i, r.n) for r in out) == sorted(rows)
+    for g in "ab":
+        packs = {}
+        for r in out:
+            if r.g == g and r.n:
+                packs.setdefault(r.pack, []).append((r.offset, r.n))
+        for parts in packs.values():
+            assert all(b[0] == a[0] + a[1] for a, b in zip(sorted(parts), sorted(parts)[1:], strict=False)) and min(parts)[0] == 0
+        assert sorted(max(20, max(n for _, n in p)) - sum(n for _, n in p) for p in packs.values()) == plain_best_fit([n for x, _, n in rows if x == g and n], 20)
+
+
+def test_select_packs(spark):
+    from curata.operators import packing
+
+    rows = [(i, 50 + i * 37 % 101) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, n long")
+    got = packing.select_packs(df, "i", "n", 40, 5000, 3, sequences.priority(1, F.col("i"))).collect()
+    assert len({r.i for r in got}) == len(got) == 40 and abs(sum(r.n for r in got) - 5000) <= 3
+    first = {r.i for r in df.orderBy(sequences.priority(1, F.col("i"))).limit(40).collect()}
+    assert len(first & {r.i for r in got}) >= 20
+    assert {r.i for r in packing.select_packs(df, "i", "n", 40, 0, 10**9, sequences.priority(1, F.col("i"))).collect()} == first
+
+
+def test_fitted_messages(spark):
+    def plain(messages, budget):
+        size = lambda t: len(t.split(" "))
+        kept = [m for m in messages if m[0] == "system"]
+        used = sum(2 * size(c) + 4 for _, c in kept)
+        for role, content in messages:
+            if role == "system":
+                continue
+            if used + size(content) + 3 <= budget:
+                used += size(content) + 3
+                kept.append((role, content))
+            else:
+                room = budget - used - 3
+                return kept + ([(role, " ".join(content.split(" ")[:room]))] if room > 0 else [])
+        return kept
+
+    rows = [[("system", "be brief"), ("user", "a b c d e"), ("assistant", "f g h i j k l m"), ("user", "n")], [("user", "a " * 30)], [("user", "x"), ("assistant", "y z")]]
+    df = spark.createDataFrame([(i, [{"role": r, "content": c} for r, c in m]) for i, m in enumerate(rows)], "i long, m array<struct<role:string,content:string>>")
+    for budget in (5, 16, 22, 100):
+        out = df.select("i", sequences.fitted_messages(F.col("m"), lambda c: F.size(F.split(c, " ")), budget).alias("f")).collect()
+        assert {r.i: [tuple(m) for m in r.f] for r in out} == {i: plain(m, budget) for i, m in enumerate(rows)}
 
 
 def test_spans_and_padding(spark):
@@ -275,3 +347,35 @@ def test_splitters(spark):
     assert value(spark, repetition.is_formula(F.lit("12 + 3"))) is True
     assert value(spark, repetition.is_statement(F.lit("return x"))) is True
     assert value(spark, repetition.is_list(F.lit("1. a\n2. b"))) is True
+
+
+def test_transform_names(spark):
+    from curata.operators import transforms
+
+    df = spark.createDataFrame([(1, [("user", "a b"), ("assistant", "c")], "x")], "i long, messages array<struct<role:string,content:string>>, tools string")
+    out = transforms.run_transforms(df, ["sft_tulu_tokenize_and_truncate_v1", "sft_tulu_filter_v1"], [{"max_length": 4}, {}], ["input_ids", "labels"]).first()
+    assert list(out.asDict()) == ["input_ids", "labels", "tools"] and len(out.input_ids) == 4
+    assert [x != -100 for x in out.labels] == [False, False, False, True]
+    with pytest.raises(ValueError, match="no row is left"):
+        transforms.run_transforms(df, ["sft_tulu_tokenize_and_truncate_v1", "sft_tulu_filter_v1"], [{"max_length": 2}, {}])
+    with pytest.raises(ValueError, match="unknown transforms"):
+        transforms.run_transforms(df, ["none"])
+    names = ["sft_tokenize_v1", "sft_filter_v1"]
+    assert transforms.config_hash(names) != transforms.config_hash(["sft_tokenize_mask_out_prompt_v1", "sft_filter_v1"])
+
+
+def test_unknown_speaker_and_converter(spark):
+    with pytest.raises(ValueError, match="no converter"):
+        M.to_messages(spark.range(1))
+
+
+def test_file_shards(spark, tmp_path):
+    import hashlib
+
+    from curata.sources import tables
+
+    data = bytes(range(256)) * 10
+    (tmp_path / "x.bin").write_bytes(data)
+    rows = tables.split_digests(spark, str(tmp_path), 1000).orderBy("shard").collect()
+    assert [r.shard_sha256 for r in rows] == [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, 2560, 1000)]
+    assert {r.file_sha256 for r in rows} == {hashlib.sha256(data).hexdigest()}
