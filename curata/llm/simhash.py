@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.components import connected_components
+from curata.llm.components import connected_components, join_hot
 from curata.runtime import arrow_rows, discard, free_name, join_checked, materialize, shuffle_width
 
 SHINGLE = 4
@@ -261,8 +261,8 @@ def _join_tries(words: int, budget: int, limit: int):
     return run
 
 
-def fingerprint_links(prints: DataFrame, keys: list[Column], budget: int = BUDGET, cap: int = CAP) -> DataFrame:
-    """Links ``u, v`` between the ``node`` numbers of ``prints(node, f0, ...)``, which are distinct.
+def fingerprint_links(prints: DataFrame, keys: list[Column], count: int, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
+    """Links ``u, v`` between the ``node`` numbers of the ``count`` rows of ``prints(node, f0, ...)``, which are distinct.
 
     Fingerprints that share a key and differ in ``budget`` bits at most end up connected. Within a key each is linked to
     one of its component there, not to every partner: no link between components is lost and a key of m near copies gives
@@ -272,8 +272,8 @@ def fingerprint_links(prints: DataFrame, keys: list[Column], budget: int = BUDGE
     spark, names = prints.sparkSession, [c for c in prints.columns if c != "node"]
     dealt = prints.select("node", *names, F.explode(F.array(*keys)).alias("k")).select("node", *names, "k.choice", "k.bits")
     sizes = dealt.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(sizes.hint("merge"), ["choice", "bits"])
-    met = met.withColumn("parts", F.ceil(F.col("n") / F.lit(cap)).cast("int")).drop("n")
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / F.lit(cap)).cast("int"))
+    met = join_hot(dealt, sizes, ["choice", "bits"], count * len(keys))
     met = met.withColumn("own", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     met = met.withColumn("other", F.explode(other)).select(
@@ -290,15 +290,19 @@ def _with_components(marked: DataFrame, keys, budget: int, cap: int) -> DataFram
     names = [c for c in marked.columns if c not in ("rid", "doc_id")]
     # nulls last, then the first row
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
-    prints = marked.groupBy(*names).agg(F.min(first).alias("first"))
+    prints = marked.groupBy(*names).agg(F.min(first).alias("first"), F.count("*").alias("n"))
     prints = materialize(prints.withColumn("node", F.col("first.rid")), "distinct-prints")
-    links = fingerprint_links(prints.select("node", *names), keys(prints.count()), budget, cap)
+    count = prints.count()
+    links = fingerprint_links(prints.select("node", *names), keys(count), count, budget, cap)
     rooted = prints.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    ids = rooted.join(least, "root").select(*names, F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keeper"))
+    rooted = materialize(rooted.withColumnRenamed("n", "copies"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    ids = join_hot(rooted, least, ["root"], count)
+    ids = ids.select(*names, F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keeper"), F.col("copies").alias("n"))
     ids = materialize(ids, "components")
     discard(prints)
-    return marked.join(ids.hint("merge"), names).select("rid", "doc_id", *names, "component_id", "keeper")
+    discard(rooted)
+    return join_hot(marked, ids, names, marked.count()).select("rid", "doc_id", *names, "component_id", "keeper")
 
 
 def _numbered(docs: DataFrame, rid: str | None) -> DataFrame:

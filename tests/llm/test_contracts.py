@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm import brute
 
-from curata.llm import decontaminate, hilbert, licenses, maxent, packing, pii, quality, registry, simhash, toxicity, urls
+from curata.llm import components, decontaminate, hilbert, licenses, maxent, packing, pii, quality, registry, simhash, toxicity, urls
 
 
 def docs_of(spark, data):
@@ -42,6 +42,34 @@ def test_simhash(spark, both, which):
     assert sorted(got, key=repr) == want
 
 
+def test_components_with_hubs(spark):
+    """A hub of half of all links, a chain, repeated and turned links, self links and nulls."""
+    hub = [(7, 10_000 + i) for i in range(6_000)] + [(10_000 + i, 20_000 + i) for i in range(0, 6_000, 3)]
+    rest = [(i, i + 1) for i in range(100, 160)] + [(101, 100), (5, 5), (None, 3), (3, None)]
+    found = components.connected_components(spark.createDataFrame(hub + rest, "u long, v long")).collect()
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in hub + rest:
+        if None not in (u, v) and u != v:
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    assert sorted((r.node, r.root) for r in found) == sorted((x, root(x)) for x in list(parent))
+
+
+def test_join_hot(spark):
+    """Hot, even, missing and null keys give what an inner join gives, once each."""
+    left = spark.range(20_000).selectExpr("case when id < 15000 then 1 when id < 19990 then id % 97 + 2 when id < 19995 then null else -1 end as k", "id")
+    right = left.where("k >= 1").groupBy("k").count().selectExpr("k", "count as n", "k * 10 as m")
+    got = components.join_hot(left, right, ["k"], 20_000)
+    assert got.columns == ["k", "id", "m"]
+    assert sorted(got.collect()) == sorted(left.join(right.drop("n"), "k").collect())
+
+
 @folders
 def test_maxent(spark, both, which):
     docs = {d.doc_id: d.text for d in docs_of(spark, both[which]).select("doc_id", "text").collect()}
