@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curata.runtime import discard, materialize, shuffle_width
 
 #: Rows of one key that a task may always read; beyond it a key is hot once it holds more than a task's even share.
-EVEN = 1_000
+EVEN = 100
 
 
 def _signature(edges: DataFrame) -> tuple:
