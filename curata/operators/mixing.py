@@ -1,8 +1,8 @@
 """Mixing of sources: samples, quotas, set operations, epochs.
 
 "Random" always means ordered by a hash of a seed and the row's id, so a mix is the same on every run and cluster.
-Quotas within a source use the hash order over the source; a large source is first cut down to the rows whose hash lies
-under a bound that the quota cannot exceed, so the rank is taken over about as many rows as are wanted.
+Quotas within a source use the hash order over the source; it is dealt into buckets by the first digits of the hash, and
+buckets that start beyond the quota are dropped by their counts, so about as many rows are ranked as are wanted.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from curata.sources.tables import running_total
 
 
+#: Hexadecimal digits of the hash that deal a group's rows into buckets: 65,536 buckets of a group at most.
+DEAL = 4
+
+
 def shuffled_key(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
@@ -36,24 +40,30 @@ def mixer_amounts(pairs: list[str], counts: dict[str, int], mode: str = "dot") -
     return {n: int(v) if v > 1 else int(v * counts[n]) for n, v in values.items()}
 
 
-def first_by_hash(df: DataFrame, group: list[str], quota: Column | int, key: str, seed: int | str = 42, sizes: DataFrame | None = None) -> DataFrame:
-    """The first ``quota`` rows of each group in hash order.
-
-    Rows are ranked in buckets of the hash's first two digits, and the buckets' counts are summed in order: no window
-    ever holds a whole group.
-    """
-    ranked = ranked_by_hash(df, group, key, seed)
-    return ranked.where(F.col("place") < quota)
+def first_by_hash(df: DataFrame, group: list[str], quota: Column | int, key: str, seed: int | str = 42) -> DataFrame:
+    """The first ``quota`` rows of each group in hash order; buckets of the hash beyond the quota are dropped before ranking."""
+    return _ranked(df, group, key, seed, quota).where(F.col("place") < quota)
 
 
 def ranked_by_hash(df: DataFrame, group: list[str], key: str, seed: int | str = 42) -> DataFrame:
-    """``df`` with ``place``, the row's number from 0 in the hash order of its group."""
-    dealt = df.withColumn("order_key", shuffled_key(seed, F.col(key))).withColumn("deal", F.substring("order_key", 1, 2))
-    counts = dealt.groupBy(*group, "deal").agg(F.count("*").alias("n"))  # at most 256 rows for a group
-    before = F.sum("n").over(Window.partitionBy(*group).orderBy("deal").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*group, "deal", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(*group, "deal").orderBy("order_key", key))
-    return dealt.join(counts, [*group, "deal"]).withColumn("place", F.col("before") + own - 1).drop("deal", "before", "order_key")
+    """``df`` with ``place``, the row's number from 0 in the hash order of its group; nulls are a group of their own."""
+    return _ranked(df, group, key, seed, None)
+
+
+def _ranked(df: DataFrame, group: list[str], key: str, seed: int | str, quota: Column | int | None) -> DataFrame:
+    """Ranks within buckets of the hash's first ``DEAL`` digits, and sums of the buckets' counts: no window holds a group.
+
+    A struct of the group's columns joins null with null, and the window keeps the partitioning of the join.
+    """
+    hashed = shuffled_key(seed, F.col(key))
+    dealt = df.withColumns({"order_key": hashed, "deal": F.struct(*group, F.substring(hashed, 1, DEAL).alias("digits"))})
+    counts = dealt.groupBy("deal").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*[f"deal.{g}" for g in group]).orderBy("deal.digits").rowsBetween(Window.unboundedPreceding, -1))
+    rows = dealt.join(counts.select("deal", F.coalesce(before, F.lit(0)).alias("before")), "deal")
+    if quota is not None:
+        rows = rows.where(F.col("before") < quota)
+    own = F.row_number().over(Window.partitionBy("deal").orderBy("order_key", key))
+    return rows.withColumn("place", F.col("before") + own - 1).drop("deal", "before", "order_key")
 
 
 def resampled(df: DataFrame, group: str, targets: DataFrame, key: str, seed: int | str = 42) -> DataFrame:

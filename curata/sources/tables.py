@@ -100,15 +100,16 @@ def running_total(df: DataFrame, order: str, size: str, bucket: Column | None =
     """``begin``: the sum of ``size`` over all rows before in ``order`` (of the group), without one task for the whole.
 
     Rows are bucketed by the order column (an integer) so that buckets are in order too; the buckets' totals are one row
-    each, and only those are summed over a single window for each group.
+    each, and only those are summed over a single window for each group. Rows without an order come first, and null is a
+    group of its own: both are parts of a struct, which joins null with null.
     """
     keys = list(group or [])
-    df = df.withColumn("bucket", bucket if bucket is not None else F.expr(f"{order} div 4096"))
-    totals = df.groupBy(*keys, "bucket").agg(F.sum(size).alias("t"))
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy(*keys, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(totals, [*keys, "bucket"]).withColumn("begin", F.col("base") + F.coalesce(F.sum(size).over(own), F.lit(0))).drop("bucket", "base")
+    df = df.withColumn("bucket", F.struct(*keys, (bucket if bucket is not None else F.expr(f"{order} div 4096")).alias("run")))
+    totals = df.groupBy("bucket").agg(F.sum(size).alias("t"))
+    before = Window.partitionBy(*[f"bucket.{k}" for k in keys]).orderBy("bucket.run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(totals, "bucket").withColumn("begin", F.col("base") + F.coalesce(F.sum(size).over(own), F.lit(0))).drop("bucket", "base")
 
 
 def part_manifest(df: DataFrame, part: Column, key: str, content: str) -> DataFrame:

@@ -10,6 +10,7 @@ from curata.functions.text import normalize_answer
 from curata.operators import filters as X
 from curata.operators import messages as M
 from curata.operators import mixing, repetition, sequences
+from curata.sources import tables
 
 
 def value(spark, column):
@@ -379,3 +380,15 @@ def test_file_shards(spark, tmp_path):
     rows = tables.split_digests(spark, str(tmp_path), 1000).orderBy("shard").collect()
     assert [r.shard_sha256 for r in rows] == [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, 2560, 1000)]
     assert {r.file_sha256 for r in rows} == {hashlib.sha256(data).hexdigest()}
+
+
+def test_ranks_and_sums_keep_nulls(spark):
+    """Null groups, ids and orders are ranked and summed like others."""
+    rows = [(None, 1, 10), (None, 2, 20), ("a", 3, None), ("a", None, 5), ("a", 9000, 7), ("b", 4, 1)]
+    df = spark.createDataFrame(rows, "source string, id long, size long")
+    ranked = mixing.ranked_by_hash(df, ["source"], "id").collect()
+    assert sorted((str(r.source), r.place) for r in ranked) == [("None", 0), ("None", 1), ("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    first = mixing.first_by_hash(df, ["source"], 1, "id").collect()
+    assert {(r.source, r.id) for r in first} == {(r.source, r.id) for r in ranked if r.place == 0}
+    got = {(r.source, r.id): r.begin for r in tables.running_total(df, "id", "size", group=["source"]).collect()}
+    assert got == {(None, 1): 0, (None, 2): 10, ("a", None): 0, ("a", 3): 5, ("a", 9000): 5, ("b", 4): 0}
