@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curata.sources.tables import running_total
+from curata.sources.tables import ranged_total
 
 
 #: Hexadecimal digits of the hash that deal a group's rows into buckets: 65,536 buckets of a group at most.
@@ -84,8 +84,8 @@ def resampled(df: DataFrame, group: str, targets: DataFrame, key: str, seed: int
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with a gapless ``index`` from 0 in the order of an integer column."""
-    return running_total(df.withColumn("one", F.lit(1)), order, "one").withColumnRenamed("begin", "index").drop("one")
+    """``df`` with a gapless ``index`` from 0 in the order of a column; a column of that name is replaced."""
+    return ranged_total(df, [order], F.lit(1), "index")
 
 
 def stratified(df: DataFrame, stratum: str, portions: dict[str, float], total: int, key: str, seed: int | str = 42) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.native import let, words
-from curata.sources.tables import running_total
+from curata.sources.tables import ranged_total, running_total
 
 MASKED = -100
 NO_IDS = "cast(array() as array<int>)"
@@ -191,6 +191,6 @@ def unpacked(flat: Column, lengths: Column) -> Column:
 
 def worker_shares(df: DataFrame, order: str, workers: int) -> DataFrame:
     """Equal runs of packs for workers; the remainder is cut off."""
-    placed = running_total(df.withColumn("one", F.lit(1)), order, "one").withColumnRenamed("begin", "place").drop("one")
+    placed = ranged_total(df, [order], F.lit(1), "place")
     each = df.count() // workers
     return placed.where(F.col("place") < each * workers).withColumn("worker", F.expr(f"place div {max(each, 1)}"))

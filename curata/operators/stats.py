@@ -39,7 +39,7 @@ def percentiles(df: DataFrame, value: str, points: list[int]) -> DataFrame:
     from curata.sources.tables import running_total
 
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    placed = running_total(counts, "v", "n", F.expr("v div 4096"))
+    placed = running_total(counts, "v", "n")
     n = df.agg(F.count(value)).first()[0]
     at = [(p, (n - 1) * p / 100) for p in points]
     wanted = F.array(*(F.struct(F.lit(p).alias("point"), F.lit(k).alias("k"), F.lit(float(x)).alias("x")) for p, x in at for k in sorted({int(x), min(int(x) + 1, max(n - 1, 0))})))

@@ -14,6 +14,7 @@ from curata.operators import sequences as S
 from curata.plans.catalogue import query
 from curata.runtime import checkpoint_root
 from curata.sources.tables import conversation_messages, table
+from curata.streaming import loader as L
 from curata.streaming import steps as T
 
 NW = r"len(list_filter(string_split_regex({0}, '[ \t-\r]+'), lambda w: w <> ''))"
@@ -285,13 +286,71 @@ def truncated_mask(spark, sf_dir):
     return T.without_truncated(rows, "finish").select("event_id", F.round("advantage", 3).alias("advantage"))
 
 
-@query("stream_step_batches", "SELECT user_id, 8 AS rows FROM (SELECT user_id, count(value) AS n FROM events GROUP BY user_id) WHERE n >= 8")
-def stream_step_batches(spark, sf_dir):
-    """A stream over the events that reports each user's first eight rollouts when they are complete."""
+BATCHES = """WITH r AS (SELECT user_id, event_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS number FROM events),
+g AS (SELECT user_id, number, min(event_id) AS first, count(*) AS rows, round(avg(value), 6) AS mean, coalesce(max(value) > min(value), false) AS varied, coalesce(avg(value) >= 60, false) AS solved FROM r GROUP BY ALL HAVING count(*) = 8),
+s AS (SELECT user_id, min(number) AS till FROM g WHERE solved GROUP BY user_id)
+"""
+
+
+def _as_stream(spark, rows):
+    """A stream over a table's rows, and a folder for its output and state."""
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").select("event_id", "user_id", "value").schema
-    spark.read.schema(schema).parquet(f"{sf_dir}/events.parquet").write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{root}/in")
-    out = T.running_groups(stream, "user_id", "value", 8, 1e9)
+    rows.write.parquet(f"{root}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{root}/in"), root
+
+
+@query("stream_step_batches", BATCHES + "SELECT user_id, number, first, rows, mean, varied, solved FROM g LEFT JOIN s USING (user_id) WHERE till IS NULL OR number <= till")
+def stream_step_batches(spark, sf_dir):
+    """A stream over the events: each user's rollouts in groups of eight, until the mean of one reaches 60."""
+    stream, root = _as_stream(spark, table(spark, sf_dir, "events").select("event_id", "user_id", "value"))
+    out = T.running_groups(stream, "user_id", "value", 8, 60, "event_id")
+    T.run_available(out, f"{root}/out", f"{root}/state")
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query("stream_unsolved", BATCHES + "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM s)")
+def stream_unsolved(spark, sf_dir):
+    """The users that are left to sample from, by the stream's own record of what was solved."""
+    return T.unsolved(table(spark, sf_dir, "events").select("user_id").distinct(), stream_step_batches(spark, sf_dir), "user_id")
+
+
+BUDGETED = """WITH RECURSIVE d AS (SELECT doc_id % 4 AS rank, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS seen FROM documents),
+f AS (
+  SELECT rank, doc_id, n, seen, 0::BIGINT AS batch, 0::BIGINT AS place, n AS tokens FROM d WHERE seen = 0
+  UNION ALL
+  SELECT rank, doc_id, n, seen, CASE WHEN cut THEN batch + 1 ELSE batch END, CASE WHEN cut THEN 0 ELSE place + 1 END, CASE WHEN cut THEN n ELSE tokens + n END
+  FROM (SELECT d.*, batch, place, tokens, tokens + d.n > 6000 OR d.seen >= (batch + 1) * 4 AS cut FROM f JOIN d ON f.rank = d.rank AND d.seen = f.seen + 1)
+)
+SELECT rank, doc_id, n AS n_chars, batch, place FROM f"""
+
+
+@query("stream_budgeted_batches", BUDGETED)
+def stream_budgeted_batches(spark, sf_dir):
+    """Four new documents a batch and rank, 6,000 characters at most; what does not fit goes to the next batch."""
+    stream, root = _as_stream(spark, table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("rank"), "doc_id", "n_chars"))
+    out = T.budgeted_batches(stream, "rank", "doc_id", "n_chars", 4, 6000)
     T.run_available(out, f"{root}/out", f"{root}/state")
-    return spark.read.schema("user_id long, rows long, mean double, varied boolean, solved boolean").parquet(f"{root}/out").select("user_id", "rows")
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+LOADER = """WITH e AS (SELECT unnest([0, 1]) AS epoch),
+x AS (SELECT epoch, doc_id, (row_number() OVER (PARTITION BY epoch ORDER BY md5('7:' || epoch || ':' || doc_id), doc_id) - 1) AS i, count(*) OVER (PARTITION BY epoch) // 16 AS whole
+      FROM e, documents WHERE epoch = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1))
+SELECT epoch::BIGINT AS epoch, i // 16 AS batch, i % 16 AS place, doc_id FROM x WHERE i // 16 < whole"""
+
+
+@query("loader_resumed", LOADER)
+def loader_resumed(spark, sf_dir):
+    """Two epochs of a loader that stops in the first and again between them; good documents are solved in the first."""
+    path, docs = f"{checkpoint_root(spark)}/loader-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id")
+    solved = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    stop = L.batches(docs, "doc_id", 0, 16, 7).agg(F.max("batch")).first()[0] // 2
+    given = L.batches(docs, "doc_id", 0, 16, 7).where(F.col("batch") < stop)
+    L.save(spark, path, L.State(0, 0, stop), solved.where("doc_id % 2 = 0"))
+    at, excluded = L.load(spark, path, "doc_id")
+    given = given.unionByName(L.batches(docs, "doc_id", at.epoch, 16, 7, excluded, at.batch))
+    L.save(spark, path, L.State(1, 0, 0), solved.where("doc_id % 2 <> 0"))
+    L.save(spark, path, L.State(2, 1, 0))
+    L.clean_up(spark, path, "doc_id", keep=1)
+    at, excluded = L.load(spark, path, "doc_id")
+    return given.unionByName(L.batches(docs, "doc_id", at.epoch, 16, 7, excluded, at.batch)).select("epoch", "batch", "place", "doc_id")

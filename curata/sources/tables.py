@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curata.runtime import free_name, materialize, shuffle_width
+
 #: The message list of a conversation.
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -96,20 +98,39 @@ def chunk_boundaries(docs: DataFrame, order: str, size: str, chunk: int) -> Data
     )
 
 
-def running_total(df: DataFrame, order: str, size: str, bucket: Column | None = None, group: list[str] | None = None) -> DataFrame:
+def running_total(df: DataFrame, order: str, size: str, group: list[str] | None = None) -> DataFrame:
     """``begin``: the sum of ``size`` over all rows before in ``order`` (of the group), without one task for the whole.
 
-    Rows are bucketed by the order column (an integer) so that buckets are in order too; the buckets' totals are one row
-    each, and only those are summed over a single window for each group. Rows without an order come first, and null is a
-    group of its own: both are parts of a struct, which joins null with null.
+    Without a group the rows are dealt by ranges of the order. With one they are bucketed by the order column (an integer),
+    and the buckets' totals, one row each, are summed in a window for each group. Rows without an order come first, and
+    null is a group of its own: both are parts of a struct, which joins null with null. A column ``begin`` is replaced.
+    """
+    if not group:
+        return ranged_total(df, [order], F.col(size), "begin")
+    bucket, base = free_name(df, "curata_bucket"), free_name(df, "curata_base")
+    df = df.withColumn(bucket, F.struct(*group, F.expr(f"{order} div 4096").alias("run")))
+    totals = df.groupBy(bucket).agg(F.sum(size).alias("t"))
+    before = Window.partitionBy(*[f"{bucket}.{k}" for k in group]).orderBy(f"{bucket}.run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(bucket, F.coalesce(F.sum("t").over(before), F.lit(0)).alias(base))
+    own = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(totals, bucket).withColumn("begin", F.col(base) + F.coalesce(F.sum(size).over(own), F.lit(0))).drop(bucket, base)
+
+
+def ranged_total(df: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``size`` over all rows before in ``order``; nulls come first.
+
+    Rows are dealt by ranges of the order and written, each range sums its own, and only one row for each range, of which
+    there are as many as shuffle partitions, is summed in one task. No other column of ``df`` changes.
     """
-    keys = list(group or [])
-    df = df.withColumn("bucket", F.struct(*keys, (bucket if bucket is not None else F.expr(f"{order} div 4096")).alias("run")))
-    totals = df.groupBy("bucket").agg(F.sum(size).alias("t"))
-    before = Window.partitionBy(*[f"bucket.{k}" for k in keys]).orderBy("bucket.run").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(totals, "bucket").withColumn("begin", F.col("base") + F.coalesce(F.sum(size).over(own), F.lit(0))).drop("bucket", "base")
+    part, base = free_name(df, "curata_part"), free_name(df, "curata_base")
+    dealt = df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn(part, F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    sums = dealt.groupBy(part).agg(F.sum(size).alias("t"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(part, F.coalesce(F.sum("t").over(before), F.lit(0)).alias(base))
+    own = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(bases), part).withColumn(name, F.col(base) + F.coalesce(F.sum(size).over(own), F.lit(0)))
+    return out.drop(part, base)
 
 
 def part_manifest(df: DataFrame, part: Column, key: str, content: str) -> DataFrame:

@@ -392,17 +392,3 @@ def test_ranks_and_sums_keep_nulls(spark):
     assert {(r.source, r.id) for r in first} == {(r.source, r.id) for r in ranked if r.place == 0}
     got = {(r.source, r.id): r.begin for r in tables.running_total(df, "id", "size", group=["source"]).collect()}
     assert got == {(None, 1): 0, (None, 2): 10, ("a", None): 0, ("a", 3): 5, ("a", 9000): 5, ("b", 4): 0}
-
-
-def test_stream_excludes_solved_prompts(spark, tmp_path):
-    """Two files, a batch each: a solved prompt returns once, an unsolved one as often as its rollouts fill a group."""
-    from curata.streaming import steps
-
-    schema = "id long, prompt string, score double"
-    solved = [(k, "a", 1.0) for k in range(2)]
-    for part, rows in enumerate([solved + [(2, "b", 0.0), (3, "b", 1.0)], solved + [(4, "b", 0.0), (5, "b", 0.0), (6, "c", 1.0), (7, "c", None)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = steps.rollout_stream(spark, str(tmp_path / "in"), schema)
-    steps.run_available(steps.running_groups(stream, "prompt", "score", 2, 0.9), str(tmp_path / "out"), str(tmp_path / "state"))
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(map(tuple, out.collect())) == [("a", 2, 1.0, False, True), ("b", 2, 0.0, False, False), ("b", 2, 0.5, True, False)]
