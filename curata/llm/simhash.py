@@ -8,7 +8,8 @@ and a pair of nodes is dropped as soon as they exceed the budget.
 :func:`near_duplicates` takes 64 bits and every choice of ``blocks - budget`` of ``blocks`` runs of bits as keys: of two
 linked fingerprints at least that many runs are equal, so none is lost. :func:`similar_documents` takes four times as
 many bits, whose differences tell the similarity of two sets of shingles, and as many keys of random bits as leave
-a stated share of links at the least similarity unfound.
+a stated share of links at the least similarity unfound. Its budget is wide, so that few links are lost, and each link that
+the tries find is then checked by a sketch of 256 least hashes of either set.
 """
 
 from __future__ import annotations
@@ -37,6 +38,13 @@ FRONTIER = 1 << 20
 WIDTH, SIMILARITY, WORDS = 5, 0.8, 4
 #: Share of links at the least similarity that no key brings together.
 MISSED = 0.01
+#: Standard deviations by which fingerprints may differ more than expected at the least similarity, and by which sketches
+#: may agree less.
+PRINT_SLACK, SKETCH_SLACK = 2.5, 2.0
+#: Least hashes in a sketch, a byte of each.
+SKETCH = 256
+#: Shares of the budget up to which pairs are merged first, so that links are between near texts where there is a choice.
+LEVELS = (0.4, 0.7, 1.0)
 #: Fingerprints that share a key by chance, about; more documents make the keys longer.
 BY_CHANCE = 64
 #: Losing rows that are broadcast at most; more are joined by sort-merge.
@@ -73,22 +81,40 @@ def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, width: int = WIDTH, words: int = WORDS) -> list[int]:
-    """A fingerprint of ``64 * words`` bits of the set of shingles; zeros if the text has no word."""
-    hashes = np.unique(shingle_hashes(text, width))
-    return [majority(mixed(hashes, k + 1)) for k in range(words)]
+def sketch(hashes: np.ndarray, size: int = SKETCH) -> bytes:
+    """One byte of the least hash of a set under each of ``size`` mixings; equal bytes tell the similarity of two sets."""
+    if not len(hashes):
+        return bytes(size)
+    rng = np.random.default_rng(128)
+    factor, shift = (rng.integers(0, 1 << 32, size, dtype=np.uint32) for _ in range(2))
+    short, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(size, (1 << 32) - 1, dtype=np.uint32)
+    for at in range(0, len(short), 4096):
+        mixes = short[at : at + 4096, None] * (factor | np.uint32(1)) + shift
+        least = np.minimum(least, mixes.min(axis=0))
+    return least.astype(np.uint8).tobytes()
 
 
-def _prints(words: int, width: int):
-    def of(text: bytes) -> list[int]:
-        return [fingerprint(text, width)] if words == 1 else wide_fingerprint(text, width, words)
+def least_agreeing(similarity: float = SIMILARITY, size: int = SKETCH) -> int:
+    """Equal bytes that the sketches of a link have at least."""
+    p = similarity + (1 - similarity) / 256
+    return ceil(size * p - SKETCH_SLACK * sqrt(size * p * (1 - p)))
+
 
+def _prints(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            prints = np.array([of(t or b"") for t in texts], dtype=np.uint64).reshape(-1, words).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(c)) for c in prints.T]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *columns], ["rid", "doc_id", *_names(words)])
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = []
+            if words == 1:
+                prints = [[fingerprint(t, width)] for t in texts]
+            else:
+                sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+                prints = [[majority(mixed(h, k + 1)) for k in range(words)] for h in sets]
+                columns = [pa.array([sketch(h) for h in sets], pa.binary())]
+            prints = np.array(prints, dtype=np.uint64).reshape(-1, words).view(np.int64)
+            columns = [*(pa.array(np.ascontiguousarray(c)) for c in prints.T), *columns]
+            names = ["rid", "doc_id", *_names(words), "sketch"]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *columns], names[: 2 + len(columns)])
 
     return run
 
@@ -98,10 +124,13 @@ def _names(words: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, words: int = 1, width: int = SHINGLE) -> DataFrame:
-    """``rid, doc_id, f0, ...`` of a table with ``rid``, ``doc_id`` and ``text``; a null text counts as empty."""
+    """``rid, doc_id, f0, ...`` of a table with ``rid``, ``doc_id`` and ``text``; a null text counts as empty.
+
+    One word of 64 bits is that of all shingles; more are of the set of shingles, whose ``sketch`` follows.
+    """
     arrow_rows(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    prints = ", ".join(f"{c} long" for c in _names(words))
+    prints = ", ".join(f"{c} long" for c in _names(words)) + (", sketch binary" if words > 1 else "")
     return docs.select("rid", "doc_id", "text").mapInArrow(_prints(words, width), f"rid {kinds['rid']}, doc_id {kinds['doc_id']}, {prints}")
 
 
@@ -127,9 +156,9 @@ def differing_share(similarity: float) -> float:
 
 
 def similarity_budget(similarity: float = SIMILARITY, words: int = WORDS) -> int:
-    """Differing bits that are allowed: what is expected at the similarity and one standard deviation."""
+    """Differing bits that are allowed: what is expected at the similarity and ``PRINT_SLACK`` standard deviations."""
     n, p = 64 * words, differing_share(similarity)
-    return int(n * p + sqrt(n * p * (1 - p)))
+    return int(n * p + PRINT_SLACK * sqrt(n * p * (1 - p)))
 
 
 def random_keys(count: int, similarity: float = SIMILARITY, words: int = WORDS, missed: float = MISSED) -> list[Column]:
@@ -146,9 +175,10 @@ def random_keys(count: int, similarity: float = SIMILARITY, words: int = WORDS,
     return keys
 
 
-def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.ndarray) -> None:
+def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Join each group's binary trie with itself and merge the labels of all pairs within the budget.
 
+    What comes back are the pairs that merged two labels: they connect what the budget connects, and are within it.
     ``group`` and the rows of ``prints``, the most significant word first, are sorted by (group, print). A node is a run
     ``[lo, hi)`` of that order and a label is the least position that a position is linked to. Node pairs whose leaves all
     have one label already are dropped.
@@ -158,6 +188,7 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.nd
     ends = np.r_[starts[1:], n]
     many = ends - starts > 1
     lo, hi = starts[many], ends[many]
+    merged: list[tuple[np.ndarray, np.ndarray]] = []
     ones: dict[int, np.ndarray] = {}
 
     def ones_before(bit: int) -> np.ndarray:
@@ -178,15 +209,17 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.nd
         leaf = ~same & (ahi - alo == 1) & (bhi - blo == 1)
         a, b = alo[leaf], blo[leaf]
         if len(a):
-            near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= budget
-            _merge(labels, a[near], b[near])
+            errors = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(errors <= budget)
+            near = near[np.argsort(errors[near], kind="stable")]
+            merged += _forest(labels, a[near], b[near])
         rest = ~same & ~leaf
         alo, ahi, blo, bhi, err = (x[rest] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
         if bit < 0:  # equal prints
-            _merge(labels, np.repeat(alo, ahi - alo), _ranges(alo, ahi))
-            _merge(labels, np.repeat(alo, bhi - blo), _ranges(blo, bhi))
+            merged += _forest(labels, np.repeat(alo, ahi - alo), _ranges(alo, ahi))
+            merged += _forest(labels, np.repeat(alo, bhi - blo), _ranges(blo, bhi))
             continue
         c = ones_before(bit)
         amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
@@ -202,6 +235,28 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, budget: int, labels: np.nd
         alo, ahi, blo, bhi, err = nxt
         keep = (ahi > alo) & (bhi > blo) & (err <= budget) & ~((alo == blo) & (ahi - alo == 1))
         stack.append((bit - 1, *(x[keep] for x in (alo, ahi, blo, bhi, err))))
+    return merged
+
+
+def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Merge the labels of all pairs; the pairs that did it, earlier ones first, without a circle.
+
+    In each round every label takes its first pair that leads to another label.
+    """
+    out = []
+    while len(a):
+        x, y = labels[a], labels[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if not len(a):
+            break
+        ends, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        first, place = np.full(len(ends), len(a)), np.arange(len(a))
+        np.minimum.at(first, at, np.concatenate([place, place]))
+        chosen = np.unique(first)
+        out.append((a[chosen], b[chosen]))
+        _merge(labels, a[chosen], b[chosen])
+    return out
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -230,10 +285,11 @@ def _join_tries(words: int, budget: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(group: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            labels = np.arange(len(prints))
-            trie_pairs(group, prints, budget, labels)
-            moved = np.flatnonzero(labels != np.arange(len(prints)))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], ["u", "v"])
+            labels, found = np.arange(len(prints)), []
+            for part in LEVELS if words > 1 else LEVELS[-1:]:
+                found += trie_pairs(group, prints, int(part * budget), labels)
+            u, v = (np.concatenate([nodes[p[k]] for p in found] or [nodes[:0]]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
         held: list[tuple[np.ndarray, ...]] = []
         rows, last, number = 0, None, 0
@@ -264,9 +320,8 @@ def _join_tries(words: int, budget: int, limit: int):
 def fingerprint_links(prints: DataFrame, keys: list[Column], count: int, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
     """Links ``u, v`` between the ``node`` numbers of the ``count`` rows of ``prints(node, f0, ...)``, which are distinct.
 
-    Fingerprints that share a key and differ in ``budget`` bits at most end up connected. Within a key each is linked to
-    one of its component there, not to every partner: no link between components is lost and a key of m near copies gives
-    m rows. A key of more than ``cap`` fingerprints is cut into parts by hash, and each two parts meet in a task of their
+    Fingerprints that share a key and differ in ``budget`` bits at most end up connected. A key gives the links of a
+    forest, not every pair: no link between components is lost, and a key of m near copies gives less than m rows. A key of more than ``cap`` fingerprints is cut into parts by hash, and each two parts meet in a task of their
     own, so no task holds more than two of them.
     """
     spark, names = prints.sparkSession, [c for c in prints.columns if c != "node"]
@@ -285,23 +340,51 @@ def fingerprint_links(prints: DataFrame, keys: list[Column], count: int, budget:
     return tasks.mapInArrow(_join_tries(len(names), budget, 200_000), "u long, v long").distinct()
 
 
-def _with_components(marked: DataFrame, keys, budget: int, cap: int) -> DataFrame:
-    """``rid, doc_id, f0, ..., component_id, keeper`` of a written table ``rid, doc_id, f0, ...``; ``keys`` takes a count."""
-    names = [c for c in marked.columns if c not in ("rid", "doc_id")]
+def _agreeing(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("a", "b"))
+                kept = pa.array((a == b).sum(axis=1) >= least)
+                yield batch.select(["u", "v"]).filter(kept)
+
+    return run
+
+
+def checked_links(links: DataFrame, prints: DataFrame, least: int) -> DataFrame:
+    """The links whose sketches in ``prints(node, sketch)`` agree in ``least`` bytes or more; hot nodes are split by Spark."""
+    side = lambda end, name: prints.select(F.col("node").alias(end), F.col("sketch").alias(name)).hint("merge")
+    met = links.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return met.select("u", "v", "a", "b").mapInArrow(_agreeing(least), "u long, v long")
+
+
+def _with_components(marked: DataFrame, keys, budget: int, cap: int, agreeing: int | None = None) -> DataFrame:
+    """``rid, doc_id, f0, ..., component_id, keeper`` of a written table ``rid, doc_id, f0, ...``; ``keys`` takes a count.
+
+    With ``agreeing`` the table has sketches too, which agree in so many bytes at least where two texts link.
+    """
+    names = [c for c in marked.columns if c not in ("rid", "doc_id", "sketch")]
     # nulls last, then the first row
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
+    more = [F.col("sketch")] if agreeing else []
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"), *more)
     prints = marked.groupBy(*names).agg(F.min(first).alias("first"), F.count("*").alias("n"))
     prints = materialize(prints.withColumn("node", F.col("first.rid")), "distinct-prints")
-    count = prints.count()
+    written, count = prints, prints.count()
     links = fingerprint_links(prints.select("node", *names), keys(count), count, budget, cap)
+    if agreeing:
+        found = materialize(links, "candidate-links")
+        links = checked_links(found, prints.select("node", F.col("first.sketch").alias("sketch")), agreeing)
+        prints = prints.withColumn("first", F.col("first").dropFields("sketch"))
     rooted = prints.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted.withColumnRenamed("n", "copies"), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
     ids = join_hot(rooted, least, ["root"], count)
     ids = ids.select(*names, F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keeper"), F.col("copies").alias("n"))
     ids = materialize(ids, "components")
-    discard(prints)
+    discard(written)
     discard(rooted)
+    if agreeing:
+        discard(found)
     return join_hot(marked, ids, names, marked.count()).select("rid", "doc_id", *names, "component_id", "keeper")
 
 
@@ -328,11 +411,12 @@ def similar_documents(
 ) -> DataFrame:
     """``rid, doc_id, component_id, keeper`` by the similarity of the sets of word shingles, as fingerprints tell it.
 
-    Two texts link if their wide fingerprints differ in :func:`similarity_budget` bits at most. Texts with equal sets of
-    shingles, exact copies among them, always link. Nulls, repeats and empty tables are as in :func:`near_duplicates`.
+    Two texts link if their wide fingerprints differ in :func:`similarity_budget` bits at most and their sketches agree in
+    :func:`least_agreeing` bytes at least. Texts with equal sets of shingles, exact copies among them, always link. Nulls, repeats and empty tables are as in :func:`near_duplicates`.
     """
     marked = materialize(fingerprints(_numbered(docs, rid), words, width), "wide-prints")
-    found = _with_components(marked, lambda n: random_keys(n, similarity, words, missed), similarity_budget(similarity, words), cap)
+    keys = lambda n: random_keys(n, similarity, words, missed)
+    found = _with_components(marked, keys, similarity_budget(similarity, words), cap, least_agreeing(similarity))
     return found.select("rid", "doc_id", "component_id", "keeper")
 
 

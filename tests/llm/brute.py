@@ -81,24 +81,23 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def wide(text: str | None) -> int:
-    """256 majority bits of the distinct 5-word shingles, each 64 from the shingles' hashes mixed anew."""
-    import xxhash
-
+def shingles(text: str | None, width: int = 5) -> frozenset[str]:
+    """The set of word shingles; the whole text if it has fewer words."""
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-    hashes, full, out = {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles}, (1 << 64) - 1, 0
-    for k in range(1, 5):
-        counts = [0] * 64
-        for h in hashes:
-            x = (h + k * 0x9E3779B97F4A7C15) & full
-            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
-            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
-            x ^= x >> 31
-            for b in range(64):
-                counts[b] += x >> b & 1
-        out = out << 64 | sum(1 << b for b in range(64) if 2 * counts[b] > len(hashes))
-    return out
+    return frozenset(" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def similar_pairs(sets: dict, least: float) -> list[tuple]:
+    """(a, b, Jaccard similarity) of all pairs of keys that share a shingle and reach ``least``."""
+    where: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    common: Counter = Counter()
+    for ids in where.values():
+        common.update((a, b) for k, b in enumerate(ids) for a in ids[:k])
+    out = [(a, b, n / (len(sets[a]) + len(sets[b]) - n)) for (a, b), n in common.items()]
+    return [x for x in out if x[2] >= least]
 
 
 def components(prints: list[int], budget: int = 4) -> list[int]:

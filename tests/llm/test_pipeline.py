@@ -22,10 +22,11 @@ def test_stages(spark, data, odd, tmp_path):
             fine = {i for i, r in before.items() if not brute.quality(r.text)[-1]}
             assert set(after) <= fine and len(after) > 0.9 * len(fine)
         elif name == "near_dedup":
-            ids = sorted(before)
-            first = brute.components([brute.wide(before[i].text) for i in ids], simhash.similarity_budget())
-            keepers = {ids[k] for k in first}
-            assert keepers <= set(after) and len(set(after) - keepers) <= 0.1 * (len(ids) - len(keepers))
+            sets = {i: brute.shingles(r.text) for i, r in before.items()}
+            links = [(a, b) for a, b, similarity in brute.similar_pairs(sets, 0.65) if similarity >= 0.8]
+            assert len([1 for a, b in links if a in after and b in after]) <= 0.1 * len(links) and len(links) > 50
+            near = {x for a, b, _ in brute.similar_pairs(sets, 0.65) for x in (a, b)}
+            assert set(before) - set(after) <= near | {i for i, s in sets.items() if not s}
             assert len({r.text for r in after.values()}) == len(after)
         elif name == "benchmark_decontamination":
             items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
@@ -70,3 +71,24 @@ def test_stages_take_odd_rows(spark, odd, nothing, data):
             assert out.columns == docs.columns
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+
+
+def test_near_dedup_recall(spark):
+    """Pairs of edited texts, by their true similarity: few of 0.8 and more are missed, and few far below it are dropped."""
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for _ in range(900):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, int(rng.integers(120, 500)))]
+        edited = list(words)
+        for at in rng.choice(len(words), int(len(words) * rng.uniform(0.01, 0.07)), replace=False):
+            edited[at] = f"e{rng.integers(0, 5_000)}"
+        a, b = brute.shingles(" ".join(words)), brute.shingles(" ".join(edited))
+        pairs.append((len(rows), len(a & b) / len(a | b)))
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    linked = lambda lo, hi: [found[i] == found[i + 1] for i, s in pairs if lo <= s < hi]
+    shares = {lo: (len(x), round(float(np.mean(x)), 3)) for lo, hi in ((0.8, 0.82), (0.82, 1), (0.7, 0.75), (0.6, 0.7), (0, 0.6)) if (x := linked(lo, hi))}
+    print(shares)
+    assert shares[0.8][0] > 20 and shares[0.8][1] >= 0.9 and shares[0.82][1] >= 0.97, shares
+    assert shares[0.7][1] <= 0.25 and shares[0.6][1] <= 0.02, shares
