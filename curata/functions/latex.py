@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curata.functions import algebra
 from curata.functions.native import let
 from curata.functions.text import after_last
 from curata.functions.verifiers import score
@@ -92,22 +93,44 @@ def equal_forms(a: Column, b: Column) -> Column:
     return F.coalesce(stripped(a) == stripped(b), a.isNull() & b.isNull())
 
 
+def _scored(found: Column, label: Column) -> Column:
+    """1 where ``found(plain, answers)`` is plainly equal, or one of its answers is symbolically.
+
+    Only short answers of rows that are not equal yet go to Python.
+    """
+    short = F.filter(found["answers"], lambda a: F.length(a) <= algebra.LONGEST)
+    return score(found["plain"] | algebra.any_equal(F.when(~found["plain"], short), label))
+
+
+def _found(plain: Column, *answers: Column) -> Column:
+    return F.struct(F.coalesce(plain, F.lit(False)).alias("plain"), F.array(*answers).alias("answers"))
+
+
 def math_score(prediction: Column, label: Column) -> Column:
     """1 if any extracted answer equals the label: boxed, stated, else the last between dollar signs, else all of it.
 
-    Equality is of normal forms; symbolic equivalence would need a computer algebra system, which is not there.
+    Answers are equal if their normal forms are, or if both are expressions that are symbolically equal. A null or empty
+    prediction scores 0.
     """
-    box, stated = boxed(prediction), normal_answer(stated_answer(prediction))
     dollars = F.split(prediction, r"\$")
-    last = F.when(F.size(dollars) > 2, normal_answer(F.try_element_at(dollars, F.lit(-2))))
-    none = box.isNull() & stated.isNull()
-    found = equal_forms(box, label) & box.isNotNull() | equal_forms(stated, label) & stated.isNotNull()
-    fallback = F.when(last.isNotNull(), equal_forms(last, label)).otherwise(equal_forms(normal_answer(prediction), label) | equal_forms(prediction, label))
-    return score(F.when(none, fallback).otherwise(found))
+    last = F.when(F.size(dollars) > 2, F.try_element_at(dollars, F.lit(-2)))
+    parts = F.struct(boxed(prediction).alias("box"), normal_answer(stated_answer(prediction)).alias("stated"), normal_answer(F.coalesce(last, prediction)).alias("rest"), last.alias("last"))
+
+    def found(p: Column) -> Column:
+        none = p["box"].isNull() & p["stated"].isNull()
+        answer = F.when(none, p["rest"])
+        whole = F.when(none & p["last"].isNull(), prediction)
+        forms = F.array(p["box"], p["stated"], answer, whole)
+        plain = F.exists(F.filter(forms, lambda x: x.isNotNull()), lambda x: equal_forms(x, label))
+        return _found(plain, p["box"], p["stated"], answer)
+
+    return _scored(let(parts, found), label)
 
 
 def strict_math_score(prediction: Column, label: Column) -> Column:
-    return score(equal_forms(F.coalesce(normal_answer(stated_answer(prediction)), normal_answer(prediction)), label))
+    """1 if the stated answer, or without one the whole text, equals the label in normal form or symbolically."""
+    answer = normal_answer(F.coalesce(stated_answer(prediction), prediction))
+    return _scored(let(answer, lambda a: _found(equal_forms(a, label) & a.isNotNull(), a)), label)
 
 
 # losses over log-probabilities
@@ -123,6 +146,11 @@ def dpo_loss(chosen: Column, rejected: Column, chosen_ref: Column, rejected_ref:
     return (1 - smoothing) * minus_log_sigmoid(x) + smoothing * minus_log_sigmoid(-x)
 
 
+def wpo_loss(chosen: Column, rejected: Column, chosen_ref: Column, rejected_ref: Column, chosen_mean: Column, rejected_mean: Column, beta: float = 0.1, smoothing: float = 0.0) -> Column:
+    """The loss of a pair, weighed by how likely the policy finds its answers: by the mean log-probability of their tokens."""
+    return dpo_loss(chosen, rejected, chosen_ref, rejected_ref, beta, smoothing) * F.least(F.exp(chosen_mean + rejected_mean), F.lit(1.0))
+
+
 def simpo_loss(chosen: Column, rejected: Column, beta: float = 2.0, margin: float = 1.0) -> Column:
     x = beta * (chosen - rejected) - margin
     return F.when(x > 0, F.log1p(F.exp(-x))).otherwise(F.log1p(F.exp(x)) - x)

@@ -154,13 +154,35 @@ def code_blocks(spark, sf_dir):
     return rows.select("doc_id", V.code_block(F.col("p")).alias("code"), V.final_answer(F.col("q")).alias("final"))
 
 
-_MATH = "CASE doc_id % 5 WHEN 0 THEN 'So \\boxed{\\frac{' || n_chars || '}{2}} it is' WHEN 1 THEN 'Final Answer: The final answer is ' || n_chars || '. I hope it is correct.' WHEN 2 THEN 'we get $x=1$ and $' || n_chars || ' $' WHEN 3 THEN n_chars || ' dollars' ELSE '\\boxed{' || (n_chars + 1) || '}' END"
+ANSWERS = """WITH d AS (SELECT doc_id, n_chars AS n, n_chars % 50 AS k FROM documents)
+SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN n % 3 <> 0 WHEN 4 THEN doc_id % 5 <> 0 WHEN 6 THEN false WHEN 7 THEN false ELSE true END::INT::DOUBLE AS score FROM d"""
 
 
-@query("math_score", BASE + "x AS (SELECT doc_id, (doc_id % 5 <> 4)::INT::DOUBLE AS score FROM b) SELECT doc_id, score FROM x")
+@query("math_score", ANSWERS)
 def math_score(spark, sf_dir):
-    rows = _base(spark, sf_dir, "n_chars", f"{_MATH} as p".replace("\\", "\\\\"), "case when doc_id % 5 = 0 then concat('\\\\frac{', n_chars, '}{2}') else cast(n_chars as string) end as g")
-    return rows.select("doc_id", L.math_score(F.col("p"), F.col("g")).alias("score"))
+    """Predictions in eight forms, some right and some not, one of them empty and one null."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"), (F.col("n_chars") % 50).alias("k"))
+    case = lambda *forms: F.element_at(F.array(*(F.format_string(f, *c) for f, c in forms)), (F.col("doc_id") % 8 + 1).cast("int"))
+    n, k, wrong = F.col("n"), F.col("k"), (F.col("doc_id") % 5 == 0).cast("long")
+    nothing = ("", ())
+    said = case(
+        (r"So \boxed{\frac{%d}{4}} it is", (2 * n,)), ("Final Answer: The final answer is %d. I hope it is correct.", (n,)), ("we get $x=1$ and $%d $", (n,)), ("%d dollars", (n,)),
+        (r"\boxed{(x+%d)^2}", (k,)), (r"thus \boxed{\sqrt{%d}}", (2 * k * k,)), nothing, nothing,
+    )
+    label = case(
+        (r"\frac{%d}{2}", (n,)), ("%d", (n + (n % 3 == 0).cast("long"),)), ("%d", (n,)), ("%d", (n,)),
+        ("x^2+%dx+%d", (2 * k, k * k + wrong)), (r"%d\sqrt{2}", (k,)), ("1", ()), ("1", ()),
+    )
+    return d.select("doc_id", L.math_score(F.when(F.col("doc_id") % 8 < 7, said), label).alias("score"))
+
+
+@query("math_score_strict", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN n_chars % 2 = 0 ELSE false END::INT::DOUBLE AS score FROM documents")
+def math_score_strict(spark, sf_dir):
+    """The stated answer counts, not one in a box."""
+    n, i = F.col("n_chars"), F.col("doc_id") % 3
+    said = F.when(i == 0, F.format_string(r"\boxed{1} Final Answer: The final answer is %d/2. I hope it is correct.", n)).when(i == 1, F.format_string(r"\frac{%d}{3}", n)).otherwise(F.format_string(r"see \boxed{%d}", n))
+    label = F.when(i == 0, F.format_string(r"\frac{%d}{4}", 2 * n)).when(i == 1, F.format_string("%d/6", 2 * n + n % 2)).otherwise(F.format_string("%d", n))
+    return table(spark, sf_dir, "documents").select("doc_id", L.strict_math_score(said, label).alias("score"))
 
 
 @query("latex_forms", "SELECT doc_id, '\\frac{' || doc_id || '}{7}' AS slash, '\\sqrt{' || doc_id % 10 || '}+1' AS root, (n_chars * 1000)::VARCHAR AS commas FROM documents")
