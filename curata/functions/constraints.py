@@ -1,8 +1,8 @@
 """Instruction-following constraints as boolean columns, by the names under which data sets list them.
 
-``FUNCTIONS`` holds the older functions, ``INSTRUCTIONS`` the registered instruction ids. Language tests take a column
-with the detected language, for no detector is part of the engine. Sentences and tokens of the instruction ids come from
-patterns, not from a trained tokenizer.
+``FUNCTIONS`` holds the older functions, ``INSTRUCTIONS`` the registered instruction ids. Instructions about languages and
+sentences are made for a detector and a splitter, see :func:`with_models`, which may be learned from texts
+(``curata.operators.languages`` and ``sentences``). Without them sentences come from a pattern, and languages have no check.
 """
 
 from __future__ import annotations
@@ -126,7 +126,6 @@ FUNCTIONS: dict[str, Check] = {
     "verify_keyword_frequency": verify_keyword_frequency,
     "validate_forbidden_words": validate_forbidden_words,
     "verify_letter_frequency": verify_letter_frequency,
-    "validate_response_language": lambda t, language, detected: detected == language,
     "verify_paragraph_count": verify_paragraph_count,
     "validate_word_constraint": validate_word_constraint,
     "verify_sentence_constraint": verify_sentence_constraint,
@@ -242,26 +241,10 @@ def bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}_\s]", ""))
 
 
-def composition(t: Column, n_sent: int, n_words: int) -> Column:
-    parts = F.split(t, r"\s?\*\*\*\s?")
-    fits = lambda p: (F.size(sentences(p)) == n_sent) & F.forall(sentences(p), lambda s: F.size(tokens(s)) == n_words)
-    return _paragraphs(parts, 3) & F.forall(parts, fits)
-
-
-def hyphenated_sentences(t: Column) -> Column:
-    gold, got = sentences(F.replace(t, F.lit("-"), F.lit(" "))), F.split(t, "-")
-    same = F.zip_with(got, gold, lambda a, b: a.isNull() | b.isNull() | ((F.trim(a) == a) & (a == b)))
-    return F.forall(same, lambda x: x)
-
-
 def unique_tokens(t: Column) -> Column:
     return let(tokens(t), lambda ws: F.size(F.array_distinct(ws)) == F.size(ws))
 
 
-def keyword_at(t: Column, keyword: str, n: int, m: int) -> Column:
-    return F.coalesce(F.get(tokens(F.get(sentences(t), F.lit(n - 1))), F.lit(m - 1)) == keyword, F.lit(False))
-
-
 def start_is_end(t: Column) -> Column:
     return let(tokens(t), lambda ws: (F.size(ws) > 1) & F.coalesce(F.lower(F.get(ws, F.lit(0))) == F.lower(F.try_element_at(ws, F.lit(-1))), F.lit(False)))
 
@@ -280,10 +263,7 @@ INSTRUCTIONS: dict[str, Check] = {
     "keywords:word_count_different_numbers": lambda t, keyword, frequency, relation: compared(count(t, f"(?i){keyword}"), relation, frequency),
     "keywords:exclude_word_harder": lambda t, keyword: ~F.contains(t, F.lit(f" {keyword} ")),
     "keywords:palindrome": lambda t: F.exists(split_words(t), lambda w: w == F.reverse(w)),
-    "keywords:keyword_specific_position": keyword_at,
     "keywords:start_end": start_is_end,
-    "language:response_language": lambda t, language, detected: detected == language,
-    "length_constraints:number_sentences": lambda t, num_sentences, relation: compared(F.size(sentences(t)), relation, num_sentences),
     "length_constraints:number_paragraphs": lambda t, num_paragraphs: starred_paragraphs(t, num_paragraphs),
     "length_constraints:number_words": lambda t, num_words, relation: compared(count(t, f"{W}+"), relation, num_words),
     "length_constraints:nth_paragraph_first_word": nth_paragraph_first_word,
@@ -295,7 +275,6 @@ INSTRUCTIONS: dict[str, Check] = {
     "detectable_format:multiple_sections": section_count,
     "detectable_format:json_format": json_format,
     "detectable_format:title": lambda t: F.exists(F.regexp_extract_all(t, F.lit(r"<<[^\n]+>>"), 0), lambda x: F.trim(F.regexp_replace(x, "^<+|>+$", "")) != ""),
-    "detectable_format:sentence_hyphens": hyphenated_sentences,
     "detectable_format:square_brackets": lambda t: F.forall(split_words(t), lambda w: F.startswith(w, F.lit("[")) & F.endswith(w, F.lit("]"))),
     "detectable_format:bigram_wrapping": wrapped_bigrams,
     "combination:two_responses": two_responses,
@@ -303,8 +282,6 @@ INSTRUCTIONS: dict[str, Check] = {
     "startend:end_checker": lambda t, end_phrase: F.endswith(F.lower(F.regexp_replace(F.trim(t), '^"+|"+$', "")), F.lit(end_phrase.strip().lower())),
     "startend:quotation": lambda t: (F.length(F.trim(t)) > 1) & F.startswith(F.trim(t), F.lit('"')) & F.endswith(F.trim(t), F.lit('"')),
     "change_case:capital_word_frequency": lambda t, capital_frequency, capital_relation: compared(F.size(F.filter(tokens(t), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), capital_relation, capital_frequency),
-    "change_case:english_capital": lambda t, detected: (t == F.upper(t)) & (t != F.lower(t)) & (detected == "en"),
-    "change_case:english_lowercase": lambda t, detected: (t == F.lower(t)) & (t != F.upper(t)) & (detected == "en"),
     "punctuation:no_comma": lambda t: ~F.contains(t, F.lit(",")),
     "punctuation:punctuation_dot": lambda t: ~F.contains(t, F.lit(".")),
     "punctuation:punctuation_exclamation": lambda t: ~F.contains(t, F.lit("!")),
@@ -315,21 +292,60 @@ INSTRUCTIONS: dict[str, Check] = {
     "copy:copy_span_idx": lambda t, prompt, n_start, n_end: same_text(t, prompt[n_start:n_end]),
     "paragraphs:paragraphs": lambda t: starred_paragraphs(t, 2),
     "paragraphs:paragraphs2": lambda t: _paragraphs(F.split(t, "\n\n"), 2),
-    "first_word:first_word_sent": lambda t, first_word: F.forall(sentences(t), lambda s: F.lower(F.get(split_words(s), F.lit(0))) == first_word.lower()),
     "first_word:first_word_answer": lambda t, first_word: F.coalesce(F.lower(F.get(split_words(t), F.lit(0))) == first_word.lower(), F.lit(False)),
-    "last_word:last_word_sent": lambda t, last_word: F.forall(sentences(t), lambda s: bare(F.try_element_at(split_words(s), F.lit(-1))) == last_word.lower()),
     "last_word:last_word_answer": lambda t, last_word: F.coalesce(bare(F.try_element_at(split_words(t), F.lit(-1))) == last_word.lower(), F.lit(False)),
     "count:lowercase_counting": lambda t, n: whole_words(t, "[a-z]+") <= n,
     "letters:letter_counting": lambda t, n, relation: compared(count(t, "[a-zA-Z]"), relation, n),
     "letters:letter_counting2": lambda t, letter, let_frequency, let_relation: compared(F.length(t) - F.length(F.replace(F.lower(t), F.lit(letter.lower()), F.lit(""))), let_relation, let_frequency),
-    "count:counting_composition": composition,
     "count:count_unique": unique_tokens,
     "count:count_increment_word": lambda t, keyword1, keyword2: (count(t, f"(?i){keyword1}") == 1) & (count(t, f"(?i){keyword2}") == 2),
-    "content:key_sentences": lambda t, key_sentences, n: F.size(F.array_intersect(sentences(t), F.array(*map(F.lit, key_sentences)))) == n,
     "content:constrained_start": lambda t, starter: t.rlike(rf"(?m)^\s*{starter}.*$"),
 }
 
 
+def sentence_instructions(split: Callable[[Column], Column]) -> dict[str, Check]:
+    """The instructions about sentences, with the function that gives the sentences of a text."""
+
+    def composition(t: Column, n_sent: int, n_words: int) -> Column:
+        parts = F.split(t, r"\s?\*\*\*\s?")
+        fits = lambda p: let(split(p), lambda ss: (F.size(ss) == n_sent) & F.forall(ss, lambda s: F.size(tokens(s)) == n_words))
+        return _paragraphs(parts, 3) & F.forall(parts, fits)
+
+    def hyphenated(t: Column) -> Column:
+        gold, got = split(F.replace(t, F.lit("-"), F.lit(" "))), F.split(t, "-")
+        same = F.zip_with(got, gold, lambda a, b: a.isNull() | b.isNull() | ((F.trim(a) == a) & (a == b)))
+        return F.forall(same, lambda x: x)
+
+    def keyword_at(t: Column, keyword: str, n: int, m: int) -> Column:
+        return F.coalesce(F.get(tokens(F.get(split(t), F.lit(n - 1))), F.lit(m - 1)) == keyword, F.lit(False))
+
+    last = lambda s: bare(F.try_element_at(split_words(s), F.lit(-1)))
+    return {
+        "keywords:keyword_specific_position": keyword_at,
+        "length_constraints:number_sentences": lambda t, num_sentences, relation: compared(F.size(split(t)), relation, num_sentences),
+        "detectable_format:sentence_hyphens": hyphenated,
+        "first_word:first_word_sent": lambda t, first_word: F.forall(split(t), lambda s: F.lower(F.get(split_words(s), F.lit(0))) == first_word.lower()),
+        "last_word:last_word_sent": lambda t, last_word: F.forall(split(t), lambda s: last(s) == last_word.lower()),
+        "count:counting_composition": composition,
+        "content:key_sentences": lambda t, key_sentences, n: F.size(F.array_intersect(split(t), F.array(*map(F.lit, key_sentences)))) == n,
+    }
+
+
+def language_instructions(detect: Callable[[Column], Column], english: str = "en") -> dict[str, Check]:
+    """The instructions about languages, with the function that detects the language of a text; ``english`` is its name there."""
+    return {
+        "validate_response_language": lambda t, language: detect(t) == language,
+        "language:response_language": lambda t, language: detect(t) == language,
+        "change_case:english_capital": lambda t: (t == F.upper(t)) & (t != F.lower(t)) & (detect(t) == english),
+        "change_case:english_lowercase": lambda t: (t == F.lower(t)) & (t != F.upper(t)) & (detect(t) == english),
+    }
+
+
+def with_models(split: Callable[[Column], Column] | None = None, detect: Callable[[Column], Column] | None = None) -> dict[str, Check]:
+    """``INSTRUCTIONS`` with those about sentences for ``split`` and those about languages for ``detect``."""
+    return INSTRUCTIONS | (sentence_instructions(split) if split else {}) | (language_instructions(detect) if detect else {})
+
+
 def _all(conditions) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -353,3 +369,6 @@ def followed(text: Column, checks: list[tuple[str, dict]], registry: dict[str, C
     for p in passed[1:]:
         total = total + p
     return F.when(F.trim(text) == "", 0.0).otherwise(total / len(passed))
+
+
+INSTRUCTIONS |= sentence_instructions(sentences)

@@ -8,6 +8,8 @@ from curata.functions import constraints as K
 from curata.functions import latex as L
 from curata.functions import verifiers as V
 from curata.functions.text import normalize_answer
+from curata.operators import languages as G
+from curata.operators import sentences as N
 from curata.plans.catalogue import query
 from curata.sources.tables import table
 
@@ -316,3 +318,76 @@ def instructions_sentences(spark, sf_dir):
         "doc_id", F.coalesce(K.verify_sentence_constraint(t, 5, "at least"), F.lit(False)).alias("split_sentences"),
         *(F.coalesce(K.INSTRUCTIONS[f](t, **a), F.lit(False)).alias(c) for c, (f, a) in checks.items()),
     )
+
+
+# learned models: languages and sentences
+
+LANGUAGES = """WITH c AS (SELECT doc_id, lang, list_transform(string_split(' ' || text || ' ', ''), lambda x: unicode(x)) AS c FROM documents WHERE text <> ''),
+g AS (SELECT doc_id, lang, (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 65536 AS bucket FROM (SELECT *, unnest(range(1, len(c) - 1)) AS i FROM c)),
+p AS (SELECT lang, bucket, count(*) AS n FROM g WHERE doc_id % 4 <> 0 AND lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM p GROUP BY lang),
+d AS (SELECT doc_id, bucket, count(*) AS times FROM g GROUP BY ALL),
+s AS (SELECT doc_id, t.lang, sum(times * ln((coalesce(n, 0) + 0.5) / (total + 0.5 * 65536))) AS score FROM d CROSS JOIN t LEFT JOIN p ON p.lang = t.lang AND p.bucket = d.bucket GROUP BY ALL),
+b AS (SELECT doc_id, arg_max(lang, score) AS detected FROM s GROUP BY doc_id)
+"""
+
+
+def _detector(spark, sf_dir):
+    """Learned from three quarters of the documents."""
+    return G.detector(spark, G.learn(table(spark, sf_dir, "documents").where("doc_id % 4 <> 0")))
+
+
+@query("language_detected", LANGUAGES + "SELECT doc_id, doc_id % 4 = 0 AS held_out, detected FROM documents LEFT JOIN b USING (doc_id)")
+def language_detected(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", (F.col("doc_id") % 4 == 0).alias("held_out"), _detector(spark, sf_dir)(F.col("text")).alias("detected"))
+
+
+@query("instructions_language", LANGUAGES + "SELECT doc_id, coalesce(detected = 'de', false) AS german, coalesce(upper(text) <> lower(text) AND detected = 'en', false) AS capital, coalesce(upper(text) <> lower(text) AND detected = 'de', false) AS lowercase FROM documents LEFT JOIN b USING (doc_id)")
+def instructions_language(spark, sf_dir):
+    """Upper and lower case texts keep their language's profile where the detector sees the text as it was."""
+    detect, t = _detector(spark, sf_dir), F.col("text")
+    seen = lambda column: detect(t)
+    english, german = K.language_instructions(seen), K.language_instructions(seen, "de")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", no(english["language:response_language"](t, "de")).alias("german"), no(english["change_case:english_capital"](F.upper(t))).alias("capital"),
+        no(german["change_case:english_lowercase"](F.lower(t))).alias("lowercase"),
+    )
+
+
+WORDS = r"""WITH p AS (SELECT doc_id, regexp_extract_all(replace(coalesce(text, ''), chr(1), ' '), '[^ 	-]+[ 	-]*') AS l FROM documents),
+c AS (SELECT doc_id, l, list_transform(l, lambda x: regexp_replace(regexp_replace(x, '[ 	-]+$', ''), '^["''(\[{“‘«]+|["'')\]}”’»]+$', '', 'g')) AS w FROM p),
+u AS (SELECT doc_id, w[i] AS w, w[i - 1] AS before FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)),
+v AS (SELECT lower(regexp_replace(w, '\.$', '')) AS type, regexp_matches(w, '(^|[^.])\.$') AS stop FROM u WHERE regexp_matches(w, '\p{L}')),
+n AS (SELECT type, count(*) FILTER (stop) AS k, count(*) AS n FROM v GROUP BY type), t AS (SELECT sum(k) / sum(n) AS p FROM n),
+a AS (SELECT type, k AS stopped, n - k AS plain, round(-2 * (k * ln(p) + (n - k) * ln(greatest(1 - p, 1e-9)) - k * ln(0.99) - (n - k) * ln(1 - 0.99)) * exp(-length(replace(type, '.', ''))) * (1 + length(type) - length(replace(type, '.', ''))) * pow(length(replace(type, '.', ''))::DOUBLE, k - n), 6) AS score FROM n, t WHERE k > 0)
+"""
+
+
+@query("abbreviation_scores", WORDS + "SELECT type, stopped, plain::BIGINT AS plain, score FROM a")
+def abbreviation_scores(spark, sf_dir):
+    return N.abbreviation_scores(N.type_counts(table(spark, sf_dir, "documents"), "text"))
+
+
+TITLES = ", ".join(f"('{t}')" for t in N.TITLES)
+STARTERS = WORDS + rf""", ab AS (SELECT type FROM a WHERE score >= 0.3 AND stopped >= 5 UNION SELECT * FROM (VALUES {TITLES})),
+e AS (SELECT lower(regexp_replace(w, '\.$', '')) AS type, coalesce(regexp_matches(before, '[?!]$') OR (regexp_matches(before, '(^|[^.])\.$') AND NOT regexp_matches(before, '^\p{{L}}\.$') AND lower(regexp_replace(before, '\.$', '')) NOT IN (SELECT type FROM ab)), false) AS start FROM u),
+f AS (SELECT type, count(*) FILTER (start) AS k, count(*) AS n FROM e WHERE regexp_matches(type, '\p{{L}}') GROUP BY type), g AS (SELECT sum(k) AS s, sum(n) AS w FROM f),
+h AS (SELECT f.*, s, w, n / w AS p0, least(greatest(k / s, 1e-12), 1 - 1e-12) AS p1, least(greatest((n - k) / (w - s), 1e-12), 1 - 1e-12) AS p2 FROM f, g WHERE k > 0 AND k * w > n * s),
+st AS (SELECT type, k AS starts, n AS uses, round(-2 * (k * ln(p0) + (s - k) * ln(1 - p0) + (n - k) * ln(p0) + (w - s - n + k) * ln(1 - p0) - k * ln(p1) - (s - k) * ln(1 - p1) - (n - k) * ln(p2) - (w - s - n + k) * ln(1 - p2)), 6) AS score FROM h),
+sv AS (SELECT type FROM st WHERE score >= 30 AND starts >= 5)
+"""
+
+
+@query("learned_sentences", STARTERS + r""", x AS (SELECT doc_id, i, l[i] AS piece, w[i] AS w, w[i + 1] AS f FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)),
+y AS (SELECT doc_id, i, CASE WHEN regexp_matches(w, '[?!]$') THEN true WHEN NOT ends_with(w, '.') THEN false WHEN f IS NULL THEN false WHEN NOT regexp_matches(w, '(^|[^.])\.$') THEN regexp_matches(f, '^\p{Lu}')
+ WHEN regexp_matches(w, '^\p{L}\.$') OR lower(regexp_replace(w, '\.$', '')) IN (SELECT type FROM ab) THEN regexp_matches(f, '^\p{Lu}') AND lower(regexp_replace(f, '\.$', '')) IN (SELECT type FROM sv)
+ ELSE NOT regexp_matches(f, '^\p{Ll}') END AS ends, length(piece) AS n, i = max(i) OVER (PARTITION BY doc_id) AS last FROM x),
+z AS (SELECT doc_id, count(*) FILTER (ends OR last) AS sentences FROM y GROUP BY doc_id)
+SELECT doc_id, coalesce(sentences, 0)::INTEGER AS sentences, coalesce(sentences, 0) >= 5 AS five FROM documents LEFT JOIN z USING (doc_id)""")
+def learned_sentences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = N.learn(docs)
+    split = lambda t: N.split_sentences(t, model)
+    five = K.with_models(split)["length_constraints:number_sentences"](F.col("text"), 5, "at least")
+    return docs.select("doc_id", F.size(split(F.col("text"))).alias("sentences"), F.coalesce(five, F.lit(False)).alias("five"))
