@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.functions.text import analyzed, gram_hashes
-from curata.runtime import join_checked, materialize, share
+from curata.functions.text import analyzed
+from curata.runtime import arrow_rows, materialize, share
 
 GRAM = 8
+#: Bytes of the phrases that are broadcast as an automaton at most; more phrases are joined.
+PHRASE_BYTES = 16_000_000
 #: Query vectors that are broadcast at once; more are taken in blocks.
 QUERY_BLOCK = 4096
 
@@ -22,25 +25,78 @@ def index_docs(turns: DataFrame, role: str = "user") -> DataFrame:
     return turns.where(F.col("role") == role).select(F.col("conv_id").alias("original_id"), "turn", "text")
 
 
-def _item_grams(items: DataFrame, n: int) -> DataFrame:
-    """Of a repeated n-gram of an item only the last place counts."""
-    grams = items.select("item_id", F.posexplode(gram_hashes(analyzed(F.col("text")), n)).alias("pos", "gram"))
-    return grams.groupBy("item_id", "gram").agg(F.max("pos").alias("pos"))
+def framed(text: Column) -> Column:
+    """The tokens of a text with one blank between them and around them, so that a run of tokens is a piece of it."""
+    return F.concat(F.lit(" "), F.array_join(analyzed(text), " "), F.lit(" "))
+
+
+def _finder(get):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = get()
+        for batch in batches:
+            docs, found = [], []
+            for k, body in enumerate(batch.column("body").to_pylist()):
+                own = {number for _, number in automaton.iter(body)} if body else ()
+                docs += [k] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(found, pa.int64())], ["doc_id", "number"])
+
+    return run
+
+
+def run_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``doc_id, number`` once for each document and phrase of ``phrases(number, phrase)`` whose tokens stand there as a run.
+
+    ``phrase`` is framed text. While the phrases have ``PHRASE_BYTES`` together, an automaton of them is broadcast and finds
+    all of them, of any length, in one pass over the documents. More of them are joined on their first tokens, a pass for
+    each length below ``GRAM``, and whole runs are then compared. Null texts have no runs; empty phrases are nowhere.
+    """
+    phrases = phrases.where(F.length("phrase") > 2)
+    if phrases.agg(F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()[0] > PHRASE_BYTES:
+        return _joined_hits(docs, phrases)
+    automaton = ahocorasick.Automaton()
+    for r in phrases.collect():  # no more than the bytes that were counted
+        automaton.add_word(r.phrase, r.number)
+    if not len(automaton):
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, number long")
+    automaton.make_automaton()
+    arrow_rows(docs.sparkSession)
+    rows = docs.select("doc_id", framed(F.col("text")).alias("body"))
+    return rows.mapInArrow(_finder(share(docs.sparkSession, automaton)), f"doc_id {dict(docs.dtypes)['doc_id']}, number long")
+
+
+def _joined_hits(docs: DataFrame, phrases: DataFrame, n: int = GRAM) -> DataFrame:
+    tokens = F.split(F.trim("phrase"), " ")
+    keyed = materialize(phrases.withColumn("k", F.least(F.size(tokens), F.lit(n))).withColumn("gram", F.xxhash64(F.array_join(F.slice(tokens, 1, n), " "))), "phrases")
+    lengths = sorted(r.k for r in keyed.select("k").distinct().collect())  # at most n
+    mine = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    mine = materialize(mine.withColumn("body", framed(F.col("text"))).drop("text"), "bodies")
+    words = F.split(F.trim("body"), " ")
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.array_join(F.slice(words, i, k), " ")).alias("gram")))
+    each = F.flatten(F.array(*[F.when(F.size(words) >= k, grams(k)).otherwise(F.array().cast("array<struct<k:int,gram:bigint>>")) for k in lengths]))
+    pairs = mine.select("row", F.explode(F.array_distinct(each)).alias("g")).select("row", "g.k", "g.gram")
+    pairs = pairs.join(keyed.hint("merge"), ["k", "gram"]).select("row", "number", "phrase")
+    return pairs.join(mine, "row").where(F.contains("body", "phrase")).select("doc_id", "number").distinct()
 
 
 def ngram_matches(docs: DataFrame, items: DataFrame, n: int = GRAM) -> DataFrame:
     """``item_id, doc_id, score``: the share of an item's tokens that lie in n-grams which the document has too.
 
-    Without a cap on hits: all documents that share an n-gram are there. Documents send one narrow row for each of their
-    distinct n-grams; the items' side is broadcast only if it is small when counted.
+    With a column ``field`` an item has several texts, and its score is the mean over them. Without a cap on hits: all
+    documents that share an n-gram are there. Of a repeated n-gram of a text only the last place counts.
     """
-    wanted = materialize(_item_grams(items, n), "item-grams")
-    mine = docs.select("doc_id", F.explode(F.array_distinct(gram_hashes(analyzed(F.col("text")), n))).alias("gram"))
-    hits = join_checked(mine, wanted, ["gram"], "inner", 200_000)
-    tokens = items.select("item_id", F.size(analyzed(F.col("text"))).alias("tokens"))
-    covered = hits.select("item_id", "doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + (n - 1))).alias("t"))
-    counts = covered.groupBy("item_id", "doc_id").agg(F.count_distinct("t").alias("covered"))
-    return counts.join(tokens, "item_id").select("item_id", "doc_id", F.round(F.col("covered") / F.col("tokens"), 6).alias("score"))
+    fields = items.select("item_id", (F.col("field") if "field" in items.columns else F.lit(0)).alias("field"), analyzed(F.col("text")).alias("t"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.concat(F.lit(" "), F.array_join(F.slice("t", i, n), " "), F.lit(" ")))
+    grams = fields.where(F.size("t") >= n).select("item_id", "field", F.size("t").alias("tokens"), F.posexplode(windows).alias("pos", "phrase"))
+    grams = grams.groupBy("item_id", "field", "tokens", "phrase").agg(F.max("pos").alias("pos"))
+    grams = materialize(grams.withColumn("number", F.xxhash64("phrase")), "item-grams")
+    hits = run_hits(docs, grams.groupBy("phrase").agg(F.first("number").alias("number")))
+    held = hits.join(grams.select("number", "item_id", "field", "tokens", "pos"), "number")
+    covered = held.select("item_id", "field", "doc_id", "tokens", F.explode(F.sequence(F.col("pos"), F.col("pos") + (n - 1))).alias("t"))
+    counts = covered.groupBy("item_id", "field", "doc_id", "tokens").agg(F.count_distinct("t").alias("covered"))
+    each = counts.groupBy("item_id", "doc_id").agg(F.sum(F.col("covered") / F.col("tokens")).alias("total"))
+    texts = fields.groupBy("item_id").agg(F.count_distinct("field").alias("fields"))
+    return each.join(texts, "item_id").select("item_id", "doc_id", F.round(F.col("total") / F.col("fields"), 6).alias("score"))
 
 
 def item_scores(matches: DataFrame, items: DataFrame) -> DataFrame:
@@ -51,25 +107,40 @@ def item_scores(matches: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, n: int = GRAM) -> DataFrame:
+def phrase_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id`` where the item's tokens stand in the document as one run.
 
-    Candidates come from an equi-join on the first ``n`` tokens of the item; shorter items are joined on all of theirs,
-    one pass for each length below ``n`` that occurs. Whole runs are then compared.
+    With a column ``field`` an item has several texts, and all of them must stand in the same document. An item with a text
+    without tokens is nowhere.
+    """
+    fields = items.select("item_id", (F.col("field") if "field" in items.columns else F.lit(0)).alias("field"), F.coalesce(framed(F.col("text")), F.lit("  ")).alias("phrase"))
+    fields = materialize(fields.distinct().withColumn("number", F.xxhash64("phrase")), "item-phrases")
+    hits = run_hits(docs, fields.groupBy("phrase").agg(F.first("number").alias("number"))).distinct()
+    found = hits.join(fields.select("number", "item_id", "field"), "number").groupBy("item_id", "doc_id").agg(F.count("*").alias("found"))
+    wanted = fields.groupBy("item_id").agg(F.count("*").alias("wanted"))
+    return found.join(wanted, "item_id").where("found = wanted").select("item_id", "doc_id")
+
+
+def suite_matches(docs: DataFrame, sets: DataFrame, limits: dict[str, int] | None = None, n: int = GRAM) -> DataFrame:
+    """``suite, item_id, doc_id, score`` of the items of many evaluation sets, ``sets(suite, item_id, field, text)``.
+
+    All sets are searched in one pass over the documents. A limit takes the items of a set with the least ids.
     """
-    framed = lambda t: F.concat(F.lit(" "), F.array_join(analyzed(t), " "), F.lit(" "))
-    items = items.select("item_id", framed(F.col("text")).alias("phrase"), F.size(analyzed(F.col("text"))).alias("len"), F.col("text").alias("item_text"))
-    lengths = [r[0] for r in items.where(F.col("len") > 0).select(F.least("len", F.lit(n))).distinct().collect()]  # at most n
-    body = docs.select("doc_id", framed(F.col("text")).alias("body"), "text")
-    out = None
-    for k in sorted(lengths):
-        size = F.col("len") >= n if k == n else F.col("len") == k
-        keys = items.where(size).select("item_id", "phrase", F.get(gram_hashes(analyzed(F.col("item_text")), k), F.lit(0)).alias("gram"))
-        mine = body.select("doc_id", F.explode(F.array_distinct(gram_hashes(analyzed(F.col("text")), k))).alias("gram"))
-        pairs = join_checked(mine, materialize(keys, "phrases"), ["gram"], "inner")
-        found = pairs.join(body.select("doc_id", "body"), "doc_id").where(F.contains("body", "phrase")).select("item_id", "doc_id").distinct()
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "item_id long, doc_id long")
+    if limits:
+        rank = F.dense_rank().over(Window.partitionBy("suite").orderBy("item_id"))
+        most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("suite")), F.lit((1 << 31) - 1))
+        capped = sets.where(F.col("suite").isin(list(limits))).withColumn("r", rank).where(F.col("r") <= most).drop("r")
+        sets = sets.where(~F.col("suite").isin(list(limits))).unionByName(capped)
+    keyed = sets.select(F.struct("suite", "item_id").alias("item_id"), "field", "text")
+    return ngram_matches(docs, keyed, n).select("item_id.suite", "item_id.item_id", "doc_id", "score")
+
+
+def suite_report(docs: DataFrame, matches: DataFrame, suites: list[str], by: str, threshold: float) -> DataFrame:
+    """A row for each value of ``by``: its documents, and for each suite the share that an item of it covers above ``threshold``."""
+    bad = matches.where(F.col("score") > threshold).groupBy("doc_id").agg(F.collect_set("suite").alias("suites"))
+    rows = docs.select("doc_id", by).join(bad, "doc_id", "left")
+    share = lambda s: F.round(F.avg(F.coalesce(F.array_contains("suites", s), F.lit(False)).cast("int")), 6).alias(s)
+    return rows.groupBy(by).agg(F.count("*").alias("rows"), *(share(s) for s in suites))
 
 
 def decontaminated(docs: DataFrame, bad_ids: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from curata.functions.text import analyzed
 from curata.operators import contamination as C
+from curata.operators import postings as X
 from curata.plans.catalogue import query
+from curata.runtime import checkpoint_root
 from curata.sources.tables import table
 
 TOKENS = r"""list_filter(string_split_regex(lower({0}), '[ ,.?!:;()"\n\\-]+'), lambda w: w <> '')"""
@@ -123,3 +128,54 @@ def vector_label_votes(spark, sf_dir):
 @query("role_index_docs", "SELECT conv_id AS original_id, turn, text FROM conversations WHERE role = 'user'")
 def role_index_docs(spark, sf_dir):
     return C.index_docs(table(spark, sf_dir, "conversations"))
+
+
+FIELDS = f"""
+WITH d AS (SELECT doc_id, ' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ' AS t FROM documents),
+w AS (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark),
+i AS (SELECT item_id, ' ' || array_to_string(t[:len(t) // 2], ' ') || ' ' AS a, ' ' || array_to_string(t[len(t) // 2 + 1:], ' ') || ' ' AS b FROM w WHERE len(t) >= 2)
+SELECT item_id, doc_id FROM i JOIN d ON contains(d.t, a) AND contains(d.t, b)"""
+
+
+def _fields(spark, sf_dir):
+    """The items of the benchmark as two texts each: the first half of the tokens, and the second."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", analyzed(F.col("text")).alias("t")).where(F.size("t") >= 2)
+    half = F.expr("size(t) div 2")
+    texts = F.array(F.array_join(F.slice("t", F.lit(1), half), " "), F.array_join(F.slice("t", half + 1, F.size("t")), " "))
+    return items.select("item_id", F.posexplode(texts).alias("field", "text"))
+
+
+@query("fields_phrase_match", FIELDS)
+def fields_phrase_match(spark, sf_dir):
+    """Both halves of an item must stand in the same document."""
+    return C.phrase_matches(table(spark, sf_dir, "documents"), _fields(spark, sf_dir))
+
+
+@query("index_phrase_match", FIELDS)
+def index_phrase_match(spark, sf_dir):
+    """The same by a positional index that was built in two steps."""
+    docs, path = table(spark, sf_dir, "documents"), f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    middle = docs.agg(F.expr("max(doc_id) div 2")).first()[0]
+    X.extend(docs.where(F.col("doc_id") <= middle), path)
+    X.extend(docs, path)
+    return X.phrase_matches(path, _fields(spark, sf_dir))
+
+
+@query("index_dictionary", f"SELECT token, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token")
+def index_dictionary(spark, sf_dir):
+    path = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    X.extend(table(spark, sf_dir, "documents"), path)
+    return X.dictionary(spark, path)
+
+
+@query("suite_report", with_grams() + """, k AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'facts' WHEN 1 THEN 'maths' ELSE 'code' END AS suite FROM i),
+l AS (SELECT item_id, suite FROM k QUALIFY suite <> 'code' OR row_number() OVER (PARTITION BY suite ORDER BY item_id) <= 5),
+x AS (SELECT DISTINCT doc_id, suite FROM m JOIN l USING (item_id) WHERE score > 0.3)
+SELECT source, count(*) AS rows, round(avg((doc_id IN (SELECT doc_id FROM x WHERE suite = 'facts'))::INT), 6) AS facts,
+ round(avg((doc_id IN (SELECT doc_id FROM x WHERE suite = 'maths'))::INT), 6) AS maths, round(avg((doc_id IN (SELECT doc_id FROM x WHERE suite = 'code'))::INT), 6) AS code FROM documents GROUP BY source""")
+def suite_report(spark, sf_dir):
+    """Three evaluation sets, one of them with a limit, and a column for each."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    suite = F.element_at(F.array(F.lit("facts"), F.lit("maths"), F.lit("code")), (F.col("item_id") % 3 + 1).cast("int"))
+    sets = items.select(suite.alias("suite"), "item_id", F.lit("text").alias("field"), "text")
+    return C.suite_report(docs, C.suite_matches(docs, sets, {"code": 5}), ["facts", "maths", "code"], "source", 0.3)
