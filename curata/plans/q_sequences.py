@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curata.operators import messages as M
@@ -136,26 +137,38 @@ def first_true_index(spark, sf_dir):
 
 #: Values of the order column in a run of next-fit.
 RUN = 256
-NEXT_FIT = f"""WITH RECURSIVE d AS (SELECT source, doc_id // {RUN} AS run, doc_id, n_chars, row_number() OVER (PARTITION BY source, doc_id // {RUN} ORDER BY doc_id) AS k FROM documents),
-f AS (SELECT source, run, doc_id, k, n_chars AS used, 0::BIGINT AS pack FROM d WHERE k = 1 UNION ALL
-SELECT d.source, d.run, d.doc_id, d.k, CASE WHEN f.used > 0 AND f.used + d.n_chars > 8192 THEN d.n_chars ELSE f.used + d.n_chars END, CASE WHEN f.used > 0 AND f.used + d.n_chars > 8192 THEN pack + 1 ELSE pack END
-FROM f JOIN d ON d.source = f.source AND d.run = f.run AND d.k = f.k + 1)
+NEXT_FIT = """WITH RECURSIVE {cap}d AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, {size} AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents{join}),
+w AS (
+  SELECT source, doc_id, n, i, n AS fill, 0::BIGINT AS pack FROM d WHERE i = 1
+  UNION ALL
+  SELECT d.source, d.doc_id, d.n, d.i, CASE WHEN fill > 0 AND fill + d.n > size THEN d.n ELSE fill + d.n END, pack + (fill > 0 AND fill + d.n > size)::INT
+  FROM w JOIN d ON d.source IS NOT DISTINCT FROM w.source AND d.i = w.i + 1
+), f AS (SELECT source, doc_id, n AS n_chars, pack FROM w)
 """
+PLAIN = NEXT_FIT.format(cap="", size="8192", join="")
+SHARED = NEXT_FIT.format(cap="t AS (SELECT source AS s, least(8192, sum(n_chars)::BIGINT // 40) AS cap FROM documents GROUP BY source), ", size="cap", join=" JOIN t ON source IS NOT DISTINCT FROM s")
 
 
 def _lengths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
 
 
-@query("pack_next_fit", NEXT_FIT + "SELECT source, doc_id, run, pack FROM f")
+@query("pack_next_fit", PLAIN + "SELECT source, doc_id, pack FROM f")
 def pack_next_fit(spark, sf_dir):
-    return P.next_fit(_lengths(spark, sf_dir), "source", "doc_id", "n_chars", 8192, RUN).select("source", "doc_id", "run", "pack")
+    """Packs go over the ends of runs; the SQL folds each source from end to end."""
+    return P.next_fit(_lengths(spark, sf_dir), "source", "doc_id", "n_chars", 8192, RUN).select("source", "doc_id", "pack")
+
+
+@query("pack_next_fit_shared", SHARED + "SELECT source, doc_id, pack FROM f")
+def pack_next_fit_shared(spark, sf_dir):
+    """Forty packs for each source at least, as so many workers need one each."""
+    return P.next_fit(_lengths(spark, sf_dir), "source", "doc_id", "n_chars", 8192, RUN, least_packs=40).select("source", "doc_id", "pack")
 
 
-@query("pack_accounting", NEXT_FIT + "SELECT source, run, pack, count(*) AS docs, sum(n_chars)::BIGINT AS tokens, (8192 - sum(n_chars))::BIGINT AS padding, sum(n_chars - 1)::BIGINT AS targets, sum(n_chars * n_chars)::BIGINT AS squares, sha256(string_agg(doc_id, ',' ORDER BY doc_id)) AS uid FROM f JOIN documents USING (source, doc_id) GROUP BY source, run, pack")
+@query("pack_accounting", PLAIN + "SELECT source, pack, count(*) AS docs, sum(n_chars)::BIGINT AS tokens, (8192 - sum(n_chars))::BIGINT AS padding, sum(n_chars - 1)::BIGINT AS targets, sum(n_chars * n_chars)::BIGINT AS squares, sha256(string_agg(doc_id, ',' ORDER BY doc_id)) AS uid FROM f GROUP BY ALL")
 def pack_accounting(spark, sf_dir):
     packs = P.next_fit(_lengths(spark, sf_dir), "source", "doc_id", "n_chars", 8192, RUN)
-    return S.pack_accounting(packs, ["source", "run"], "doc_id", "n_chars", 8192)
+    return S.pack_accounting(packs, ["source"], "doc_id", "n_chars", 8192)
 
 
 @query("pack_best_fit")
@@ -172,6 +185,19 @@ def pack_best_fit_counts(spark, sf_dir):
     return packed.join(fits, ["source", "pack"], "left_semi").groupBy("source", "n_chars").agg(F.count("*").alias("docs"))
 
 
+@query("pack_best_fit_full", "SELECT source, true AS full, true AS in_order FROM documents GROUP BY source")
+def pack_best_fit_full(spark, sf_dir):
+    """Packs of 400 characters that are full to the last, in the order of their first documents."""
+    packed = P.best_fit(_lengths(spark, sf_dir), "source", "doc_id", "n_chars", 400)
+    kept = P.in_order_of_first(packed, "source", "doc_id", 400, "n_chars")
+    packs = kept.groupBy("source", "pack").agg(F.sum("n_chars").alias("t"), F.min("doc_id").alias("first"))
+    before = F.lag("first").over(Window.partitionBy("source").orderBy("pack"))
+    told = packs.withColumn("rises", F.coalesce(before < F.col("first"), F.lit(True)))
+    every = table(spark, sf_dir, "documents").select("source").distinct()
+    out = every.join(told, every.source.eqNullSafe(told.source), "left").drop(told.source)
+    return out.groupBy("source").agg(F.bool_and(F.coalesce(F.col("t") == 400, F.lit(True))).alias("full"), F.bool_and(F.coalesce("rises", F.lit(True))).alias("in_order"))
+
+
 @query("pack_priority", "SELECT doc_id, sha256('42:' || doc_id) AS priority FROM documents")
 def pack_priority(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.priority(42, F.col("doc_id")).alias("priority"))
