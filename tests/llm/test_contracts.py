@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 from llm import brute
+from pyspark.sql import functions as F
 
 from curata.llm import components, decontaminate, hilbert, licenses, maxent, packing, pii, quality, registry, simhash, toxicity, urls
 
@@ -181,15 +182,50 @@ def test_misspelled_texts_are_scored(spark):
         assert (model.score(text.encode()) >= toxicity.CUT) == y, (i, text)
 
 
+def test_weights_of_misspellings():
+    """A near word that was seen in clean texts weighs little; one that was never seen weighs a share of its term."""
+    lexicon = toxicity.Lexicon({"moron": 6.0, "idiot": 6.0}, {"oron": (10, 150), "idjot": (30, 0), "table": (5, 5)}, (400, 3000))
+    assert lexicon.weigh(b"moron") == (6.0, False) and lexicon.weigh(b"table") is None
+    assert lexicon.weigh(b"oron")[0] < 0.3 < 2 < lexicon.weigh(b"morno")[0] < toxicity.EDITED * 6.0
+    assert lexicon.weigh(b"idjot")[0] > lexicon.weigh(b"idito")[0] > 1.5
+    assert lexicon.sums(b"an oron") < lexicon.sums(b"a moorn") < lexicon.sums(b"a moron")
+
+
+def test_toxicity_ablations(spark):
+    """On whole tables the scores are no worse for the automata, and quoted hits weigh a fitted share."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    rows = docs.join(labels, "doc_id").where("toxic is not null").select("text", "toxic", toxicity.held_out(F.col("doc_id")).alias("held")).collect()
+    y = np.array([r.toxic for r in rows], dtype=float)
+    held = np.array([r.held for r in rows])
+
+    def loss():
+        """Held-out log loss of a model fitted on all other rows."""
+        model.lexicon.known.clear()
+        x = toxicity.features(np.array([model.lexicon.sums((r.text or "").encode()) for r in rows]), model.quoted_share)
+        return toxicity.log_loss(x[held], y[held], toxicity.fit_logistic(x[~held], y[~held]))
+
+    whole = loss()
+    model.lexicon.trie = toxicity.TermTrie([])
+    without = loss()
+    print(whole, without)
+    assert whole < without
+
+
 def test_trie_is_levenshtein():
+    """Edits are letters too many, left out or changed, and two neighbours that have changed places."""
+
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        rows = [list(range(len(b) + 1))]
         for i, x in enumerate(a):
             nxt = [i + 1]
             for j, y in enumerate(b):
-                nxt.append(min(nxt[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
-            row = nxt
-        return row[-1]
+                nxt.append(min(nxt[j] + 1, rows[-1][j + 1] + 1, rows[-1][j] + (x != y)))
+                if i and j and x == b[j - 1] and a[i - 1] == y:
+                    nxt[-1] = min(nxt[-1], rows[-2][j - 1] + 1)
+            rows.append(nxt)
+        return rows[-1][-1]
 
     rng = np.random.default_rng(3)
     terms = sorted({"".join(rng.choice(list("abc"), rng.integers(4, 8))) for _ in range(40)})
