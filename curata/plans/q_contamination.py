@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from curata.functions.text import analyzed
+from curata.operators import cells as Y
 from curata.operators import contamination as C
 from curata.operators import postings as X
 from curata.plans.catalogue import query
@@ -179,3 +180,24 @@ def suite_report(spark, sf_dir):
     suite = F.element_at(F.array(F.lit("facts"), F.lit("maths"), F.lit("code")), (F.col("item_id") % 3 + 1).cast("int"))
     sets = items.select(suite.alias("suite"), "item_id", F.lit("text").alias("field"), "text")
     return C.suite_report(docs, C.suite_matches(docs, sets, {"code": 5}), ["facts", "maths", "code"], "source", 0.3)
+
+
+def _cells(spark, sf_dir, target: float | None):
+    vectors = Y.unit_vectors(table(spark, sf_dir, "embeddings"))
+    centroids = Y.learn_centroids(vectors, 24)
+    index = Y.index_cells(vectors, centroids)
+    return Y.cell_topk(index, vectors.where("vec_id % 20 = 0"), centroids, 5, Y.probes_for(vectors, centroids, target) if target else len(centroids))
+
+
+@query("vector_cells_exact", VECTORS + "SELECT query_id, vec_id, rank::INT AS rank, round(score, 4) AS score FROM r WHERE rank <= 5")
+def vector_cells_exact(spark, sf_dir):
+    """Inverted cells, all of which are searched."""
+    return _cells(spark, sf_dir, None).withColumn("score", F.round("score", 4))
+
+
+@query("vector_cells_recall", VECTORS + "SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS reached FROM r WHERE rank <= 5")
+def vector_cells_recall(spark, sf_dir):
+    """As many cells as a sample needs: whether nine in ten of the true neighbours are found."""
+    found, (_, exact) = _cells(spark, sf_dir, 0.95), _topk(spark, sf_dir)
+    hit = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
