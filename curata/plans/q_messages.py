@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curata.operators import filters as X
 from curata.operators import messages as M
+from curata.operators import toolcalls as C
 from curata.plans.catalogue import query
 from curata.sources.tables import conversation_messages, table
 
@@ -297,3 +298,55 @@ def pruned_tools(spark, sf_dir):
     tools = F.transform("names", lambda n: F.struct(n.alias("name"), F.length(n).alias("size")))
     kept = M.pruned_tools(tools, F.slice("names", 1, 2))
     return rows.select("n_regionkey", F.array_join(F.transform(kept, lambda t: t["name"]), ",").alias("kept"))
+
+
+# tool calls
+
+SEARCH = {"function": {"name": "search", "parameters": {"required": ["query"], "properties": {"query": {}, "top": {}}}}}
+RUN = {"function": {"name": "run", "parameters": {"properties": {"code": {}}}}}
+_SAID = "'<think>' || text || '</think>' || CASE conv_id % 3 WHEN 0 THEN '<search>' || turn || ' ' || text || '</search> and <run>x = ' || turn || '</run>' WHEN 1 THEN '<run>' || text || '</run><search>' || conv_id || '</search>' ELSE '<search>open' END"
+_ROWS = "SELECT conv_id * 1000 + turn AS k, conv_id, turn, replace(replace(text, '<', ' '), chr(92), ' ') AS text FROM conversations WHERE text IS NOT NULL"
+
+
+def _turns(spark, sf_dir):
+    said = F.replace(F.replace("text", F.lit("<"), F.lit(" ")), F.lit("\\"), F.lit(" "))
+    return table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "conv_id", "turn", said.alias("text"))
+
+
+@query("tagged_tool_calls", f"""WITH r AS ({_ROWS}), c AS (
+SELECT k, 0 AS number, 'search' AS name, 'query' AS parameter, turn || ' ' || text AS argument FROM r WHERE conv_id % 3 = 0 UNION ALL SELECT k, 1, 'run', 'code', 'x = ' || turn FROM r WHERE conv_id % 3 = 0
+UNION ALL SELECT k, 0, 'run', 'code', text FROM r WHERE conv_id % 3 = 1 UNION ALL SELECT k, 1, 'search', 'query', conv_id::VARCHAR FROM r WHERE conv_id % 3 = 1)
+SELECT k, number, name, parameter, argument FROM c""")
+def tagged_tool_calls(spark, sf_dir):
+    """Two calls of two tools in an answer, in either order, or one that is not closed."""
+    said = _turns(spark, sf_dir).withColumn("said", F.expr(_SAID))
+    rows = C.call_rows(said, "k", C.tagged_calls(F.col("said"), [SEARCH, RUN]))
+    one = F.from_json("arguments", "map<string,string>")
+    return rows.select("k", "number", "name", F.map_keys(one)[0].alias("parameter"), F.map_values(one)[0].alias("argument"))
+
+
+@query("json_tool_calls", f"""WITH r AS ({_ROWS}) SELECT k, CASE k % 6 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'fly' ELSE 'search' END AS name,
+CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 'no JSON object' WHEN 2 THEN 'no name' WHEN 3 THEN 'unknown tool' WHEN 4 THEN 'arguments are no object' ELSE 'no argument query' END AS error,
+CASE WHEN k % 6 = 0 THEN turn::VARCHAR END AS query FROM r""")
+def json_tool_calls(spark, sf_dir):
+    """One call in each answer, good or bad in one of five ways."""
+    forms = ["{'name': 'search', 'arguments': {'query': '#'}}", "{'name': 'search', 'arg", "{'arguments': {'query': '#'}}", "{'name': 'fly', 'arguments': {}}", "{'name': 'search', 'arguments': [1]}", "{'name': 'search', 'arguments': {'top': 3}}"]
+    chosen = F.element_at(F.array(*(F.lit(f.replace("'", '"')) for f in forms)), (F.col("k") % 6 + 1).cast("int"))
+    said = _turns(spark, sf_dir).withColumn("said", F.concat(F.col("text"), F.lit("<tool_call>\n"), F.replace(chosen, F.lit("#"), F.col("turn").cast("string")), F.lit("\n</tool_call> done")))
+    rows = C.call_rows(said, "k", C.json_calls(F.col("said"), [SEARCH, RUN]))
+    return rows.select("k", "name", "error", F.when(F.col("error").isNull(), F.get_json_object("arguments", "$.query")).alias("query"))
+
+
+@query("rendered_call_spans", r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, role = 'assistant' AND turn % 2 = 1 AS calls FROM conversations),
+w AS (SELECT conv_id, turn, role, len(regexp_extract_all('<|im_start|>' || role || chr(10), '\S+')) AS head, len(regexp_extract_all(text || CASE WHEN calls THEN chr(10) || '<tool_call>' || chr(10) || turn || chr(10) || '</tool_call>' ELSE '' END || ' <|im_end|>', '\S+')) AS body FROM t),
+s AS (SELECT conv_id, role, sum(head + body) OVER (PARTITION BY conv_id ORDER BY turn) - body AS start, sum(head + body) OVER (PARTITION BY conv_id ORDER BY turn) AS finish FROM w)
+SELECT conv_id, least(max(finish), 120)::BIGINT AS tokens, (max(finish) > 120) AS cut, coalesce(sum(least(finish, 120) - start) FILTER (role = 'assistant' AND start < 120), 0)::BIGINT AS trainable, count(*) FILTER (role = 'assistant' AND start < 120) AS spans FROM s GROUP BY conv_id""")
+def rendered_call_spans(spark, sf_dir):
+    """Words as tokens, 120 of them at most; odd answers call a tool. What counts for training is what assistants wrote."""
+    one = F.struct("role", F.col("text").alias("content"), F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 1), F.array(F.col("turn").cast("string"))).alias("calls"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", one.alias("m")))).alias("t"))
+    words = lambda t: F.regexp_extract_all(t, F.lit(r"[^ \t-\r]+"), 0)
+    made = turns.select("conv_id", C.rendered(F.transform("t", lambda x: x["m"]), end=" <|im_end|>\n").alias("r"))
+    made = made.select("conv_id", F.size(words(F.col("r.text"))).alias("n"), C.token_spans(F.col("r.text"), F.col("r.spans"), words, 120).alias("s"))
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["finish"] - x["start"])
+    return made.select("conv_id", F.least("n", F.lit(120)).cast("long").alias("tokens"), (F.col("n") > 120).alias("cut"), total.alias("trainable"), F.size("s").cast("long").alias("spans"))
