@@ -183,10 +183,32 @@ def code_block(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?s)```(?:[a-zA-Z0-9]*\n)?(.*?)```"), 1), F.lit(-1)), text)
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def final_answer(text: Column) -> Column:
-    """Text in answer tags, else after ``Final Answer:``, else all, trimmed."""
-    tagged, marked = F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1), F.regexp_extract(text, r"(?s)Final Answer:(.*)", 1)
-    return F.trim(F.when(tagged != "", tagged).when(marked != "", marked).otherwise(text))
+    """The trimmed text in the first answer tags, which may be empty; else what follows the end of the thinking, trimmed; else
+    the text without assistant marks, trimmed if there were any."""
+    tagged, thought = text.rlike("(?s)<answer>.*?</answer>"), F.contains(text, F.lit("</think>"))
+    spoken = F.replace(text, F.lit("<|assistant|>"), F.lit(""))
+    return (
+        F.when(tagged, _stripped(F.regexp_extract(text, "(?s)<answer>(.*?)</answer>", 1)))
+        .when(thought, _stripped(F.substring(text, F.locate("</think>", text) + 8, F.length(text))))
+        .when(spoken != text, _stripped(spoken)).otherwise(text)
+    )
+
+
+#: A user's turn that an assistant's thinking answers: between role lines, or between turn marks, tools left out.
+_ASKED = r"(?s)<\|user\|>\n.*?\n<\|assistant\|>\n<think>|<\|im_start\|>user\n.*?<\|im_end\|>\n(?=.*?<\|im_start\|>assistant\n<think>)"
+
+
+def user_query(conversation: Column) -> Column:
+    """What the user said last before an assistant's thinking, trimmed; the whole text without such a turn."""
+    turn = F.try_element_at(F.regexp_extract_all(conversation, F.lit(_ASKED), 0), F.lit(-1))
+    plain = F.regexp_replace(turn, r"(?s)^<\|user\|>\n|\n<\|assistant\|>\n<think>$", "")
+    marked = F.regexp_replace(turn, r"(?s)^<\|im_start\|>user\n|(?:\n<functions>.*?</functions>)?<\|im_end\|>\n$", "")
+    return F.when(turn.isNull(), conversation).otherwise(_stripped(F.when(F.startswith(turn, F.lit("<|user|>")), plain).otherwise(marked)))
 
 
 #: Verifiers by name; labels are ``array<string>`` where several count, else the first counts.

@@ -13,15 +13,17 @@ from curata.operators import sentences as N
 from curata.plans.catalogue import query
 from curata.sources.tables import table
 
-# Predictions and labels are made of the documents' whole texts, so that some agree and some do not.
-_G = "text || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' The ' ELSE ' more' END"
-BASE = f"""WITH b AS (SELECT doc_id, text AS s, {_G} AS g, n_chars FROM documents WHERE length(text) > 0),
+# Predictions and labels are made of the documents' whole texts, so that some agree and some do not; null texts are empty.
+# Every 17th prediction is made of an empty text, which verifiers must score too.
+_S = "CASE WHEN doc_id % 17 = 0 THEN '' ELSE coalesce(text, '') END"
+_G = "coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' The ' ELSE ' more' END"
+BASE = f"""WITH b AS (SELECT doc_id, {_S} AS s, {_G} AS g, n_chars FROM documents),
 """
 
 
 def _base(spark, sf_dir, *columns: str):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    return docs.select("doc_id", F.col("text").alias("s"), F.expr(_G).alias("g"), "n_chars").selectExpr("doc_id", *columns)
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.expr(_S).alias("s"), F.expr(_G).alias("g"), "n_chars").selectExpr("doc_id", *columns)
 
 
 def norm(x: str) -> str:
@@ -77,7 +79,7 @@ def f1_score(spark, sf_dir):
     return rows.select("doc_id", *(F.round(f"f.{c}", 6).alias(c) for c in ("f1", "precision", "recall")))
 
 
-@query("search_f1", BASE + f1_sql("s", "substr(g, 80)") + "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0.0 WHEN same > 0 THEN round(2 * (same / np) * (same / ng) / (same / np + same / ng), 6) ELSE 0.1 END AS score FROM u")
+@query("search_f1", BASE + f1_sql("s", "substr(g, 80)") + "SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id IN (SELECT doc_id FROM b WHERE s = '') THEN 0.0 WHEN same > 0 THEN round(2 * (same / np) * (same / ng) / (same / np + same / ng), 6) ELSE 0.1 END AS score FROM u")
 def search_f1(spark, sf_dir):
     rows = _base(spark, sf_dir, "case when doc_id % 7 = 0 then s else concat('x <finish>', s, '</finish>') end as p", "substr(g, 80) as g")
     return rows.select("doc_id", F.round(V.search_f1(F.col("p"), F.array("g")), 6).alias("score"))
@@ -150,12 +152,22 @@ def first_json_object(spark, sf_dir):
     return e.select("event_id", F.col("j").isNotNull().alias("found"))
 
 
-@query("code_blocks", BASE + "x AS (SELECT doc_id, s FROM b) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN s || chr(10) ELSE s END AS code, CASE WHEN doc_id % 2 = 0 THEN trim(s) ELSE trim(s) END AS final FROM x")
+@query("code_blocks", BASE + "x AS (SELECT doc_id, s FROM b) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN s || chr(10) ELSE s END AS code, CASE doc_id % 4 WHEN 3 THEN s ELSE regexp_replace(s, '^\\s+|\\s+$', '', 'g') END AS final FROM x")
 def code_blocks(spark, sf_dir):
-    rows = _base(spark, sf_dir, "s", "case when doc_id % 2 = 0 then concat('a\n```\nb\n```\n```python\n', s, '\n```') else s end as p", "case when doc_id % 2 = 0 then concat('<answer>', s, '</answer>') else s end as q")
+    rows = _base(spark, sf_dir, "s", "case when doc_id % 2 = 0 then concat('a\n```\nb\n```\n```python\n', s, '\n```') else s end as p", "case doc_id % 4 when 1 then concat('<think>a</think> ', s) when 3 then s else concat('<answer>', s, '</answer>') end as q")
     return rows.select("doc_id", V.code_block(F.col("p")).alias("code"), V.final_answer(F.col("q")).alias("final"))
 
 
+@query("user_queries", "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'user: ' || n_chars ELSE 'what of ' || n_chars || '?' END AS query FROM documents")
+def user_queries(spark, sf_dir):
+    """Conversations between role lines and between turn marks, of two questions each, and texts that are neither."""
+    asked = F.format_string("what of %d?", F.col("n_chars"))
+    lines = F.concat(F.lit("<|user|>\nhi\n<|assistant|>\n<think>a</think>b\n<|user|>\n"), asked, F.lit("\n<|assistant|>\n<think>"))
+    marks = F.concat(F.lit("<|im_start|>user\nhi<|im_end|>\n<|im_start|>user\n"), asked, F.lit("\n<functions>[]</functions><|im_end|>\n<|im_start|>assistant\n<think>x"))
+    said = F.when(F.col("doc_id") % 3 == 0, lines).when(F.col("doc_id") % 3 == 1, marks).otherwise(F.concat(F.lit("user: "), F.col("n_chars").cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", V.user_query(said).alias("query"))
+
+
 ANSWERS = """WITH d AS (SELECT doc_id, n_chars AS n, n_chars % 50 AS k FROM documents)
 SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN n % 3 <> 0 WHEN 4 THEN doc_id % 5 <> 0 WHEN 6 THEN false WHEN 7 THEN false ELSE true END::INT::DOUBLE AS score FROM d"""
 
@@ -295,10 +307,10 @@ constraint_query("instructions_format", {
 }, K.INSTRUCTIONS)
 
 
-@query("instruction_scores", "SELECT doc_id, round(((NOT contains(text, ','))::INT + contains(lower(text), 'the')::INT + (len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) >= 100)::INT) / 3.0, 6) AS score FROM documents WHERE trim(text) <> ''")
+@query("instruction_scores", "SELECT doc_id, round(((NOT contains(text, ','))::INT + contains(lower(text), 'the')::INT + (len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) >= 100)::INT) / 3.0, 6) * (trim(text) <> '')::INT AS score FROM documents")
 def instruction_scores(spark, sf_dir):
     checks = [("punctuation:no_comma", {}), ("keywords:existence", {"keywords": ["the"]}), ("length_constraints:number_words", {"num_words": 100, "relation": "at least"})]
-    docs = table(spark, sf_dir, "documents").where(F.trim("text") != "")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.round(K.followed(F.col("text"), checks), 6).alias("score"))
 
 
@@ -355,8 +367,11 @@ def instructions_language(spark, sf_dir):
     )
 
 
-WORDS = r"""WITH p AS (SELECT doc_id, regexp_extract_all(replace(coalesce(text, ''), chr(1), ' '), '[^ 	-]+[ 	-]*') AS l FROM documents),
-c AS (SELECT doc_id, l, list_transform(l, lambda x: regexp_replace(regexp_replace(x, '[ 	-]+$', ''), '^["''(\[{“‘«]+|["'')\]}”’»]+$', '', 'g')) AS w FROM p),
+WORDS = r"""WITH p AS (SELECT doc_id, regexp_extract_all(replace(coalesce(text, ''), chr(1), ' '), '[^ 	-
+]+[ 	-
+]*') AS l FROM documents),
+c AS (SELECT doc_id, l, list_transform(l, lambda x: regexp_replace(regexp_replace(x, '[ 	-
+]+$', ''), '^["''(\[{“‘«]+|["'')\]}”’»]+$', '', 'g')) AS w FROM p),
 u AS (SELECT doc_id, w[i] AS w, w[i - 1] AS before FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c)),
 v AS (SELECT lower(regexp_replace(w, '\.$', '')) AS type, regexp_matches(w, '(^|[^.])\.$') AS stop FROM u WHERE regexp_matches(w, '\p{L}')),
 n AS (SELECT type, count(*) FILTER (stop) AS k, count(*) AS n FROM v GROUP BY type), t AS (SELECT sum(k) / sum(n) AS p FROM n),
