@@ -198,6 +198,38 @@ def _turn(m: Column, last: Column, eos: str) -> Column:
     )
 
 
+#: What follows a system message without functions.
+NO_FUNCTIONS = " You do not currently have access to any functions. <functions></functions>"
+
+
+def render_functions(messages: Column, system: str | None = None, eos: str = "</s>", generate: bool = False, opened: str = "", none: str = NO_FUNCTIONS) -> Column:
+    """Turns between marks with the functions that they offer and call.
+
+    ``messages`` are structs of ``role, content, functions, function_calls``. A system or user message lists its functions, a
+    system message without any says so in ``none``; an answer ends with its calls, and the last message, if it is an answer,
+    with the end token instead of the closing mark. ``system`` is put before a list without a system message, as it is.
+    ``opened`` follows the generation prompt, such as the start of the thinking. Null contents are empty; other roles than
+    system, user, assistant and environment are left out.
+    """
+    close = "<|im_end|>\n"
+    said = lambda m: F.coalesce(m["content"], F.lit(""))
+    listed = lambda m: F.concat(F.lit("<functions>"), m["functions"], F.lit("</functions>"))
+
+    def one(m: Column, first: Column, last: Column) -> Column:
+        offered = F.when(m["role"] == "system", F.coalesce(F.concat(F.lit(" "), listed(m)), F.lit(none))).otherwise(F.coalesce(F.concat(F.lit("\n"), listed(m)), F.lit("")))
+        called = F.coalesce(F.concat(F.lit("<function_calls>"), m["function_calls"], F.lit("</function_calls>")), F.lit(""))
+        tail = (
+            F.when(m["role"].isin("system", "user"), F.concat(offered, F.lit(close)))
+            .when(m["role"] == "assistant", F.concat(called, F.when(last, F.lit(eos)).otherwise(F.lit(close)))).otherwise(F.lit(close))
+        )
+        turn = F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), said(m), tail)
+        return F.when(m["role"].isin("system", "user", "assistant", "environment"), turn).otherwise(F.lit(""))
+
+    lead = F.when(F.exists(messages, lambda m: m["role"] == "system"), F.lit("")).otherwise(F.lit(f"<|im_start|>system\n{system}{close}")) if system else F.lit("")
+    prompt = F.when(F.size(messages) > 0, F.lit(f"<|im_start|>assistant\n{opened}")).otherwise(F.lit("")) if generate else F.lit("")
+    return F.concat(lead, _tagged(messages, one), prompt)
+
+
 #: Special tokens and what takes their place.
 SPECIAL_TOKENS = {"<think>": "\n", "</think>": "", "<answer>": "\n\n", "</answer>": ""}
 

@@ -300,6 +300,25 @@ def pruned_tools(spark, sf_dir):
     return rows.select("n_regionkey", F.array_join(F.transform(kept, lambda t: t["name"]), ",").alias("kept"))
 
 
+_FUNCTION_TURNS = r"""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, max(turn) OVER (PARTITION BY conv_id) AS last, bool_or(role = 'system') OVER (PARTITION BY conv_id) AS led FROM conversations WHERE turn > 0 OR conv_id % 2 = 0),
+t AS (SELECT *, '<|im_start|>' || role || chr(10) || text || CASE role
+ WHEN 'system' THEN CASE WHEN turn % 2 = 0 THEN ' <functions>f' || turn || '</functions>' ELSE ' You do not currently have access to any functions. <functions></functions>' END || '<|im_end|>' || chr(10)
+ WHEN 'user' THEN CASE WHEN turn % 2 = 0 THEN chr(10) || '<functions>f' || turn || '</functions>' ELSE '' END || '<|im_end|>' || chr(10)
+ WHEN 'assistant' THEN CASE WHEN turn % 3 = 0 THEN '<function_calls>g' || turn || '</function_calls>' ELSE '' END || CASE WHEN turn = last THEN '</s>' ELSE '<|im_end|>' || chr(10) END END AS s FROM m)
+SELECT conv_id, CASE WHEN bool_or(led) THEN '' ELSE '<|im_start|>system' || chr(10) || 'Help.<|im_end|>' || chr(10) END || string_agg(s, '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) || '<think>' AS chat FROM t GROUP BY conv_id"""
+
+
+@query("chat_render_functions", _FUNCTION_TURNS)
+def chat_render_functions(spark, sf_dir):
+    """Turns that offer functions and answers that call them; every second conversation without its first turn."""
+    turns = table(spark, sf_dir, "conversations").where("turn > 0 or conv_id % 2 = 0")
+    offered = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("f"), F.col("turn").cast("string")))
+    called = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("g"), F.col("turn").cast("string")))
+    one = F.struct("role", F.col("text").alias("content"), offered.alias("functions"), called.alias("function_calls"))
+    lists = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", one.alias("m")))).alias("t"))
+    return lists.select("conv_id", M.render_functions(F.transform("t", lambda x: x["m"]), "Help.", generate=True, opened="<think>").alias("chat"))
+
+
 # tool calls
 
 SEARCH = {"function": {"name": "search", "parameters": {"required": ["query"], "properties": {"query": {}, "top": {}}}}}
