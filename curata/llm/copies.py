@@ -52,7 +52,9 @@ def text_groups(rows: DataFrame, hot: DataFrame, salts: int = SALTS) -> DataFram
     kept = materialize(merged.withColumn("content", F.when(F.col("salt") >= 0, F.col("content"))), "salted-winners")
     final = kept.where("salt < 0").select("digest", "first", "n")
     combined = kept.where("salt >= 0").groupBy("digest", "content").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    return final.unionByName(combined.select("digest", "first", "n"))
+    out = final.unionByName(combined.select("digest", "first", "n"))
+    out.curata_path = kept.curata_path
+    return out
 
 
 def _variants(docs: DataFrame, mixed: DataFrame, digest: Callable[[Column], Column], number: Column) -> DataFrame:
@@ -78,9 +80,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     count = marks.count()
     limit = max(EVEN, count // shuffle_width(docs.sparkSession))
     hot = marks.groupBy("digest").agg(F.count("*").alias("rows")).where(F.col("rows") > limit).select("digest")
-    groups = text_groups(_rows(docs, digest, F.lit(0)), hot, salts)
-    groups = groups.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("texts"))
+    found = text_groups(_rows(docs, digest, F.lit(0)), hot, salts)
+    groups = found.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("texts"))
     groups = materialize(groups, "digest-groups")
+    discard(found)
     mixed = groups.where("texts > 1").select("digest")
     # the least row number among the first ones, which the texts' pass cannot carry: splits of a table may differ between two reads
     firsts = marks.groupBy("digest").agg(_first("rid"))

@@ -101,6 +101,7 @@ def infilled(docs: DataFrame, seed: int = SEED, cut: int = CUT, suffix_first: in
 
 def restored(output: Column, form: Column) -> Column:
     """The text that :func:`infilled` made ``output`` of."""
+
     def pieces(first: str, second: str) -> tuple[Column, Column, Column]:
         """What follows each of the three marks; no piece holds a mark, so the leftmost one ends it."""
         rest = F.substr(output, F.lit(len(first) + 1))
