@@ -66,3 +66,27 @@ def test_rendered_spans(spark):
             want = [(len(text[:a].split()), min(most, len(text[:b].split()))) for a, b in spans]
             assert [tuple(s) for s in got] == [w for w in want if w[0] < most]
             assert all(text.split()[a - 1] == "<|im_start|>assistant" for a, _ in got)
+
+
+def test_rendered_functions(spark):
+    """Functions of system and user messages, calls of answers, a default system message and unknown roles."""
+    from curata.operators import messages
+
+    schema = "m array<struct<role:string,content:string,functions:string,function_calls:string>>"
+    lists = [
+        [("user", "hi", None, None), ("assistant", "yes", None, None)],
+        [("system", "Be kind.", None, None), ("user", "add", "[add]", None), ("assistant", None, None, "add(1, 2)"), ("environment", "3", None, None), ("critic", "no", None, None), ("assistant", "3", None, None)],
+        [("system", "Be kind.", "[f]", None)], [],
+    ]
+    df = spark.createDataFrame([(m,) for m in lists], schema)
+    got = [r.t for r in df.select(messages.render_functions(F.col("m"), "S", "</s>").alias("t")).collect()]
+    start = lambda role: f"<|im_start|>{role}\n"
+    close = "<|im_end|>\n"
+    assert got[0] == f"{start('system')}S{close}{start('user')}hi{close}{start('assistant')}yes</s>"
+    assert got[1] == (
+        f"{start('system')}Be kind.{messages.NO_FUNCTIONS}{close}{start('user')}add\n<functions>[add]</functions>{close}"
+        f"{start('assistant')}<function_calls>add(1, 2)</function_calls>{close}{start('environment')}3{close}{start('assistant')}3</s>"
+    )
+    assert got[2] == f"{start('system')}Be kind. <functions>[f]</functions>{close}" and got[3] == f"{start('system')}S{close}"
+    asked = df.select(messages.render_functions(F.col("m"), generate=True, opened="<think>").alias("t")).collect()
+    assert asked[2].t.endswith(f"{close}{start('assistant')}<think>") and asked[3].t == ""
