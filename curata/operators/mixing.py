@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curata.runtime import free_name
 from curata.sources.tables import ranged_total
 
 
@@ -53,17 +54,21 @@ def ranked_by_hash(df: DataFrame, group: list[str], key: str, seed: int | str =
 def _ranked(df: DataFrame, group: list[str], key: str, seed: int | str, quota: Column | int | None) -> DataFrame:
     """Ranks within buckets of the hash's first ``DEAL`` digits, and sums of the buckets' counts: no window holds a group.
 
-    A struct of the group's columns joins null with null, and the window keeps the partitioning of the join.
+    A struct of the group's columns joins null with null, and the window keeps the partitioning of the join. Of the columns
+    of ``df`` only one named ``place`` is replaced.
     """
     hashed = shuffled_key(seed, F.col(key))
-    dealt = df.withColumns({"order_key": hashed, "deal": F.struct(*group, F.substring(hashed, 1, DEAL).alias("digits"))})
-    counts = dealt.groupBy("deal").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*[f"deal.{g}" for g in group]).orderBy("deal.digits").rowsBetween(Window.unboundedPreceding, -1))
-    rows = dealt.join(counts.select("deal", F.coalesce(before, F.lit(0)).alias("before")), "deal")
+    order, deal, earlier = (free_name(df, f"curata_{n}") for n in ("order", "deal", "earlier"))
+    digits = F.substring(hashed, 1, DEAL).alias("curata_digits")
+    dealt = df.withColumns({order: hashed, deal: F.struct(*group, digits)})
+    counts = dealt.groupBy(deal).agg(F.count("*").alias("n"))
+    in_group = Window.partitionBy(*[f"{deal}.{g}" for g in group]).orderBy(f"{deal}.curata_digits")
+    before = F.sum("n").over(in_group.rowsBetween(Window.unboundedPreceding, -1))
+    rows = dealt.join(counts.select(deal, F.coalesce(before, F.lit(0)).alias(earlier)), deal)
     if quota is not None:
-        rows = rows.where(F.col("before") < quota)
-    own = F.row_number().over(Window.partitionBy("deal").orderBy("order_key", key))
-    return rows.withColumn("place", F.col("before") + own - 1).drop("deal", "before", "order_key")
+        rows = rows.where(F.col(earlier) < quota)
+    own = F.row_number().over(Window.partitionBy(deal).orderBy(order, key))
+    return rows.withColumn("place", F.col(earlier) + own - 1).drop(deal, earlier, order)
 
 
 def resampled(df: DataFrame, group: str, targets: DataFrame, key: str, seed: int | str = 42) -> DataFrame:
@@ -71,16 +76,19 @@ def resampled(df: DataFrame, group: str, targets: DataFrame, key: str, seed: int
 
     ``targets(group, target)``. Columns ``is_upsampled`` and ``factor`` tell of the change.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
+    mark = free_name(df, "curata_plan")
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     plan = targets.join(sizes, group).select(
-        group, "target", "size", F.expr("target div size").alias("whole"), F.expr("target % size").alias("rest")
+        group, F.struct(F.col("target").alias("target"), F.col("n").alias("size"), F.expr("target div n").alias("whole"), F.expr("target % n").alias("rest")).alias(mark)
     )
-    rows = ranked_by_hash(df, [group], key, seed).join(plan, group)
-    copies = F.col("whole") + (F.col("place") < F.col("rest")).cast("int")
+    kept = free_name(df, "curata_place")
+    held = df.withColumnRenamed("place", kept) if "place" in df.columns else df  # the rank has its name
+    rows = ranked_by_hash(held, [group], key, seed).join(plan, group)
+    copies = F.col(f"{mark}.whole") + (F.col("place") < F.col(f"{mark}.rest")).cast("int")
     out = rows.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
-    return out.withColumns({"is_upsampled": F.col("target") > F.col("size"), "factor": F.round(F.col("target") / F.col("size"), 6)}).drop(
-        "place", "whole", "rest", "target", "size"
-    )
+    target, size = F.col(f"{mark}.target"), F.col(f"{mark}.size")
+    out = out.withColumns({"is_upsampled": target > size, "factor": F.round(target / size, 6)}).drop("place", mark)
+    return out.withColumnRenamed(kept, "place") if "place" in df.columns else out
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:

@@ -392,3 +392,18 @@ def test_ranks_and_sums_keep_nulls(spark):
     assert {(r.source, r.id) for r in first} == {(r.source, r.id) for r in ranked if r.place == 0}
     got = {(r.source, r.id): r.begin for r in tables.running_total(df, "id", "size", group=["source"]).collect()}
     assert got == {(None, 1): 0, (None, 2): 10, ("a", None): 0, ("a", 3): 5, ("a", 9000): 5, ("b", 4): 0}
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    """Columns named like those inside come out with the values that they went in with."""
+    names = ["order_key", "deal", "before", "size", "whole", "rest", "target", "n", "place", "curata_order", "curata_plan", "bucket", "base", "one"]
+    rows = [(i, "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(60)]
+    df = spark.createDataFrame(rows, ["id", "source", *names])
+    want = {r.id: [r[n] for n in names] for r in df.collect()}
+    targets = spark.createDataFrame([("a", 70), ("b", 11)], "source string, target long")
+    out = mixing.resampled(df, "source", targets, "id").collect()
+    assert len(out) == 81 and all([r[n] for n in names] == want[r.id] for r in out)
+    first = mixing.first_by_hash(df, ["source"], 5, "id").collect()
+    assert len(first) == 10 and all([r[n] for n in names if n != "place"] == [v for n, v in zip(names, want[r.id], strict=True) if n != "place"] for r in first)
+    numbered = mixing.numbered(df, "id").collect()
+    assert [r["index"] for r in sorted(numbered)] == list(range(60)) and all([r[n] for n in names] == want[r.id] for r in numbered)
