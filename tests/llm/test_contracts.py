@@ -8,7 +8,7 @@ import pytest
 from llm import brute
 from pyspark.sql import functions as F
 
-from curata.llm import components, decontaminate, hilbert, licenses, maxent, packing, pii, quality, registry, simhash, toxicity, urls
+from curata.llm import components, copies, decontaminate, hilbert, infill, licenses, maxent, packing, pii, quality, registry, simhash, toxicity, urls
 
 
 def docs_of(spark, data):
@@ -596,7 +596,7 @@ def test_short_last_sentence_is_question():
 
 
 def test_empty_tables(spark, nothing, tmp_path):
-    for name, schema in (("documents", nothing.schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", nothing.schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, run in registry.queries().items():
         assert run(spark, str(tmp_path)).collect() == [], name
@@ -613,6 +613,7 @@ def test_operators_with_clashing_columns(spark, odd):
     assert licenses.license_scan(odd).count() == n
     assert quality.judged(odd).count() == n
     assert pii.with_pii(odd, out="found").count() == n
+    assert infill.infilled(odd).count() == n and copies.exact_groups(odd).count() == n
 
 
 def test_head_words(spark):
