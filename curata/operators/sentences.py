@@ -123,14 +123,17 @@ def split_sentences(text: Column, model: SentenceModel = SentenceModel()) -> Col
     """
 
     def marked(parts: Column) -> Column:
+        return let(F.transform(parts, core), lambda words: joined(parts, words))  # each word is stripped once
+
+    def joined(parts: Column, words: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
-            w, following = core(piece), core(F.get(parts, i + 1))
+            w, following = F.get(words, i), F.get(words, i + 1)
             capital = following.rlike(r"^\p{Lu}")
             short = w.rlike(r"^\p{L}\.$") | _known(word_type(w), model.abbreviations)
             ends = (
-                F.when(w.rlike("[?!]$"), True)
+                F.when(F.endswith(w, F.lit("?")) | F.endswith(w, F.lit("!")), True)
                 .when(~F.endswith(w, F.lit(".")), False)
-                .when(~_stopped(w), capital)
+                .when(F.endswith(w, F.lit("..")), capital)
                 .when(short, capital & _known(word_type(following), model.starters))
                 .otherwise(~following.rlike(r"^\p{Ll}"))
             )
