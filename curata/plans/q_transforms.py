@@ -319,8 +319,8 @@ def several_files_scan(spark, sf_dir):
 @query("stem_scan", "SELECT 'role_' || role AS file_stem, count(*) AS rows FROM conversations GROUP BY role")
 def stem_scan(spark, sf_dir):
     rows, path = table(spark, sf_dir, "conversations"), _folder(spark, "stems")
-    for role in ("system", "user", "assistant"):  # a file each
-        B.write_single(rows.where(F.col("role") == role).select("conv_id", "turn"), f"{path}/role_{role}.jsonl")
+    for role in ("system", "user", "assistant"):  # a file each, in as many parts as tasks wrote
+        rows.where(F.col("role") == role).select("conv_id", "turn").write.json(f"{path}/role_{role}.jsonl")
     return B.scan_with_stem(spark, f"{path}/*.jsonl", "conv_id long, turn long").groupBy("file_stem").agg(F.count("*").alias("rows"))
 
 

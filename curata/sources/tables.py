@@ -44,9 +44,13 @@ def scan(spark: SparkSession, path: str | list[str], split: str = "train", schem
 
 
 def scan_with_stem(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
-    """JSON lines files of a glob, each row with its file's stem in ``file_stem``."""
+    """JSON lines files of a glob, each row with its file's stem in ``file_stem``: its name up to the first full stop.
+
+    A file may be a folder of parts, as Spark writes it; the folder's name counts then.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(pattern).withColumn("file_stem", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+    name, folder = F.col("_metadata.file_name"), F.regexp_extract("_metadata.file_path", r"([^/.]+)[^/]*/[^/]*$", 1)
+    return reader.json(pattern).withColumn("file_stem", F.when(F.startswith(name, F.lit("part-")), folder).otherwise(F.regexp_extract(name, r"^([^.]+)", 1)))
 
 
 def conversation_messages(turns: DataFrame) -> DataFrame:

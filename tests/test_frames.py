@@ -53,3 +53,15 @@ def test_shards(spark, tmp_path):
     found = {(r.n, r.number, r.reason) for r in frames.damage(hurt).withColumn("n", name).collect()}
     assert found == {("a", 1, "damaged"), ("d", 1, "missing")}
     assert [r.n for r in frames.reassembled(hurt).withColumn("n", name).collect()] == ["c"]
+
+
+def test_stems(spark, tmp_path):
+    """A plain file, one in a folder of parts, and names with several full stops."""
+    from curata.sources import tables
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "one.v2.jsonl").write_text('{"id": 1}\n{"id": 2}\n')
+    spark.range(10, 40).repartition(3).write.json(f"{folder}/many_parts.jsonl")
+    got = {r.file_stem: r["count"] for r in tables.scan_with_stem(spark, f"{folder}/*.jsonl", "id long").groupBy("file_stem").count().collect()}
+    assert got == {"one": 2, "many_parts": 30}
