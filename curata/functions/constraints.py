@@ -55,6 +55,17 @@ def compared(n: Column, relation: str, limit: float, around: float = 0) -> Colum
     return F.abs(n - limit) <= around
 
 
+def whole_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else.
+
+    Spark's parser stops after the first value and takes what follows for granted. So the text is parsed again as the first
+    of two elements, of which the second is the text's digest: it is only found there if one value ends right before it.
+    """
+    digest = F.md5(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+    return F.try_parse_json(text).isNotNull() & F.coalesce(F.try_variant_get(pair, "$[1]", "string") == digest, F.lit(False))
+
+
 def literal(word: str) -> str:
     return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", word)
 
@@ -137,7 +148,7 @@ FUNCTIONS: dict[str, Check] = {
     "validate_choice": lambda t, options: F.exists(F.array(*map(F.lit, options)), lambda o: F.contains(o, t)),
     "validate_highlighted_sections": lambda t, N: count(t, r"\*.*?\*") >= N,
     "validate_sections": validate_sections,
-    "validate_json_format": lambda t: F.try_parse_json(t).isNotNull(),
+    "validate_json_format": whole_json,
     "validate_repeat_prompt": lambda t, original_prompt: F.startswith(t, F.lit(original_prompt)),
     "validate_two_responses": validate_two_responses,
     "validate_uppercase": lambda t: t == F.upper(t),

@@ -407,3 +407,11 @@ def test_mixing_keeps_clashing_columns(spark):
     assert len(first) == 10 and all([r[n] for n in names if n != "place"] == [v for n, v in zip(names, want[r.id], strict=True) if n != "place"] for r in first)
     numbered = mixing.numbered(df, "id").collect()
     assert [r["index"] for r in sorted(numbered)] == list(range(60)) and all([r[n] for n in names] == want[r.id] for r in numbered)
+
+
+@pytest.mark.parametrize(
+    ("text", "valid"),
+    [('{"a": [1, 2]}', True), (" 12 ", True), ('"x"', True), ("4537960215852590 Thinthen oror", False), ("1,2", False), ("1],[2", False), ('1,"x"]', False), ('{"a": 1} {"b": 2}', False), ("12 -", False), ("", False)],
+)
+def test_json_is_the_whole_text(spark, text, valid):
+    assert value(spark, K.FUNCTIONS["validate_json_format"](F.lit(text))) is valid
