@@ -202,7 +202,7 @@ def highlights(t: Column, n: int) -> Column:
 
 def json_format(t: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.trim(t), r"^```(?:json|Json|JSON)?", ""), r"```$", "")
-    return F.try_parse_json(F.trim(bare)).isNotNull()
+    return whole_json(F.trim(bare))
 
 
 def two_responses(t: Column) -> Column:

@@ -415,3 +415,4 @@ def test_mixing_keeps_clashing_columns(spark):
 )
 def test_json_is_the_whole_text(spark, text, valid):
     assert value(spark, K.FUNCTIONS["validate_json_format"](F.lit(text))) is valid
+    assert value(spark, K.INSTRUCTIONS["detectable_format:json_format"](F.lit(text))) is valid
