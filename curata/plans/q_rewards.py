@@ -402,7 +402,8 @@ z AS (SELECT doc_id, count(*) FILTER (ends OR last) AS sentences FROM y GROUP BY
 SELECT doc_id, coalesce(sentences, 0)::INTEGER AS sentences, coalesce(sentences, 0) >= 5 AS five FROM documents LEFT JOIN z USING (doc_id)""")
 def learned_sentences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = N.learn(docs)
-    split = lambda t: N.split_sentences(t, model)
+    abbreviations, starters = N.learn_all(docs)
+    docs = N.with_starters(docs, "text", abbreviations, starters, "known")
+    split = lambda t: N.split_sentences(t, N.SentenceModel(abbreviations, F.col("known")))
     five = K.with_models(split)["length_constraints:number_sentences"](F.col("text"), 5, "at least")
     return docs.select("doc_id", F.size(split(F.col("text"))).alias("sentences"), F.coalesce(five, F.lit(False)).alias("five"))

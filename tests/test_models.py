@@ -107,3 +107,16 @@ def test_learned_model(spark, corpus):
     count = K.with_models(split)["length_constraints:number_sentences"]
     assert values(spark, texts, lambda t: count(t, 3, "at least")) == [True, True]
     assert sentences.learn(corpus.limit(0)) == sentences.SentenceModel(tuple(sorted(sentences.TITLES)), ())
+
+
+def test_all_starters_count(spark, corpus, monkeypatch):
+    """A model may hold a few starters only, but the table has all of them; null, empty and equal texts keep their rows."""
+    monkeypatch.setattr(sentences, "MOST", 1)
+    assert len(sentences.learn(corpus).starters) == 1
+    abbreviations, starters = sentences.learn_all(corpus)
+    assert "xqz" in abbreviations and {"the", "however", "nobody"} <= {r.type for r in starters.collect()}
+    texts = [f"The river saw xqz. {w} came." for w in ("The", "However", "Nobody", "Miller", "However")] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    rows = sentences.with_starters(rows, "t", abbreviations, starters, "known")
+    split = sentences.split_sentences(F.col("t"), sentences.SentenceModel(abbreviations, F.col("known")))
+    assert [r.n for r in rows.select("i", F.size(split).alias("n")).orderBy("i").collect()] == [2, 2, 2, 1, 2, 0, 0]
