@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +65,7 @@ def running_groups(stream: DataFrame, group: str, score: str, wanted: int, solve
         full, at = [], 0
         while not done and len(scores) - at >= wanted:
             known = [x for x in scores[at : at + wanted] if x is not None]
-            mean = sum(known) / len(known) if known else None
+            mean = reduce(add, known) / len(known) if known else None  # sum() compensates, and no SQL does: 480.0 is then 479.99...
             done = mean is not None and mean >= solved_at
             varied = bool(known) and max(known) > min(known)
             full.append((key[0], number, places[at], wanted, None if mean is None else round(mean, 6), varied, done))

@@ -134,3 +134,13 @@ def test_unfinished_state_does_not_count(spark, tmp_path):
     spark.createDataFrame([(5, 0)], "id long, epoch long").write.parquet(f"{path}/step=1/excluded")
     at, excluded = loader.load(spark, path, "id")
     assert at == loader.State(0, 0, 3) and excluded.collect() == []
+
+
+def test_means_add_in_order(spark, tmp_path):
+    """Eight scores whose plain sum stays just under 480: SQL's mean does not reach 60, so the prompt goes on."""
+    scores = [118.21, 37.48, 96.85, 16.74, 52.0, 5.01, 3.65, 150.06]
+    put(spark, f"{tmp_path}/in", [[(i, "a", s) for i, s in enumerate(scores + [60.0] * 9)]], ROLLOUTS)
+    groups = steps.running_groups(steps.rollout_stream(spark, f"{tmp_path}/in", ROLLOUTS), "prompt", "score", 8, 60, "id")
+    steps.run_available(groups, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.schema(groups.schema).parquet(f"{tmp_path}/out").orderBy("number").collect()
+    assert [(r.first, r.mean, r.solved) for r in got] == [(0, 60.0, False), (8, 60.0, True)]
