@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curata.functions.constraints import whole_json
 from curata.functions.native import let
 
 _CALL = "struct<place:int,name:string,arguments:string,error:string>"
@@ -66,9 +67,9 @@ def json_calls(text: Column, tools: list[dict], opening: str = "<tool_call>", cl
 
     def checked(x: Column) -> Column:
         content = F.regexp_replace(x["content"], r"^\s+|\s+$", "")
-        whole = F.coalesce(F.try_parse_json(content).isNotNull(), F.lit(False)) & F.startswith(content, F.lit("{"))
+        whole = F.coalesce(whole_json(content), F.lit(False)) & F.startswith(content, F.lit("{"))
         name, given = F.get_json_object(content, "$.name"), F.coalesce(F.get_json_object(content, "$.arguments"), F.lit("{}"))
-        object_ = F.coalesce(F.try_parse_json(given).isNotNull(), F.lit(False)) & F.startswith(F.trim(given), F.lit("{"))
+        object_ = F.coalesce(whole_json(given), F.lit(False)) & F.startswith(F.trim(given), F.lit("{"))
         missing = F.lit(None).cast("string")
         for t in tools:
             required = t["function"].get("parameters", {}).get("required", [])

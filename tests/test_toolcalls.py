@@ -90,3 +90,9 @@ def test_rendered_functions(spark):
     assert got[2] == f"{start('system')}Be kind. <functions>[f]</functions>{close}" and got[3] == f"{start('system')}S{close}"
     asked = df.select(messages.render_functions(F.col("m"), generate=True, opened="<think>").alias("t")).collect()
     assert asked[2].t.endswith(f"{close}{start('assistant')}<think>") and asked[3].t == ""
+
+
+def test_json_calls_are_whole(spark):
+    text = '<tool_call>{"name": "run"} and more</tool_call> <tool_call>{"name": "run", "arguments": "{} {}"}</tool_call>'
+    got = toolcalls.call_rows(spark.createDataFrame([(1, text)], "i long, t string"), "i", toolcalls.json_calls(F.col("t"), [RUN])).orderBy("number").collect()
+    assert [r.error for r in got] == ["no JSON object", "arguments are no object"]
