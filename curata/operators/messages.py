@@ -337,7 +337,8 @@ def tree_paths(nodes: DataFrame, top: int) -> DataFrame:
     """Paths from roots to leaves of ``id, parent_id, text, quality, deleted``: ``leaf_id, path, texts``.
 
     Deleted nodes end their branch; of the replies to a message the ``top`` best count. One join for each level until no
-    path grows; every level is a written table, so none is computed twice. Nodes in a cycle hang on no root and are absent.
+    path grows, which tells the leaves too; every level is a written table, so none is computed twice, and the result reads
+    these tables without a join: no task holds more than one. Nodes in a cycle hang on no root and are absent.
     """
     rank = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc_nulls_last("quality"), "id"))
     live = nodes.where(~F.coalesce("deleted", F.lit(False)))
@@ -345,15 +346,16 @@ def tree_paths(nodes: DataFrame, top: int) -> DataFrame:
         live.where("parent_id is not null").withColumn("r", rank).where(F.col("r") <= top).select("id", "parent_id", "text")
     )
     kept = materialize(kept, "tree-nodes")
-    child = kept.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"), "text")
-    level = materialize(kept.where("parent_id is null").select("id", F.array("id").alias("path"), F.array("text").alias("texts")), "tree-level")
+    child = kept.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("id"), F.col("text").alias("next"))
+    level = kept.where("parent_id is null").select("id", F.array("id").alias("path"), F.array("text").alias("texts"))
     ends = None
-    while not level.isEmpty():
-        done = level.join(child.select("id").distinct(), "id", "left_anti")
+    while True:
+        met = materialize(level.join(child, "id", "left"), "tree-level")
+        done = met.where("child is null").select(F.col("id").alias("leaf_id"), "path", "texts")
         ends = done if ends is None else ends.unionByName(done)
-        level = level.join(child, "id").select(F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path"), F.array_append("texts", F.col("text")).alias("texts"))
-        level = materialize(level, "tree-level")
-    return (level if ends is None else ends).withColumnRenamed("id", "leaf_id")
+        level = met.where("child is not null").select(F.col("child").alias("id"), F.array_append("path", F.col("child")).alias("path"), F.array_append("texts", F.col("next")).alias("texts"))
+        if level.isEmpty():
+            return ends
 
 
 # tools

@@ -416,3 +416,13 @@ def test_mixing_keeps_clashing_columns(spark):
 def test_json_is_the_whole_text(spark, text, valid):
     assert value(spark, K.FUNCTIONS["validate_json_format"](F.lit(text))) is valid
     assert value(spark, K.INSTRUCTIONS["detectable_format:json_format"](F.lit(text))) is valid
+
+
+def test_tree_result_joins_nothing(spark):
+    """Every level is joined and written once; the result only reads, so no task holds the joins of all levels."""
+    rows = [(i, (i - 1) // 2 if i else None, f"t{i}", float(i % 3), i == 5) for i in range(40)]
+    paths = M.tree_paths(spark.createDataFrame(rows, "id long, parent_id long, text string, quality double, deleted boolean"), 2)
+    assert "Join" not in paths._jdf.queryExecution().executedPlan().toString()
+    got = {r.leaf_id: r.path for r in paths.collect()}
+    assert got[31] == [0, 1, 3, 7, 15, 31] and got[30] == [0, 2, 6, 14, 30]
+    assert not {5, 11, 23, 24} & got.keys() and paths.columns == ["leaf_id", "path", "texts"]
