@@ -18,6 +18,8 @@ GRAM = 8
 PHRASE_BYTES = 16_000_000
 #: Query vectors that are broadcast at once; more are taken in blocks.
 QUERY_BLOCK = 4096
+#: Queries and vectors whose scores a task holds at once.
+TILE = 256, 4096
 
 
 def index_docs(turns: DataFrame, role: str = "user") -> DataFrame:
@@ -154,25 +156,56 @@ def normalized(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """An array column of vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def take_best(ids: np.ndarray, queries: np.ndarray, score: np.ndarray, name: np.ndarray, own: np.ndarray, x: np.ndarray) -> None:
+    """Bring ``score`` and ``name``, the best of each query so far, up to date with the vectors ``x`` of ids ``own``.
+
+    In tiles of ``TILE`` queries and vectors, so memory does not grow with either. Only scores that reach a query's last
+    one are sorted. Ties go to the lesser id, and a query is not its own neighbour.
+    """
+    k = score.shape[1]
+    for at in range(0, len(x), TILE[1]):
+        there, vectors = own[at : at + TILE[1]], x[at : at + TILE[1]].T
+        for lo in range(0, len(ids), TILE[0]):
+            part = slice(lo, lo + TILE[0])
+            best, held = score[part], name[part]  # views
+            s = np.round(queries[part] @ vectors, 6)
+            s[(ids[part][:, None] == there) | np.isnan(s)] = -np.inf
+            floor = best[:, -1]
+            if s.shape[1] > k and np.isneginf(floor).any():
+                floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+            q, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+            if len(q):
+                row, value, who = np.r_[q, np.repeat(np.arange(len(best)), k)], np.r_[s[q, j], best.ravel()], np.r_[there[j], held.ravel()]
+                order = np.lexsort((who, -value, row))
+                row = row[order]
+                top = order[np.arange(len(row)) - np.searchsorted(row, np.arange(len(best)))[row] < k]
+                best[:], held[:] = value[top].reshape(-1, k), who[top].reshape(-1, k)
+
+
+def no_best(queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and names of queries that have met no vector."""
+    return np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+
+def best_rows(ids: np.ndarray, score: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    """``query_id, vec_id, score`` of what queries found."""
+    q, place = np.nonzero(score > -np.inf)
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(name[q, place]), pa.array(score[q, place])], ["query_id", "vec_id", "score"])
+
+
 def _nearest(get, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = get()
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        score, name = no_best(len(ids), k)
         for batch in batches:
-            vectors = np.array(batch.column("vector").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            own = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            if not len(own):
-                continue
-            scores = np.round(queries @ vectors.T, 6)
-            for q, row in enumerate(scores):
-                floor = np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else -np.inf
-                near = [(-row[j], int(own[j])) for j in np.flatnonzero(row >= floor) if own[j] != ids[q]]
-                best[q] = sorted(best[q] + near)[:k]
-        rows = [(ids[q], v, -s) for q, b in enumerate(best) for s, v in b]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())],
-            ["query_id", "vec_id", "score"],
-        )
+            if batch.num_rows:
+                take_best(ids, queries, score, name, batch.column("vec_id").to_numpy(zero_copy_only=False), matrix(batch.column("vector")))
+        yield best_rows(ids, score, name)
 
     return run
 
@@ -181,16 +214,18 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     """The ``k`` nearest vectors by cosine of each query other than itself: ``query_id, vec_id, score, rank``.
 
     Exact: blocks of queries are broadcast, each task multiplies its vectors with a block and keeps its ``k`` best, and
-    those are merged. Ties go to the lesser id.
+    those are merged. Ties go to the lesser id. Null vectors take no part. The memory of a task is bounded by a block of
+    queries and a tile of scores, however many rows there are.
     """
     spark = vectors.sparkSession
+    vectors, queries = (df.where(F.col("embedding").isNotNull()) for df in (vectors, queries))
     unit = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), normalized(F.col("embedding")).alias("vector"))
     wanted = materialize(queries.select(F.col("vec_id").cast("long").alias("vec_id"), normalized(F.col("embedding")).alias("vector")), "queries")
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     found = None
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        get = share(spark, ([r.vec_id for r in rows], np.array([r.vector for r in rows], dtype=np.float64).reshape(len(rows), -1)))
+        get = share(spark, (np.array([r.vec_id for r in rows], dtype=np.int64), np.array([r.vector for r in rows], dtype=np.float64).reshape(len(rows), -1)))
         part = unit.mapInArrow(_nearest(get, k), "query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -3,9 +3,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from curata.operators import cells
+from curata.operators import cells, contamination
 
 SCHEMA = "vec_id long, embedding array<float>, label string"
 
@@ -58,3 +59,25 @@ def test_few_rows(spark, groups):
     for units in (none, one):
         centroids = cells.learn_centroids(units, 8)
         assert cells.cell_topk(cells.index_cells(units, centroids), units, centroids, 5, cells.probes_for(units, centroids, 0.9)).collect() == []
+
+
+def test_memory_of_a_task_is_a_tile(spark, groups):
+    """Ten thousand vectors against three thousand queries hold tiles of scores, not all 30 million of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(10_000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[5_000:5_040] = x[7]  # ties
+    ids = np.arange(10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], ["vec_id", "vector"])
+    tracemalloc.start()
+    (got,) = contamination._nearest(lambda: (ids[:3_000], x[:3_000]), 5)(iter([batch]))
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    found = {}
+    for q, v, s in sorted(zip(*(c.to_pylist() for c in got.columns), strict=True), key=lambda r: (r[0], -r[2], r[1])):
+        found.setdefault(q, []).append(v)
+    for q in (0, 7, 2_999):
+        s = np.round(x @ x[q], 6)
+        assert found[q] == [i for _, i in sorted((-s[j], j) for j in range(10_000) if j != q)[:5]]
