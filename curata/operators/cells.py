@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.operators.contamination import normalized
+from curata.operators.contamination import best_rows, matrix, no_best, normalized, take_best
 from curata.runtime import join_checked, materialize, share
 
 #: Rows that centroids are learned from, chosen by a hash of the id, and rounds of k-means.
@@ -66,10 +66,6 @@ def probes_for(units: DataFrame, centroids: np.ndarray, target: float, k: int =
     return int(np.searchsorted(counts, target * counts[-1])) + 1
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def _dealt(units: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """``cell, vec_id, vector`` of each vector under its nearest ``probes`` centroids; ties go to the first."""
     get = share(units.sparkSession, centroids)
@@ -77,7 +73,7 @@ def _dealt(units: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column("vector")) @ get().T), axis=1, kind="stable")[:, :probes]
+                near = np.argsort(-(matrix(batch.column("vector")) @ get().T), axis=1, kind="stable")[:, :probes]
                 taken = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), *taken.columns], ["cell", "vec_id", "vector"])
 
@@ -99,23 +95,16 @@ def _nearest_of(k: int):
             nonlocal best, ids, queries
             if best is None:
                 ids, queries = np.concatenate(ids), np.concatenate(queries)
-                best = (np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max))
-            for at in range(0, len(ids), 256):
-                part = slice(at, at + 256)
-                s = np.round(queries[part] @ x.T, 6)
-                s[ids[part][:, None] == own] = -np.inf  # not itself
-                score, name = np.c_[best[0][part], s], np.c_[best[1][part], np.broadcast_to(own, s.shape)]
-                order = np.lexsort((name, -score), axis=1)[:, :k]
-                best[0][part], best[1][part] = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
+                best = no_best(len(ids), k)
+            take_best(ids, queries, *best, own, x)
 
         def done() -> Iterator[pa.RecordBatch]:
             if best is not None:
-                q, place = np.nonzero(best[0] > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best[1][q, place]), pa.array(best[0][q, place])], ["query_id", "vec_id", "score"])
+                yield best_rows(ids, *best)
 
         for batch in batches:
             units, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "role"))
-            own, x = batch.column("vec_id").to_numpy(zero_copy_only=False), _matrix(batch.column("vector")) if batch.num_rows else None
+            own, x = batch.column("vec_id").to_numpy(zero_copy_only=False), matrix(batch.column("vector")) if batch.num_rows else None
             cuts = np.flatnonzero(np.r_[True, (units[1:] != units[:-1]) | (role[1:] != role[:-1])]) if batch.num_rows else []
             for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 if units[lo] != unit:
