@@ -9,14 +9,19 @@ places of its other tokens compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curata.functions.text import analyzed
-from curata.runtime import join_checked, materialize
+from curata.runtime import arrow_rows, join_checked, materialize
 
 #: Folders of a segment, and files of each, over which a frequent token is spread; more for more documents in a segment.
 BUCKETS, SPREAD = 32, 2
+#: Words of the documents whose places a task holds at once, and one document.
+BATCH_WORDS = 100_000
 
 
 def _bucket(token: str = "token"):
@@ -32,6 +37,29 @@ def _manifest(spark: SparkSession, path: str) -> list:
     return spark.read.schema("segment int, last_id long, docs long").parquet(*whole).orderBy("segment").collect()  # a row for each segment
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``token, doc_id, places`` of each document: its words are all in one row, so no shuffle brings them together."""
+    for batch in batches:
+        tokens, ids, lists, held = [], [], [], 0
+        for doc, words in zip(batch.column("doc_id").to_pylist(), batch.column("t"), strict=True):
+            places: dict[str, list[int]] = {}
+            for at, word in enumerate(words.as_py()):
+                places.setdefault(word, []).append(at)
+            tokens += places
+            lists += places.values()
+            ids += [doc] * len(places)
+            held += len(words)
+            if held >= BATCH_WORDS:
+                yield _posting_rows(tokens, ids, lists)
+                tokens, ids, lists, held = [], [], [], 0
+        if ids:
+            yield _posting_rows(tokens, ids, lists)
+
+
+def _posting_rows(tokens: list, ids: list, lists: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["token", "doc_id", "places"])
+
+
 def extend(docs: DataFrame, path: str) -> int:
     """Index the documents of ``docs(doc_id, text)`` that have a larger id than any indexed before; how many they were.
 
@@ -39,14 +67,14 @@ def extend(docs: DataFrame, path: str) -> int:
     come in one call, and their tokens are as if each were a document.
     """
     spark = docs.sparkSession
+    arrow_rows(spark)
     done = _manifest(spark, path)
     new = docs.where(F.col("doc_id").isNotNull() & (F.col("doc_id") > done[-1].last_id if done else F.lit(True)))
     count, last = new.agg(F.count("*"), F.max("doc_id")).first()
     if not count:
         return 0
     number = done[-1].segment + 1 if done else 0
-    words = new.withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "copy", F.posexplode(analyzed(F.coalesce("text", F.lit("")))).alias("place", "token"))
-    held = words.groupBy("token", "doc_id", "copy").agg(F.sort_array(F.collect_list("place")).alias("places")).drop("copy")  # the places in one document
+    held = new.select(F.col("doc_id").cast("long").alias("doc_id"), analyzed(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(_places, "token string, doc_id long, places array<int>")
     folder = f"{path}/postings/segment={number}"
     held.select("*", _bucket()).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(folder)
     written = spark.read.schema("token string, doc_id long, places array<int>, bucket int").parquet(folder)

@@ -100,3 +100,14 @@ def test_suites(spark, tables):
     report = contamination.suite_report(d.withColumn("kind", d.doc_id % 2), found, ["even", "odd", "empty"], "kind", 0.4).collect()
     assert {r.kind for r in report} == {0, 1, None} and all(r.empty == 0.0 for r in report)
     assert sum(r.rows for r in report) == len(docs)
+
+
+def test_places_need_no_shuffle():
+    """Each document's places come from its own row, in bounded batches; equal ids and empty texts too."""
+    import pyarrow as pa
+
+    from curata.operators import postings
+
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 3, 4, 5]), pa.array([["a", "b", "a"], ["a"], [], ["é"]])], ["doc_id", "t"])
+    got = [tuple(r.values()) for b in postings._places(iter([batch])) for r in b.to_pylist()]
+    assert got == [("a", 3, [0, 2]), ("b", 3, [1]), ("a", 3, [0]), ("é", 5, [0])]
