@@ -44,9 +44,12 @@ def squeezed(text: Column) -> Column:
 
 
 def normalize_answer(text: Column) -> Column:
-    """Lower case, no ASCII punctuation, no articles, single blanks."""
+    """Lower case, no ASCII punctuation, no articles, single blanks.
+
+    Most characters begin no article, so their pattern looks at the letter before it looks behind.
+    """
     bare = F.regexp_replace(F.lower(text), r"""[!-/:-@\[-`{-~]""", "")
-    return squeezed(F.regexp_replace(bare, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " "))
+    return squeezed(F.regexp_replace(bare, r"(?=[at])(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " "))
 
 
 def after_last(text: Column, mark: str) -> Column:

@@ -98,7 +98,8 @@ def search_f1(prediction: Column, labels: Column) -> Column:
 def search_match(prediction: Column, labels: Column) -> Column:
     """Whether the first text in finish tags, in any case, equals a label after normalisation."""
     answer = F.trim(F.regexp_extract(prediction, r"(?is)<finish>(.*?)</finish>", 1))
-    return score((answer != "") & F.exists(labels, lambda g: normalize_answer(g) == normalize_answer(answer)))
+    equal = lambda a: (a != "") & let(normalize_answer(a), lambda n: F.exists(labels, lambda g: normalize_answer(g) == n))
+    return score(let(answer, equal))  # the answer is found and normalised once, however many labels there are
 
 
 def length_closeness(tokens: Column, wanted: Column, longest: float) -> Column:
