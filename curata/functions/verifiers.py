@@ -92,7 +92,7 @@ def search_f1(prediction: Column, labels: Column) -> Column:
     formed = F.contains(prediction, F.lit("<finish>")) | F.contains(prediction, F.lit("</finish>"))
     answer = before_first(after_last(prediction, "<finish>"), "</finish>")
     f1 = F.array_max(F.transform(labels, lambda g: token_f1(answer, g)["f1"]))
-    return F.when(~formed | (answer == ""), 0.0).when(f1 == 0, 0.1).otherwise(f1)
+    return F.when(~formed | (answer == ""), 0.0).otherwise(let(f1, lambda x: F.when(x == 0, 0.1).otherwise(x)))
 
 
 def search_match(prediction: Column, labels: Column) -> Column:
