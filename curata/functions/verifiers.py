@@ -53,20 +53,22 @@ def token_f1(prediction: Column, label: Column) -> Column:
 
     def of(p: Column) -> Column:
         def with_label(g: Column) -> Column:
-            tagged = lambda a, side: F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
-            start = F.struct(F.lit("").alias("w"), *(F.lit(0).alias(n) for n in ("p", "g", "same")))
-
-            def step(s: Column, x: Column) -> Column:
-                """Equal words lie side by side: what both sides have of a word counts when the next word comes."""
-                new, side = s["w"] != x["w"], lambda k: F.when(x["side"] == k, 1).otherwise(0)
-                left = lambda n: F.when(new, F.lit(0)).otherwise(s[n])
-                return F.struct(
-                    x["w"].alias("w"), (left("p") + side(0)).alias("p"), (left("g") + side(1)).alias("g"),
-                    (s["same"] + F.when(new, F.least(s["p"], s["g"])).otherwise(0)).alias("same"),
-                )
-
-            both = F.sort_array(F.concat(tagged(p, 0), tagged(g, 1)))
-            same = F.aggregate(both, start, step, lambda s: s["same"] + F.least(s["p"], s["g"]))
+            # Words have no blanks: sorted with their sides, a word's run on one side is followed by that on the other.
+            tagged = lambda a, side: F.transform(a, lambda w: F.concat(w, F.lit(f" {side}")))
+
+            def shared(both: Column) -> Column:
+                starts = F.transform(both, lambda x, i: F.when(F.get(both, i - 1) == x, None).otherwise(i))
+                return let(F.filter(starts, lambda i: i.isNotNull()), lambda runs: summed(both, runs))
+
+            def summed(both: Column, runs: Column) -> Column:
+                def of_run(at: Column, k: Column) -> Column:
+                    x, other, end = F.get(both, at), F.get(runs, k + 1), F.coalesce(F.get(runs, k + 2), F.size(both))
+                    met = F.get(both, other) == F.concat(F.substring(x, F.lit(1), F.length(x) - 1), F.lit("1"))
+                    return F.when(met, F.least(other - at, end - other)).otherwise(0)
+
+                return F.aggregate(F.transform(runs, of_run), F.lit(0), lambda n, x: n + x)
+
+            same = let(F.sort_array(F.concat(tagged(p, 0), tagged(g, 1))), shared)
 
             def rates(s: Column) -> Column:
                 precision, recall = s / F.size(p), s / F.size(g)
