@@ -7,17 +7,22 @@ sentences are made for a detector and a splitter, see :func:`with_models`, which
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curata.functions.native import let
+from curata.functions.native import BLANKS, let
 
 W = r"[\p{L}\p{N}_]"
+TOKEN = rf"{W}+|[^\p{{L}}\p{{N}}_\s]"
 Check = Callable[..., Column]
 
+#: Characters in which :func:`unique_tokens` first looks for a repeated token.
+HEAD = 512
+
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
@@ -29,7 +34,7 @@ def split_words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words and single marks."""
-    return F.regexp_extract_all(text, F.lit(rf"{W}+|[^\p{{L}}\p{{N}}_\s]"), 0)
+    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
 
 
 def sentences(text: Column) -> Column:
@@ -40,9 +45,36 @@ def count(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), 0))
 
 
-def whole_words(text: Column, pattern: str) -> Column:
-    """How many words match a pattern as a whole."""
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit(f"{W}+"), 0), lambda w: w.rlike(f"^(?:{pattern})$")))
+def reaches(text: Column, others: str, unit: str, n: int) -> Column:
+    """Whether a text has ``n`` units, each after any number of other things.
+
+    The pattern stops at the last unit needed and makes no array. Its loops are possessive: they never look back, and need no
+    stack however long the text is.
+    """
+    return text.rlike(rf"\A(?:(?:{others})*+{unit}){{{max(n, 0)}}}+")
+
+
+def letters(text: Column) -> Callable[[int], Column]:
+    """Whether a text has at least so many ASCII letters."""
+    return lambda n: reaches(text, "[^a-zA-Z]", "[a-zA-Z]", n)
+
+
+def whole_words(text: Column, chars: str = W) -> Callable[[int], Column]:
+    """Whether a text has at least so many words made of a class of word characters only."""
+    return lambda n: reaches(text, rf"[^\p{{L}}\p{{N}}_]+|(?!{chars}+(?!{W})){W}+", f"{chars}+(?!{W})", n)
+
+
+def capital_words(text: Column) -> Column:
+    """How many tokens upper case leaves and lower case changes.
+
+    In ASCII texts a pattern finds them. In others, words without small ASCII letters and marks beyond ASCII are taken out and
+    compared. Java looks behind by 16 bits, so that it is two for one character beyond them.
+    """
+    ascii = count(text, r"(?=[A-Z0-9_])(?<!\w)[0-9_]*[A-Z][A-Z0-9_]*(?!\w)")
+    big = rf"(?!.[a-z])(?<!{W}{{1,2}})[\p{{L}}\p{{N}}_&&[^a-z]]++(?!{W})"
+    some = F.regexp_extract_all(text, F.lit(rf"(?=[A-Z0-9_\x{{80}}-\x{{10FFFF}}])(?:{big}|[^\x00-\x7F\p{{L}}\p{{N}}])"), 0)
+    capital = F.size(F.filter(some, lambda w: (w == F.upper(w)) & (w != F.lower(w))))
+    return F.when(F.octet_length(text) == F.length(text), ascii).otherwise(capital)
 
 
 def compared(n: Column, relation: str, limit: float, around: float = 0) -> Column:
@@ -55,6 +87,17 @@ def compared(n: Column, relation: str, limit: float, around: float = 0) -> Colum
     return F.abs(n - limit) <= around
 
 
+def bounded(reached: Callable[[int], Column], relation: str, limit: float, around: float = 0) -> Column:
+    """:func:`compared` for a number of which only is known whether it is ``n`` or more."""
+    if relation == "at least":
+        return reached(math.ceil(limit))
+    if relation == "less than":
+        return ~reached(math.ceil(limit))
+    if relation == "at most":
+        return ~reached(math.floor(limit) + 1)
+    return reached(math.ceil(limit - around)) & ~reached(math.floor(limit + around) + 1)
+
+
 def whole_json(text: Column) -> Column:
     """Whether a text is one JSON value and nothing else.
 
@@ -129,7 +172,7 @@ def validate_two_responses(t: Column) -> Column:
 
 
 def validate_frequency_capital_words(t: Column, N: int, quantifier: str) -> Column:
-    return compared(whole_words(t, "[A-Z]+"), quantifier, N)
+    return bounded(whole_words(t, "[A-Z]"), quantifier, N)
 
 
 FUNCTIONS: dict[str, Check] = {
@@ -253,11 +296,30 @@ def bare(word: Column) -> Column:
 
 
 def unique_tokens(t: Column) -> Column:
-    return let(tokens(t), lambda ws: F.size(F.array_distinct(ws)) == F.size(ws))
+    """Most texts repeat a token early. Where the first ``HEAD`` characters do not, all tokens of the text are compared.
+
+    The last token of the head is left out, for it may be part of a longer one.
+    """
+    unique = lambda ws: F.size(F.array_distinct(ws)) == F.size(ws)
+    head = let(tokens(F.substring(t, 1, HEAD)), lambda ws: unique(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0)))))
+    return head & let(tokens(t), unique)
 
 
 def start_is_end(t: Column) -> Column:
-    return let(tokens(t), lambda ws: (F.size(ws) > 1) & F.coalesce(F.lower(F.get(ws, F.lit(0))) == F.lower(F.try_element_at(ws, F.lit(-1))), F.lit(False)))
+    """A token is a run of word characters or a single mark, so the last one is the first of the reversed text."""
+    first, last = F.regexp_extract(t, TOKEN, 0), F.reverse(F.regexp_extract(F.reverse(t), TOKEN, 0))
+    return F.coalesce((F.lower(first) == F.lower(last)) & (F.trim(t, F.lit(BLANKS)) != first), F.lit(False))
+
+
+def palindrome(t: Column) -> Column:
+    """A word of one character is one; only texts without any have their words reversed."""
+    return t.rlike(r"(?<!\S)\S(?!\S)") | F.exists(split_words(t), lambda w: w == F.reverse(w))
+
+
+def bounded_word(word: str) -> str:
+    """The pattern of a word that begins and ends where words do. Few characters begin it, so it is looked for before what precedes it."""
+    ahead = f"(?={word})" if word.isalnum() else ""
+    return rf"(?i){ahead}(?<!{W}){word}(?!{W})"
 
 
 def section_count(t: Column, section_spliter: str, num_sections: int) -> Column:
@@ -267,16 +329,16 @@ def section_count(t: Column, section_spliter: str, num_sections: int) -> Column:
 INSTRUCTIONS: dict[str, Check] = {
     "keywords:existence": lambda t, keywords: _all(t.rlike(f"(?i){k}") for k in keywords),
     "keywords:frequency": lambda t, keyword, frequency, relation: compared(count(t, f"(?i){keyword}"), relation, frequency),
-    "keywords:forbidden_words": lambda t, forbidden_words: _all(~t.rlike(rf"(?i)(?<!{W}){w}(?!{W})") for w in forbidden_words),
+    "keywords:forbidden_words": lambda t, forbidden_words: _all(~t.rlike(bounded_word(w)) for w in forbidden_words),
     "keywords:letter_frequency": lambda t, letter, let_frequency, let_relation: compared(F.length(t) - F.length(F.replace(F.lower(t), F.lit(letter.lower()), F.lit(""))), let_relation, let_frequency),
     "keywords:no_adjacent_consecutive": no_adjacent_initials,
     "keywords:word_once": lambda t, keyword: count(t, f"(?i){keyword}") == 1,
     "keywords:word_count_different_numbers": lambda t, keyword, frequency, relation: compared(count(t, f"(?i){keyword}"), relation, frequency),
     "keywords:exclude_word_harder": lambda t, keyword: ~F.contains(t, F.lit(f" {keyword} ")),
-    "keywords:palindrome": lambda t: F.exists(split_words(t), lambda w: w == F.reverse(w)),
+    "keywords:palindrome": palindrome,
     "keywords:start_end": start_is_end,
     "length_constraints:number_paragraphs": lambda t, num_paragraphs: starred_paragraphs(t, num_paragraphs),
-    "length_constraints:number_words": lambda t, num_words, relation: compared(count(t, f"{W}+"), relation, num_words),
+    "length_constraints:number_words": lambda t, num_words, relation: bounded(whole_words(t), relation, num_words),
     "length_constraints:nth_paragraph_first_word": nth_paragraph_first_word,
     "detectable_content:number_placeholders": lambda t, num_placeholders: count(t, r"\[.*?\]") >= num_placeholders,
     "detectable_content:postscript": postscript,
@@ -292,7 +354,7 @@ INSTRUCTIONS: dict[str, Check] = {
     "combination:repeat_prompt": lambda t, prompt_to_repeat: F.startswith(F.lower(F.trim(t)), F.lit(prompt_to_repeat.strip().lower())),
     "startend:end_checker": lambda t, end_phrase: F.endswith(F.lower(F.regexp_replace(F.trim(t), '^"+|"+$', "")), F.lit(end_phrase.strip().lower())),
     "startend:quotation": lambda t: (F.length(F.trim(t)) > 1) & F.startswith(F.trim(t), F.lit('"')) & F.endswith(F.trim(t), F.lit('"')),
-    "change_case:capital_word_frequency": lambda t, capital_frequency, capital_relation: compared(F.size(F.filter(tokens(t), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), capital_relation, capital_frequency),
+    "change_case:capital_word_frequency": lambda t, capital_frequency, capital_relation: compared(capital_words(t), capital_relation, capital_frequency),
     "punctuation:no_comma": lambda t: ~F.contains(t, F.lit(",")),
     "punctuation:punctuation_dot": lambda t: ~F.contains(t, F.lit(".")),
     "punctuation:punctuation_exclamation": lambda t: ~F.contains(t, F.lit("!")),
@@ -305,8 +367,8 @@ INSTRUCTIONS: dict[str, Check] = {
     "paragraphs:paragraphs2": lambda t: _paragraphs(F.split(t, "\n\n"), 2),
     "first_word:first_word_answer": lambda t, first_word: F.coalesce(F.lower(F.get(split_words(t), F.lit(0))) == first_word.lower(), F.lit(False)),
     "last_word:last_word_answer": lambda t, last_word: F.coalesce(bare(F.try_element_at(split_words(t), F.lit(-1))) == last_word.lower(), F.lit(False)),
-    "count:lowercase_counting": lambda t, n: whole_words(t, "[a-z]+") <= n,
-    "letters:letter_counting": lambda t, n, relation: compared(count(t, "[a-zA-Z]"), relation, n),
+    "count:lowercase_counting": lambda t, n: bounded(whole_words(t, "[a-z]"), "at most", n),
+    "letters:letter_counting": lambda t, n, relation: bounded(letters(t), relation, n),
     "letters:letter_counting2": lambda t, letter, let_frequency, let_relation: compared(F.length(t) - F.length(F.replace(F.lower(t), F.lit(letter.lower()), F.lit(""))), let_relation, let_frequency),
     "count:count_unique": unique_tokens,
     "count:count_increment_word": lambda t, keyword1, keyword2: (count(t, f"(?i){keyword1}") == 1) & (count(t, f"(?i){keyword2}") == 2),

@@ -445,3 +445,42 @@ def test_answer_is_read_once(spark):
     plan = lambda c: spark.range(1).select(F.lit("x").alias("p"), F.array(F.lit("a"), F.lit("b")).alias("g")).select(c.alias("v"))._jdf.queryExecution().analyzed().toString()
     assert plan(V.search_match(F.col("p"), F.col("g"))).count("<finish>") == 1
     assert plan(V.search_f1(F.col("p"), F.col("g"))).count("array_max") == 1
+
+
+WORD_CHECKS = [
+    ("length_constraints:number_words", {"num_words": 3, "relation": "at least"}, lambda t, ws, ts: len(ws) >= 3),
+    ("letters:letter_counting", {"n": 4, "relation": "less than"}, lambda t, ws, ts: sum(c.isascii() and c.isalpha() for c in t) < 4),
+    ("count:lowercase_counting", {"n": 2}, lambda t, ws, ts: sum(w.isascii() and w.isalpha() and w.islower() for w in ws) <= 2),
+    ("change_case:capital_word_frequency", {"capital_frequency": 2, "capital_relation": "at least"}, lambda t, ws, ts: sum(w == w.upper() != w.lower() for w in ts) >= 2),
+    ("keywords:start_end", {}, lambda t, ws, ts: len(ts) > 1 and ts[0].lower() == ts[-1].lower()),
+    ("count:count_unique", {}, lambda t, ws, ts: len(set(ts)) == len(ts)),
+    ("keywords:palindrome", {}, lambda t, ws, ts: any(w == w[::-1] for w in t.split())),
+]
+
+
+def test_checks_of_words(spark):
+    """Odd and long texts against plain Python; counts make no array of all words or letters of a text."""
+    import random
+    import unicodedata
+    from itertools import groupby
+
+    draw = random.Random(5)
+    parts = ["a", "b", "ab", "A", "AB", "The", "aba", " ", " ", "\n", "é", "É", "Ⓐ", "Ⅷ", "²", "中", "𝐀", "𐐀", "😀", "1", "_", ".", "-"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.choice((0, 1, 2, 3, 5, 9, 40)))) for _ in range(400)]
+    numbered = " ".join(f"w{i}" for i in range(400))
+    texts += [numbered, numbered + " w3", numbered[:512] + "5", "a" * 300_000, "É" * 300_000, "A." * 100_000, " " * 300_000 + "x"]
+
+    def tokens(t):
+        kind = lambda c: "W" if c == "_" or unicodedata.category(c)[0] in "LN" else "S" if c in " \n" else "M"
+        runs = [(k, "".join(g)) for k, g in groupby(t, kind)]
+        return [w for k, r in runs if k == "W" for w in [r]], [w for k, r in runs if k != "S" for w in ([r] if k == "W" else r)]
+
+    t = F.col("t")
+    checks = [K.INSTRUCTIONS[name](t, **args) for name, args, _ in WORD_CHECKS]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(t, *(c.alias(f"c{i}") for i, c in enumerate(checks))).collect()
+    for r in rows:
+        ws, ts = tokens(r.t)
+        assert list(r)[1:] == [plain(r.t, ws, ts) for *_, plain in WORD_CHECKS], r.t[:80]
+    frame = spark.createDataFrame([("",)], "t string")
+    for check in [*checks[:3], checks[4], K.FUNCTIONS["validate_frequency_capital_words"](t, N=2, quantifier="at least")]:
+        assert "regexp_extract_all" not in frame.select(check)._jdf.queryExecution().analyzed().toString()
