@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,6 +21,8 @@ PHRASE_BYTES = 16_000_000
 QUERY_BLOCK = 4096
 #: Queries and vectors whose scores a task holds at once.
 TILE = 256, 4096
+#: Rows of a group of vectors, where all groups meet all; fewer if tasks would be too few, but not under the second number for that.
+GROUP_ROWS = 65_536, 1_024
 
 
 def index_docs(turns: DataFrame, role: str = "user") -> DataFrame:
@@ -161,29 +164,45 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def take_best(ids: np.ndarray, queries: np.ndarray, score: np.ndarray, name: np.ndarray, own: np.ndarray, x: np.ndarray) -> None:
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """The same, divided by their lengths; zero vectors stay, and one with a null or infinite component has NaN."""
+    x = matrix(column).astype(np.float64)
+    with np.errstate(invalid="ignore"):
+        norm = np.sqrt((x * x).sum(axis=1))[:, None]
+        return x / np.where(norm > 0, norm, 1.0)
+
+
+def take_best(ids: np.ndarray, queries: np.ndarray, score: np.ndarray, name: np.ndarray, own: np.ndarray, x: np.ndarray, place: np.ndarray | None = None, base: int = 0) -> None:
     """Bring ``score`` and ``name``, the best of each query so far, up to date with the vectors ``x`` of ids ``own``.
 
     In tiles of ``TILE`` queries and vectors, so memory does not grow with either. Only scores that reach a query's last
-    one are sorted. Ties go to the lesser id, and a query is not its own neighbour.
+    one are rounded and sorted. Ties go to the lesser id, and a query is not its own neighbour. ``place`` is kept with
+    them: the row of each, the first of ``x`` being row ``base``.
     """
     k = score.shape[1]
     for at in range(0, len(x), TILE[1]):
         there, vectors = own[at : at + TILE[1]], x[at : at + TILE[1]].T
         for lo in range(0, len(ids), TILE[0]):
             part = slice(lo, lo + TILE[0])
-            best, held = score[part], name[part]  # views
-            s = np.round(queries[part] @ vectors, 6)
-            s[(ids[part][:, None] == there) | np.isnan(s)] = -np.inf
+            best, held, mine = score[part], name[part], ids[part]  # views
+            s = queries[part] @ vectors
             floor = best[:, -1]
-            if s.shape[1] > k and np.isneginf(floor).any():
-                floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
-            q, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-            if len(q):
-                row, value, who = np.r_[q, np.repeat(np.arange(len(best)), k)], np.r_[s[q, j], best.ravel()], np.r_[there[j], held.ravel()]
+            if np.isneginf(floor).any():
+                s[(mine[:, None] == there) | np.isnan(s)] = -np.inf
+                if s.shape[1] > k:
+                    floor = np.maximum(floor, np.round(np.partition(s, -k, axis=1)[:, -k], 6))
+            q, j = np.divmod(np.flatnonzero(s >= (floor - 1e-6)[:, None]), s.shape[1])  # what may round to the last one, too
+            value = np.round(s[q, j], 6)
+            better = (value > best[q, -1]) | (there[j] < held[q, -1])
+            fine = (value >= floor[q]) & (value > -np.inf) & (mine[q] != there[j]) & better
+            if fine.any():
+                q, j, value = q[fine], j[fine], value[fine]
+                row, value, who = np.r_[q, np.repeat(np.arange(len(best)), k)], np.r_[value, best.ravel()], np.r_[there[j], held.ravel()]
                 order = np.lexsort((who, -value, row))
                 row = row[order]
                 top = order[np.arange(len(row)) - np.searchsorted(row, np.arange(len(best)))[row] < k]
+                if place is not None:
+                    place[part] = np.r_[base + at + j, place[part].ravel()][top].reshape(-1, k)
                 best[:], held[:] = value[top].reshape(-1, k), who[top].reshape(-1, k)
 
 
@@ -230,3 +249,55 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _meeting(k: int):
+    """The task: the queries of one group, and then the vectors of another by their ids; the ``k`` best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, labels, best, base = [], [], None, 0
+        for batch in batches:
+            cut = int(np.count_nonzero(batch.column("role").to_numpy(zero_copy_only=False) == 0))
+            if cut:
+                asked.append(batch.slice(0, cut))
+            batch = batch.slice(cut)
+            if not (asked and batch.num_rows):
+                continue
+            if best is None:
+                queries = pa.Table.from_batches(asked).combine_chunks()
+                ids, x = queries.column("vec_id").to_numpy(), np.concatenate([unit_rows(b.column("vector")) for b in asked])
+                best, place = no_best(len(ids), k), np.zeros((len(ids), k), dtype=np.int64)
+            take_best(ids, x, *best, batch.column("vec_id").to_numpy(zero_copy_only=False), unit_rows(batch.column("vector")), place, base)
+            labels.append(batch.column("label"))
+            base += batch.num_rows
+        if best is not None:
+            score, name = best
+            q, at = np.nonzero(score > -np.inf)
+            found = [pa.array(ids[q]), queries.column("label").take(pa.array(q)), pa.array(name[q, at]), pa.chunked_array(labels).take(pa.array(place[q, at])), pa.array(score[q, at])]
+            yield from pa.table(found, names=["query_id", "query_label", "vec_id", "label", "score"]).combine_chunks().to_batches()
+
+    return run
+
+
+def vector_neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` nearest vectors by cosine of every vector, with the labels of both: ``query_id, query_label, vec_id, label, score, rank``.
+
+    The same rows as those of :func:`vector_topk` with all vectors as queries, but nothing passes through the driver: rows
+    are dealt into groups by a hash of the id, and each two groups meet in a task of their own, so work grows with the
+    square of the rows and a task's memory with a group. Rows with a null id or vector take no part. Labels come along, for
+    a join by ids would bring all copies of a vector to the few that are nearest to them.
+    """
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vector"))
+    most, least = GROUP_ROWS
+    count, tasks = rows.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-count // most), min(math.ceil(math.sqrt(tasks)), count // least))
+    mine, each = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    asked = rows.select(F.lit(0).alias("role"), mine.alias("asks"), each.alias("answers"), "*")
+    there = rows.select(F.lit(1).alias("role"), each.alias("asks"), mine.alias("answers"), "*")
+    met = asked.unionByName(there).repartitionById(groups * groups, F.col("asks") * groups + F.col("answers"))
+    met = met.sortWithinPartitions("role", "vec_id").drop("asks", "answers")
+    label = dict(rows.dtypes)["label"]
+    found = met.mapInArrow(_meeting(k), f"query_id long, query_label {label}, vec_id long, label {label}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,5 +1,6 @@
 """Phrases, n-grams and the positional index against plain searches, for items with several fields."""
 
+import math
 import random
 
 import pytest
@@ -111,3 +112,49 @@ def test_places_need_no_shuffle():
     batch = pa.RecordBatch.from_arrays([pa.array([3, 3, 4, 5]), pa.array([["a", "b", "a"], ["a"], [], ["é"]])], ["doc_id", "t"])
     got = [tuple(r.values()) for b in postings._places(iter([batch])) for r in b.to_pylist()]
     assert got == [("a", 3, [0, 2]), ("b", 3, [1]), ("a", 3, [0]), ("é", 5, [0])]
+
+
+VECTOR_ROWS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    """Vectors in groups: ties, an opposite one, null labels and a repeated row."""
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [c + 0.4 * rng.gauss(0, 1) for c in centres[i % 6]], None if i % 11 == 0 else i % 6 // 2 + rng.choice([0, 0, 1])) for i in range(1, 241)]
+    rows += [(1_000 + i, rows[3][1], i % 2) for i in range(9)] + [(-7, [-x for x in rows[0][1]], 1), rows[30]]
+    return rows
+
+
+@pytest.mark.parametrize("most", [(65_536, 1_024), (40, 1)], ids=["one", "groups"])
+def test_label_votes_of_every_vector(spark, labelled, tmp_path, monkeypatch, most):
+    """Not only of those whose id is divisible by 20; of SQL, the same rows."""
+    import duckdb
+
+    from curata.plans import catalogue
+
+    monkeypatch.setattr(contamination, "GROUP_ROWS", most, raising=False)
+    spark.createDataFrame(labelled, VECTOR_ROWS).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalogue.queries()["vector_label_votes"](spark, str(tmp_path)).select("query_id", "hits", "agree").collect())
+    assert [g[0] for g in got] == sorted({r[0] for r in labelled})
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalogue.oracle_sql()["vector_label_votes"]).fetchall())
+
+
+@pytest.mark.parametrize("most", [(65_536, 1_024), (40, 1)], ids=["one", "groups"])
+def test_neighbours_of_every_vector(spark, labelled, monkeypatch, most):
+    """As the search by blocks of queries has them, with the labels of both rows; odd rows take no part."""
+    monkeypatch.setattr(contamination, "GROUP_ROWS", most)
+    odd = [(2_000, None, 1), (2_001, [math.nan] * 8, 1), (2_002, [None, *[1.0] * 7], 1), (2_003, [math.inf, *[1.0] * 7], 1)]
+    df = spark.createDataFrame([*dict((r[0], r) for r in labelled).values(), *odd, (2_004, [0.0] * 8, 2)], VECTOR_ROWS).repartition(3)
+    got = contamination.vector_neighbours(df, 4)
+    want = contamination.vector_topk(df, df, 4)
+    key = lambda r: (r.query_id, r["rank"], r.vec_id, r.score)
+    rows = got.collect()
+    assert sorted(map(key, rows)) == sorted(map(key, want.collect())) and len(rows) == 4 * 251
+    label = {r[0]: r[2] for r in labelled} | {2_004: 2}
+    assert all(r.label == label[r.vec_id] and r.query_label == label[r.query_id] for r in rows)
+    nobody = spark.createDataFrame([(None, [1.0] * 8, 1), (1, [1.0] * 8, 1)], VECTOR_ROWS)
+    assert contamination.vector_neighbours(nobody).collect() == [] and contamination.vector_neighbours(df.limit(0)).collect() == []
